@@ -85,3 +85,22 @@ def gram_hashes(h: np.ndarray, m: int) -> np.ndarray:
             part = part[: len(part) - size] * np.uint64(pow(BASE, size, 1 << 64)) + part[size:]
             size *= 2
     return mix(out)
+
+
+@functools.lru_cache(maxsize=1)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse, modulo 2^64."""
+    out = []
+    for base in (BASE, pow(BASE, -1, 1 << 64)):
+        p = np.ones(1, np.uint64)
+        while len(p) < size:
+            p = np.concatenate([p, p * np.uint64(pow(base, len(p), 1 << 64))])
+        out.append(p[:size])
+    return out[0], out[1]
+
+
+def span_hashes(h: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hash of every span h[start:stop], which depends on its symbols only."""
+    power, inverse = _powers(1 << int(len(h)).bit_length())
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h) * power[: len(h)], dtype=np.uint64)])
+    return mix((total[stop] - total[start]) * inverse[start] ^ (stop - start).astype(np.uint64))

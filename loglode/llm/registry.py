@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
+from . import license_scan
+from .chat_pairs import OP5_SQL, op5_preference_format
+from .decontaminate import op1_decontaminate
+from .packing import op3_length_buckets
+from .quality_rules import op7_mcd_quality
 from .simhash import op8_simhash_dedup
 from .substring_dedup import op2_substring_dedup
 from .suffix_dedup import op6_suffix_dedup
+from .token_files import op9_token_files
+from .toxicity import op4_toxicity_chain
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_length_buckets": op3_length_buckets,
+    "op4_toxicity_chain": op4_toxicity_chain,
+    "op5_preference_format": op5_preference_format,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_mcd_quality": op7_mcd_quality,
     "op8_simhash_dedup": op8_simhash_dedup,
+    "op9_token_files": op9_token_files,
+    "op10_license_scan": license_scan.op10_license_scan,
 }
 
-ORACLES: dict[str, str] = {}
+#: The others are held against brute force in tests/llm.
+ORACLES = {"op5_preference_format": OP5_SQL, "op10_license_scan": license_scan.oracle()}

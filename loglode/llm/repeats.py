@@ -21,12 +21,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, WordHashes, gram_hashes, mix, scratch_path, written
+from .common import NULL_ID, WordHashes, gram_hashes, mix, scratch_path, span_hashes, written
 
 CHUNK = 1 << 20
 SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -62,7 +60,7 @@ def batched(docs: DataFrame, rows_per_batch: int) -> tuple[DataFrame, int]:
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = out.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).repartition(files, "batch")
     table = "loglode_" + path.rpartition("-")[2]
-    out.write.bucketBy(files, "batch").sortBy("batch").option("path", path).saveAsTable(table)
+    out.write.option("compression", "zstd").bucketBy(files, "batch").sortBy("batch").option("path", path).saveAsTable(table)
     return spark.table(table), n
 
 
@@ -72,8 +70,8 @@ def ordered(table: pa.Table) -> tuple[list, list]:
     return [r[0] for r in rows], [r[1] for r in rows]
 
 
-def runs(unit: Unit, hashes: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
-    """(document index, first window, number of windows, anchor) of every segment, in chunks of documents."""
+def runs(unit: Unit, hashes: list[np.ndarray], content: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
+    """(document index, first window, number of windows, anchor, content hash) of every segment, in chunks of documents."""
     k, m = unit.window, unit.gram
     pieces = [(d, a, h[a : a + CHUNK + k - 1]) for d, h in enumerate(hashes) for a in range(0, max(1, len(h) - k + 1), CHUNK) if len(h) >= k]
     while pieces:
@@ -81,11 +79,11 @@ def runs(unit: Unit, hashes: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...
         while take < len(pieces) and (not take or size + len(pieces[take][2]) <= CHUNK):
             size += len(pieces[take][2])
             take += 1
-        yield _runs(k, m, pieces[:take])
+        yield _runs(k, m, pieces[:take], content)
         pieces = pieces[take:]
 
 
-def _runs(k: int, m: int, pieces: list) -> tuple[np.ndarray, ...]:
+def _runs(k: int, m: int, pieces: list, content: bool) -> tuple[np.ndarray, ...]:
     h = pieces[0][2] if len(pieces) == 1 else np.concatenate([p[2] for p in pieces])
     g = gram_hashes(h, m)
     bits = np.uint64(max(1, int(len(g)).bit_length()))
@@ -111,7 +109,8 @@ def _runs(k: int, m: int, pieces: list) -> tuple[np.ndarray, ...]:
     p = piece[first]
     doc = np.array([x[0] for x in pieces])[p]
     offset = np.array([x[1] for x in pieces])[p]
-    return doc, first - begin[p] + offset, size_of, g[at[first]]
+    c1 = span_hashes(h, first, first + size_of + k - 1) if content else None
+    return doc, first - begin[p] + offset, size_of, g[at[first]], c1
 
 
 def _dealt(batch: int, hashes: np.ndarray, buckets: int, record: np.ndarray | None = None) -> list[tuple]:
@@ -159,30 +158,28 @@ def repeated_anchors(docs: DataFrame, unit: Unit, buckets: int) -> DataFrame:
     return docs.groupBy("batch").applyInArrow(emit, PACKED).groupBy("bucket").applyInArrow(find, "batch int, payload binary")
 
 
-SEGMENT = "batch int, ord int, doc_id long, start long, n_win int, anchor long, c1 long, c2 long"
+SEGMENT = "batch int, ord int, doc_id long, start long, n_win int, anchor long, c1 long"
 
 
 def segments(docs: DataFrame, anchors: DataFrame, unit: Unit) -> DataFrame:
-    """Every segment under a repeated anchor, by position and 128-bit content hash."""
+    """Every segment under a repeated anchor, by position; anchor and c1 together are its 128-bit content hash."""
+    names = [f.split()[0] for f in SEGMENT.split(", ")]
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
 
     def emit(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = [f.split()[0] for f in SEGMENT.split(", ")]
-        types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-        if not left.num_rows or not right.num_rows:
-            return _table([], names, types)
-        again = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in right["payload"].to_pylist()]))
-        ids, texts = ordered(left)
-        memo, batch = WordHashes(), left["batch"][0].as_py()
-        parts = [unit.parts(t) for t in texts]
-        hashes = [unit.hashes(p, memo) for p in parts]
-        out = []
-        for doc, start, n_win, anchor in runs(unit, hashes):
-            at = np.minimum(np.searchsorted(again, anchor), len(again) - 1)
-            for i in np.flatnonzero(again[at] == anchor):
-                d, s, n = int(doc[i]), int(start[i]), int(n_win[i])
-                c = xxhash.xxh3_128_digest(unit.content(parts[d], hashes[d], s, s + n + unit.window - 1))
-                out.append((batch, d, NULL_ID if ids[d] is None else ids[d], s, n, int(anchor[i].view(np.int64)), int.from_bytes(c[:8], "little", signed=True), int.from_bytes(c[8:], "little", signed=True)))
-        return _table(out, names, types)
+        parts = []
+        if left.num_rows and right.num_rows:
+            again = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in right["payload"].to_pylist()]))
+            ids, texts = ordered(left)
+            ids = np.array([NULL_ID if i is None else i for i in ids])
+            memo, batch = WordHashes(), left["batch"][0].as_py()
+            hashes = [unit.hashes(unit.parts(t), memo) for t in texts]
+            for doc, start, n_win, anchor, c1 in runs(unit, hashes, content=True):
+                at = np.minimum(np.searchsorted(again, anchor), len(again) - 1)
+                i = np.flatnonzero(again[at] == anchor)
+                parts.append((np.full(len(i), batch), doc[i], ids[doc[i]], start[i], n_win[i], anchor[i].view(np.int64), c1[i].view(np.int64)))
+        columns = [np.concatenate(c) for c in zip(*parts)] if parts else [[]] * len(names)
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
     return docs.groupBy("batch").cogroup(anchors.groupBy("batch")).applyInArrow(emit, SEGMENT)
 
@@ -190,10 +187,10 @@ def segments(docs: DataFrame, anchors: DataFrame, unit: Unit) -> DataFrame:
 def distinct_segments(segs: DataFrame) -> DataFrame:
     """One row per distinct segment: its first place, its copies, and how many distinct segments its anchor has."""
     first = F.min(F.struct("doc_id", "ord", "start", "batch", "n_win")).alias("first")
-    each = segs.groupBy("anchor", "c1", "c2").agg(F.count(F.lit(1)).alias("copies"), first)
+    each = segs.groupBy("anchor", "c1").agg(F.count(F.lit(1)).alias("copies"), first)
     per = each.groupBy("anchor").agg(F.count(F.lit(1)).alias("distinct_n"), F.max("copies").alias("most"))
     per = per.where("distinct_n > 1 or most > 1").drop("most")
-    return each.join(per, "anchor").select("anchor", "c1", "c2", "copies", "distinct_n", "first.*")
+    return each.join(per, "anchor").select("anchor", "c1", "copies", "distinct_n", "first.*")
 
 
 def with_content(docs: DataFrame, picked: DataFrame, unit: Unit) -> DataFrame:
@@ -272,9 +269,9 @@ class Found:
 def repeated_windows(docs: DataFrame, unit: Unit, index: Callable, index_schema: str, whole: Callable, read: Callable, keep_first: bool, lone: bool, rows_per_batch: int = 1500, group_limit: int = 8192, shard_rows: int = 1000) -> Found:
     """Flag every repeated window.
 
-    index(table) -> table (anchor, c1, c2, payload) is run once per shard over its distinct segments (with content);
-    whole(distinct) -> (anchor, c1, c2, payload) answers distinct segments that need no index, or None;
-    read(payload, segment position) -> mask of flagged windows of one occurrence;
+    index(table) -> table (anchor, c1, payload) is run once per shard over its distinct segments (with content);
+    whole(distinct) -> (anchor, c1, payload) answers distinct segments that need no index, or None;
+    read(payloads, rows, ord, doc_id, start) -> which windows are flagged, for every window of all occurrences (rows: whose it is);
     lone: does a segment that is alone under its anchor, but has copies, go through the index as well?
     """
     docs_b, n = batched(docs, rows_per_batch)
@@ -289,17 +286,29 @@ def repeated_windows(docs: DataFrame, unit: Unit, index: Callable, index_schema:
     answers = held.groupBy("shard").applyInArrow(index, index_schema)
     if not lone:
         answers = answers.unionByName(whole(cold.where("copies > 1")))
-    spots = segs.join(answers, ["anchor", "c1", "c2"]).select("batch", "ord", "doc_id", "start", "n_win", "payload")
+    spots = segs.join(answers, ["anchor", "c1"]).select("batch", "ord", "doc_id", "start", "n_win", "payload")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            by: dict[int, list] = {}
-            for row in zip(*(t[c].to_pylist() for c in ("batch", "ord", "doc_id", "start", "n_win", "payload"))):
-                mask = read(row[5], row[1:5])
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
-                by.setdefault(row[0], []).extend((row[1], row[3] + int(a), int(b - a)) for a, b in zip(edge[::2], edge[1::2]))
-            rows = [(k, np.array(v, FLAG).tobytes()) for k, v in by.items() if v]
-            yield from _table(rows, ["batch", "payload"], [pa.int32(), pa.binary()]).to_batches()
+            n = t["n_win"].to_numpy()
+            rows = np.repeat(np.arange(len(n)), n)
+            begin = np.concatenate([[0], np.cumsum(n)])
+            own = {c: t[c].to_numpy()[rows] for c in ("ord", "doc_id", "start")}
+            own["start"] = own["start"] + np.arange(len(rows)) - begin[rows]
+            hit = read(t["payload"], rows, **own)
+            first = hit.copy()
+            first[1:] &= ~hit[:-1] | (rows[1:] != rows[:-1])
+            last = hit.copy()
+            last[:-1] &= ~hit[1:] | (rows[1:] != rows[:-1])
+            a, b = np.flatnonzero(first), np.flatnonzero(last)
+            f = np.zeros(len(a), FLAG)
+            f["ord"], f["start"], f["n"] = own["ord"][a], own["start"][a], b - a + 1
+            batch = t["batch"].to_numpy()[rows[a]]
+            order = np.argsort(batch, kind="stable")
+            f, batch = f[order], batch[order]
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(batch)) + 1, [len(batch)]])
+            out = [(int(batch[x]), f[x:y].tobytes()) for x, y in zip(cuts[:-1], cuts[1:]) if y > x]
+            yield from _table(out, ["batch", "payload"], [pa.int32(), pa.binary()]).to_batches()
 
     flags = spots.mapInArrow(pack, FLAGS)
     if not hot.isEmpty():
@@ -327,6 +336,3 @@ def mask_of(n: int, flags: np.ndarray, window: int) -> np.ndarray:
     np.add.at(delta, flags["start"] + flags["n"] + window - 1, -1)
     return np.cumsum(delta[:-1]) > 0
 
-
-def values(table: pa.Table, name: str) -> np.ndarray:
-    return pc.fill_null(table[name], 0).to_numpy()

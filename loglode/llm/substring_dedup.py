@@ -112,10 +112,10 @@ class FMIndex:
         lengths = np.array([len(q) for q in queries])
         n, narrow = len(self.sa), {}
         lo, hi, have = np.zeros(len(queries), np.int64), np.full(len(queries), n, np.int64), np.zeros(len(queries), np.int64)
-        tails = [q[::-1] for q in queries]
+        words, ends = np.concatenate(queries), np.cumsum(lengths)
         for j in range(int(lengths.max(initial=0))):
             live = np.flatnonzero(lengths > j)
-            word = np.array([tails[i][j] for i in live], np.uint64)
+            word = words[ends[live] - 1 - j]
             at = np.minimum(np.searchsorted(self.vocabulary, word), len(self.vocabulary) - 1)
             known = self.vocabulary[at] == word
             have[live[~known]] = 0
@@ -144,8 +144,8 @@ class FMIndex:
         lo[which], hi[which], have[which] = narrow[depth][0][row], narrow[depth][1][row], depth
 
 
-ANSWER = "anchor long, c1 long, c2 long, payload binary"
-ANSWER_ARROW = pa.schema([("anchor", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("payload", pa.binary())])
+ANSWER = "anchor long, c1 long, payload binary"
+ANSWER_ARROW = pa.schema([("anchor", pa.int64()), ("c1", pa.int64()), ("payload", pa.binary())])
 
 
 def earliest_places(table: pa.Table, window: int) -> list[bytes]:
@@ -163,13 +163,12 @@ def earliest_places(table: pa.Table, window: int) -> list[bytes]:
     rank[order] = np.arange(len(order))
     starts = np.flatnonzero(index.bounds(window)[0] == np.arange(len(order)))
     first = order[np.minimum.reduceat(rank, starts)]  # row of the earliest place of each interval
-    out = [np.zeros(max(0, n - window + 1), PLACE) for n in lengths]
+    edges = np.concatenate([[0], np.cumsum(np.maximum(0, lengths - window + 1))])
+    out = np.zeros(edges[-1], PLACE)
     for j, live, have, lo, _ in index.matching(sequences):
         long = have >= window
-        rows = first[np.searchsorted(starts, lo[long])]
-        for i, row in zip(live[long], rows):
-            out[i][lengths[i] - 1 - j] = place[row]
-    return [x.tobytes() for x in out]
+        out[edges[live[long]] + lengths[live[long]] - 1 - j] = place[first[np.searchsorted(starts, lo[long])]]
+    return [out[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]
 
 
 def repeated(docs: DataFrame, window: int = 20, gram: int = 6, group_limit: int = 8192):
@@ -177,13 +176,12 @@ def repeated(docs: DataFrame, window: int = 20, gram: int = 6, group_limit: int
 
     def index(table: pa.Table) -> pa.Table:
         payload = earliest_places(table, window)
-        return pa.table([table["anchor"], table["c1"], table["c2"], pa.array(payload, pa.binary())], schema=ANSWER_ARROW)
+        return pa.table([table["anchor"], table["c1"], pa.array(payload, pa.binary())], schema=ANSWER_ARROW)
 
-    def read(payload: bytes, at: tuple) -> np.ndarray:
-        first = np.frombuffer(payload, PLACE)
-        o, d, s, n = at
-        mine = s + np.arange(n)
-        return (first["doc"] < d) | ((first["doc"] == d) & ((first["ord"] < o) | ((first["ord"] == o) & (first["start"] < mine))))
+    def read(payloads: pa.Array, rows: np.ndarray, ord: np.ndarray, doc_id: np.ndarray, start: np.ndarray) -> np.ndarray:
+        first = np.frombuffer(b"".join(payloads.to_pylist()), PLACE)
+        same = first["doc"] == doc_id
+        return (first["doc"] < doc_id) | (same & ((first["ord"] < ord) | ((first["ord"] == ord) & (first["start"] < start))))
 
     return unit, repeated_windows(docs, unit, index, ANSWER, None, read, keep_first=True, lone=True, group_limit=group_limit)
 

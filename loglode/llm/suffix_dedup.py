@@ -119,22 +119,29 @@ def repeated(docs: DataFrame, window: int = 400, gram: int = 200, group_limit: i
         keep = np.array([c == 1 and m.any() for c, m in zip(table["copies"].to_pylist(), marks)], bool)
         table = table.filter(pa.array(keep))
         payload = [m.tobytes() for m, k in zip(marks, keep) if k]
-        return pa.table([table["anchor"], table["c1"], table["c2"], pa.array(payload, pa.binary())], schema=ANSWER_ARROW)
+        return pa.table([table["anchor"], table["c1"], pa.array(payload, pa.binary())], schema=ANSWER_ARROW)
 
     def whole(distinct: DataFrame) -> DataFrame:
-        return distinct.select("anchor", "c1", "c2", F.lit(None).cast("binary").alias("payload"))
+        return distinct.select("anchor", "c1", F.lit(None).cast("binary").alias("payload"))
 
-    def read(payload: bytes | None, at: tuple) -> np.ndarray:
-        return np.ones(at[3], bool) if payload is None else np.frombuffer(payload, bool)
+    def read(payloads: pa.Array, rows: np.ndarray, **own: np.ndarray) -> np.ndarray:
+        out = np.ones(len(rows), bool)
+        some = np.flatnonzero(payloads.is_valid().to_numpy(zero_copy_only=False))
+        if len(some):
+            out[np.isin(rows, some)] = np.frombuffer(b"".join(payloads.take(pa.array(some)).to_pylist()), bool)
+        return out
 
     return unit, repeated_windows(docs, unit, index, ANSWER, whole, read, keep_first=False, lone=False, group_limit=group_limit)
 
 
 def suffix_dedup(docs: DataFrame, window: int = 400, gram: int = 200, group_limit: int = 8192) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, spans, kept (bytes), kept_sha256 of every document."""
+    """doc_id, n_bytes, n_removed, n_spans, spans, kept_text, kept_sha256, text_sha256 of every document.
+
+    The hash is of the kept bytes; kept_text leaves out characters that a cut has split.
+    """
     unit, found = repeated(docs, window, gram, group_limit)
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept", "kept_sha256"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary(), pa.string()]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept_text", "kept_sha256", "text_sha256"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.string(), pa.string(), pa.string()]
 
     def out(ids: list, parts: list, flags: list) -> pa.Table:
         rows = []
@@ -145,11 +152,11 @@ def suffix_dedup(docs: DataFrame, window: int = 400, gram: int = 200, group_limi
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
                 spans = edge.reshape(-1, 2).tolist()
             kept = data if not spans else b"".join(data[a:b] for a, b in zip([0] + [s[1] for s in spans], [s[0] for s in spans] + [len(data)]))
-            rows.append((i, len(data), len(data) - len(kept), len(spans), spans, kept, hashlib.sha256(kept).hexdigest()))
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, types)], names=names)
+            rows.append((i, len(data), len(data) - len(kept), len(spans), spans, kept.decode(errors="ignore"), hashlib.sha256(kept).hexdigest(), hashlib.sha256(data).hexdigest()))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 8, types)], names=names)
 
-    return covered(found, unit, out, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<array<long>>, kept binary, kept_sha256 string")
+    return covered(found, unit, out, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<array<long>>, kept_text string, kept_sha256 string, text_sha256 string")
 
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    return suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans", "kept")
+    return suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans", "kept_text", "text_sha256")
