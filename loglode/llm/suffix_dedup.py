@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import Unit, covered, mask_of, repeated_windows
+from .common import gram_hashes
+from .repeats import BYTE_HASH, Unit, covered, mask_of, repeated_windows
 from .substring_dedup import ANSWER, ANSWER_ARROW
 
 END = 0xFF  # never part of UTF-8; stands where a string has begun and has no further symbol
@@ -48,33 +49,29 @@ class ColumnwiseBWT:
         """All strings of `size` symbols or more put their suffix of that size in its place."""
         bwt, lcp = self.read()
         live = np.flatnonzero(self.lengths >= size)
+        live = live[np.argsort(bwt[self.rows[live]], kind="stable")]
         at = self.rows[live]
+        symbol = bwt[at]
         order = np.argsort(bwt, kind="stable")
-        symbols = bwt[order]
-        low = np.searchsorted(symbols, bwt[at])
-        place = np.empty(len(bwt), np.int64)
-        place[order] = np.arange(len(order))
-        place = place[at]
-        last = len(order) - 1
-        before = (place > 0) & (symbols[np.maximum(place - 1, 0)] == bwt[at]) & (place > low)
-        after = (place < last) & (symbols[np.minimum(place + 1, last)] == bwt[at])
+        less = np.concatenate([[0], np.cumsum(np.bincount(bwt, minlength=256))])
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(symbol)) + 1, [len(live)]])
+        place = np.empty(len(live), np.int64)  # how many rows' symbols sort before this one's
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            low = less[symbol[a]]
+            place[a:b] = low + np.searchsorted(order[low : less[symbol[a] + 1]], at[a:b])
+        before, after = place > less[symbol], place + 1 < less[symbol + np.int64(1)]
         self_lcp = self._minima(lcp, order[np.maximum(place - 1, 0)], at, before)
-        next_lcp = self._minima(lcp, at, order[np.minimum(place + 1, last)], after)
+        next_lcp = self._minima(lcp, at, order[np.minimum(place + 1, len(order) - 1)], after)
         new = self.m + place
         total = len(bwt) + len(live)
-        fresh = np.zeros(total, bool)
-        fresh[new] = True
+        old = np.ones(total, bool)
+        old[new] = False
         out_bwt, out_lcp = np.empty(total, np.uint8), np.zeros(total, np.uint16)
-        out_bwt[~fresh], out_lcp[~fresh] = bwt, lcp
-        out_bwt[new] = [self.strings[i][-size - 1] if self.lengths[i] > size else END for i in live]
+        out_bwt[old], out_lcp[old] = bwt, lcp
+        out_bwt[new] = [self.strings[i][-size - 1] if n > size else END for i, n in zip(live.tolist(), self.lengths[live].tolist())]
         follows = new + 1 < total
         out_lcp[new[follows] + 1] = next_lcp[follows]
         out_lcp[new] = self_lcp
-        shift = np.cumsum(fresh) if len(live) < self.m else None
-        if shift is not None:  # rows of strings that ended earlier move on
-            done = np.setdiff1d(np.arange(self.m), live, assume_unique=True)
-            old_to_new = np.flatnonzero(~fresh)
-            self.rows[done] = old_to_new[self.rows[done]]
         self.rows[live] = new
         out_bwt.tofile(self.files[0])
         out_lcp.tofile(self.files[1])
@@ -110,12 +107,41 @@ class ColumnwiseBWT:
         return out
 
 
+def repeated_in_shard(strings: list[bytes], copies: np.ndarray, window: int) -> list[np.ndarray]:
+    """Which windows of each string (standing for `copies` copies) are repeated among all of them.
+
+    Windows whose hash is theirs alone cannot repeat and are trimmed off; equal remains stand in the index once, with
+    the number of their copies.
+    """
+    lengths = np.array([len(x) for x in strings])
+    hashes = gram_hashes(BYTE_HASH[np.frombuffer(b"".join(strings), np.uint8)], window)
+    begin = np.concatenate([[0], np.cumsum(lengths)])
+    own = [hashes[a : a + n - window + 1] for a, n in zip(begin, lengths)]
+    u, c = np.unique(np.concatenate([np.repeat(h, 2) if k > 1 else h for h, k in zip(own, copies)]), return_counts=True)
+    again = u[c > 1]
+    out = [np.zeros(len(h), bool) for h in own]
+    pieces: dict[bytes, list[tuple[int, int]]] = {}
+    for i, h in enumerate(own):
+        maybe = np.isin(h, again)
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], maybe.view(np.int8), [0]]))).tolist()
+        for a, b in zip(edge[::2], edge[1::2]):
+            pieces.setdefault(strings[i][a : b + window - 1], []).append((i, a))
+    if pieces:
+        with tempfile.TemporaryDirectory() as folder:  # this task's own files; they go with it
+            marks = ColumnwiseBWT(list(pieces), window, folder).windows()
+        for mark, places in zip(marks, pieces.values()):
+            if sum(int(copies[i]) for i, _ in places) > 1:
+                mark[:] = True
+            for i, a in places:
+                out[i][a : a + len(mark)] = mark
+    return out
+
+
 def repeated(docs: DataFrame, window: int = 400, gram: int = 200, group_limit: int = 8192):
     unit = Unit(False, window, gram)
 
     def index(table: pa.Table) -> pa.Table:
-        with tempfile.TemporaryDirectory() as folder:  # this task's own files; they go with it
-            marks = ColumnwiseBWT(table["content"].to_pylist(), window, folder).windows()
+        marks = repeated_in_shard(table["content"].to_pylist(), np.array(table["copies"].to_pylist()), window)
         keep = np.array([c == 1 and m.any() for c, m in zip(table["copies"].to_pylist(), marks)], bool)
         table = table.filter(pa.array(keep))
         payload = [m.tobytes() for m, k in zip(marks, keep) if k]
