@@ -107,41 +107,42 @@ class ColumnwiseBWT:
         return out
 
 
-def repeated_in_shard(strings: list[bytes], copies: np.ndarray, window: int) -> list[np.ndarray]:
-    """Which windows of each string (standing for `copies` copies) are repeated among all of them.
+def repeated_in_shard(strings: list[bytes], window: int) -> list[np.ndarray]:
+    """Which windows of each string are repeated among all of them.
 
-    Windows whose hash is theirs alone cannot repeat and are trimmed off; equal remains stand in the index once, with
-    the number of their copies.
+    A window whose hash is its own alone cannot repeat, so it is trimmed off before the index is built.  Of windows
+    with one hash the first two stand in the index; what it finds for them holds for the others.
     """
     lengths = np.array([len(x) for x in strings])
     hashes = gram_hashes(BYTE_HASH[np.frombuffer(b"".join(strings), np.uint8)], window)
-    begin = np.concatenate([[0], np.cumsum(lengths)])
-    own = [hashes[a : a + n - window + 1] for a, n in zip(begin, lengths)]
-    u, c = np.unique(np.concatenate([np.repeat(h, 2) if k > 1 else h for h, k in zip(own, copies)]), return_counts=True)
-    again = u[c > 1]
-    out = [np.zeros(len(h), bool) for h in own]
-    pieces: dict[bytes, list[tuple[int, int]]] = {}
-    for i, h in enumerate(own):
-        maybe = np.isin(h, again)
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], maybe.view(np.int8), [0]]))).tolist()
-        for a, b in zip(edge[::2], edge[1::2]):
-            pieces.setdefault(strings[i][a : b + window - 1], []).append((i, a))
-    if pieces:
+    sizes = np.maximum(0, lengths - window + 1)
+    begin, edges = np.concatenate([[0], np.cumsum(lengths)]), np.concatenate([[0], np.cumsum(sizes)])
+    at = np.arange(edges[-1]) + np.repeat(begin[:-1] - edges[:-1], sizes)  # where each window starts in the joined text
+    _, group, count = np.unique(hashes[at], return_inverse=True, return_counts=True)
+    order = np.argsort(group, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order)) - np.repeat(np.cumsum(count) - count, count)
+    kept = (count[group] > 1) & (rank < 2)
+    new = np.zeros(len(kept), bool)
+    new[edges[:-1][sizes > 0]] = True
+    first = np.flatnonzero(kept & (new | ~np.concatenate([[False], kept[:-1]])))
+    last = np.flatnonzero(kept & np.concatenate([new[1:] | ~kept[1:], [True]])[: len(kept)])
+    confirmed = np.zeros(len(count), bool)
+    if len(first):
+        text = b"".join(strings)
+        pieces = [text[at[a] : at[b] + window] for a, b in zip(first, last)]
         with tempfile.TemporaryDirectory() as folder:  # this task's own files; they go with it
-            marks = ColumnwiseBWT(list(pieces), window, folder).windows()
-        for mark, places in zip(marks, pieces.values()):
-            if sum(int(copies[i]) for i, _ in places) > 1:
-                mark[:] = True
-            for i, a in places:
-                out[i][a : a + len(mark)] = mark
-    return out
+            marks = ColumnwiseBWT(pieces, window, folder).windows()
+        for a, mark in zip(first, marks):
+            confirmed[group[a : a + len(mark)][mark]] = True
+    return [confirmed[group[a:b]] for a, b in zip(edges[:-1], edges[1:])]
 
 
 def repeated(docs: DataFrame, window: int = 400, gram: int = 200, group_limit: int = 8192):
     unit = Unit(False, window, gram)
 
     def index(table: pa.Table) -> pa.Table:
-        marks = repeated_in_shard(table["content"].to_pylist(), np.array(table["copies"].to_pylist()), window)
+        marks = repeated_in_shard(table["content"].to_pylist(), window)
         keep = np.array([c == 1 and m.any() for c, m in zip(table["copies"].to_pylist(), marks)], bool)
         table = table.filter(pa.array(keep))
         payload = [m.tobytes() for m, k in zip(marks, keep) if k]
