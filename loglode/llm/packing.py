@@ -19,16 +19,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
-from .tokens import PieceEncoder, tokenizer_path
+from .tokens import encoder, tokenizer_path
 
 
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens) with the end id counted."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(path)
+        pieces = encoder(path)
         for t in batches:
-            n = [len(encoder.encode(x)) // 4 + 1 for x in t["text"].to_pylist()]
+            n = [len(pieces.encode(x)) // pieces.dtype.itemsize + 1 for x in t["text"].to_pylist()]
             yield pa.record_batch([t["doc_id"], pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

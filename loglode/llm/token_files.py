@@ -1,9 +1,9 @@
 """Operator 9: token ids as Arrow files of fixed-size lists.
 
 Documents are dealt into ranges of ascending doc_id; each range becomes one Arrow file whose record batches hold
-`sequences` lists of exactly `length` ids and as many lists of mask bytes (1: an id of the text, 0: padding at the end
-of the file).  A list sits at a fixed place, so any sequence is read without copying through a memory map.  Beside
-each file lies an index file (doc_id, first, n_tokens).  Files are written under a name of their own and moved in
+`sequences` lists of exactly `length` ids (16 bits where the vocabulary allows, else 32) and as many lists of mask bits
+(1: an id of the text, 0: padding at the end of the file).  A list sits at a fixed place, so the ids and packed mask of
+any sequence are views of a memory map.  Beside each file lies an index file (doc_id, first, n_tokens).  Files are written under a name of their own and moved in
 place, so a task that runs again leaves one whole file.
 
 Null and empty texts give just the end id.  Rows that share a doc_id are written in order of their text; a null
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import scratch_path, written
-from .tokens import PieceEncoder, tokenizer_path
+from .tokens import encoder, tokenizer_path
 
 MANIFEST = "part int, path string, n_docs long, n_tokens long"
 PADDING = 0
@@ -42,11 +42,11 @@ def _open(uri: str) -> pa.NativeFile:
 
 
 class SequenceWriter:
-    """Cuts a stream of ids into lists of `length` and writes record batches of `sequences` lists."""
+    """Cuts a stream of ids into lists of `length` (a multiple of 8) and writes record batches of `sequences` lists."""
 
-    def __init__(self, sink, length: int, sequences: int):
-        self.length, self.block = length, length * sequences * 4
-        self.kinds = pa.list_(pa.uint32(), length), pa.list_(pa.uint8(), length)
+    def __init__(self, sink, length: int, sequences: int, dtype: np.dtype):
+        self.length, self.dtype, self.block = length, dtype, length * sequences * dtype.itemsize
+        self.kinds = pa.list_(pa.from_numpy_dtype(dtype), length), pa.list_(pa.bool_(), length)
         self.out = pa.ipc.new_file(sink, pa.schema([("ids", self.kinds[0]), ("mask", self.kinds[1])]))
         self.held, self.size = [], 0
 
@@ -57,19 +57,18 @@ class SequenceWriter:
             data = b"".join(self.held)
             whole = len(data) - len(data) % self.block
             for a in range(0, whole, self.block):
-                self._put(np.frombuffer(data, "<u4", self.block // 4, a), self.block // 4)
+                ids = np.frombuffer(data, self.dtype, self.block // self.dtype.itemsize, a)
+                self._put(ids, len(ids))
             self.held, self.size = [data[whole:]], len(data) - whole
 
     def _put(self, ids: np.ndarray, valid: int) -> None:
-        mask = np.zeros(len(ids), np.uint8)
-        mask[:valid] = 1
-        arrays = [pa.FixedSizeListArray.from_arrays(pa.array(x), type=k) for x, k in zip((ids, mask), self.kinds)]
+        arrays = [pa.FixedSizeListArray.from_arrays(pa.array(x), type=k) for x, k in zip((ids, np.arange(len(ids)) < valid), self.kinds)]
         self.out.write_batch(pa.record_batch(arrays, names=["ids", "mask"]))
 
     def close(self) -> None:
-        ids = np.frombuffer(b"".join(self.held), "<u4")
+        ids = np.frombuffer(b"".join(self.held), self.dtype)
         if len(ids):
-            padded = np.full(-(-len(ids) // self.length) * self.length, PADDING, "<u4")
+            padded = np.full(-(-len(ids) // self.length) * self.length, PADDING, self.dtype)
             padded[: len(ids)] = ids
             self._put(padded, len(ids))
         self.out.close()
@@ -82,45 +81,48 @@ class SequenceReader:
         self.file = pa.ipc.open_file(_open(uri))
         self.length = self.file.schema.field("ids").type.list_size
         self.per_batch = self.file.get_batch(0).num_rows if self.file.num_record_batches else 0
-        self.at, self.batch = -1, None
+        self.at, self.ids, self.bits = -1, None, None
 
-    def _values(self, batch: int, name: str) -> np.ndarray:
+    def _load(self, batch: int) -> None:
         if batch != self.at:
-            self.at, self.batch = batch, self.file.get_batch(batch)
-        return self.batch.column(name).values.to_numpy(zero_copy_only=True)
+            self.at, b = batch, self.file.get_batch(batch)
+            self.ids = b.column("ids").values.to_numpy(zero_copy_only=True)
+            self.bits = np.frombuffer(b.column("mask").values.buffers()[1], np.uint8)
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of sequence i and its packed mask (lowest bit first)."""
         b, row = divmod(i, self.per_batch)
+        self._load(b)
         a = row * self.length
-        return self._values(b, "ids")[a : a + self.length], self._values(b, "mask")[a : a + self.length]
+        return self.ids[a : a + self.length], self.bits[a // 8 : (a + self.length) // 8]
 
     def span(self, first: int, n: int) -> Iterator[np.ndarray]:
         step = self.per_batch * self.length
         while n > 0:
             b, a = divmod(first, step)
-            part = self._values(b, "ids")[a : a + n]
+            self._load(b)
+            part = self.ids[a : a + n]
             yield part
             first, n = first + len(part), n - len(part)
 
 
 def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 2, length: int = 2048, sequences: int = 64, rows_per_file: int = 10_000) -> DataFrame:
     """Write docs (doc_id, text) below folder; return the manifest (part, path, n_docs, n_tokens)."""
-    end = np.array([end_id], "<u4").tobytes()
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, encoder, writer, at, index = TaskContext.get().partitionId(), None, None, 0, []
+        part, pieces, writer, at, index = TaskContext.get().partitionId(), encoder(path), None, 0, []
+        width, end = pieces.dtype.itemsize, np.array([end_id], pieces.dtype).tobytes()
         store, base = _store(folder)
         own, name = f"{base}/{uuid.uuid4().hex}.tmp", f"part-{part:07d}.arrow"
         for t in batches:
             for doc_id, text in zip(t["doc_id"].to_pylist(), t["text"].to_pylist()):
                 if writer is None:
                     store.create_dir(base, recursive=True)
-                    encoder, sink = PieceEncoder(path), store.open_output_stream(own)
-                    writer = SequenceWriter(sink, length, sequences)
-                ids = encoder.encode(text) + end
+                    sink = store.open_output_stream(own)
+                    writer = SequenceWriter(sink, length, sequences, pieces.dtype)
+                ids = pieces.encode(text) + end
                 writer.add(ids)
-                index.append((doc_id, at, len(ids) // 4))
-                at += len(ids) // 4
+                index.append((doc_id, at, len(ids) // width))
+                at += len(ids) // width
         if writer is not None:
             writer.close()
             sink.close()
@@ -149,7 +151,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 for first, n in zip(index["first"].to_pylist(), index["n_tokens"].to_pylist()):
                     crc = 0
                     for part in ids.span(first, n):
-                        crc = zlib.crc32(part, crc)
+                        crc = zlib.crc32(part.astype("<u4"), crc)
                     crcs.append(crc)
                 start = index["first"].to_numpy() + base
                 out = pa.table([index["doc_id"], pa.array(start), index["n_tokens"], pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 
@@ -9,6 +10,7 @@ import numpy as np
 
 DOUBLE = re.compile(r" (?=\s|\Z)")
 CUT = re.compile(r" (?=\S)")
+MARKS = ".,;:!?|"
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -18,30 +20,58 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-class PieceEncoder:
-    """texts -> their ids as little-endian 32-bit integers.
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies use: visible bytes stand for themselves, others for 256 and up."""
+    visible = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+LETTERS = _byte_letters()
+
+
+class PieceEncoder(dict):
+    """Maps pieces of text to their ids, as little-endian integers of `dtype` (16 bits where all ids fit).
 
     The byte-level pre-tokenizer always starts a new word at a space that a visible character follows, so a text can be
-    cut there and its pieces encoded apart.  At most `limit` pieces are remembered.
+    cut there and its pieces encoded apart.  A piece of letters with marks behind it is one word and a tail; the word
+    goes straight to the model.  At most `limit` pieces are remembered.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 800_000):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.limit = Tokenizer.from_file(path), {}, limit
+        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.word = self.tokenizer.model.tokenize
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+
+    def __missing__(self, piece: str) -> bytes:
+        word = piece.rstrip(MARKS)
+        if word[1:].isalpha() and (word[0] == " " or word[0].isalpha()):
+            ids = [t.id for t in self.word(word.encode().decode("latin-1").translate(LETTERS))]
+            out = np.array(ids, self.dtype).tobytes()
+            if len(word) < len(piece):
+                out += self[piece[len(word) :]]
+        else:
+            out = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.dtype).tobytes()
+        if len(self) >= self.limit:
+            self.clear()
+        self[piece] = out
+        return out
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         head, *rest = CUT.split(text) if DOUBLE.search(text) else text.split(" ")
-        pieces = [head, *(" " + x for x in rest)] if head else [" " + x for x in rest]
-        known = self.known
-        need = [x for x in set(pieces) if x not in known]
-        if need:
-            if len(known) + len(need) > self.limit:
-                known.clear()
-                need = list(set(pieces))
-            for x, e in zip(need, self.tokenizer.encode_batch_fast(need, add_special_tokens=False)):
-                known[x] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, pieces))
+        pieces = [" " + x for x in rest]
+        if head:
+            pieces.insert(0, head)
+        return b"".join(map(self.__getitem__, pieces))
+
+
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> PieceEncoder:
+    """One encoder per Python worker, which tasks share."""
+    return PieceEncoder(path)
