@@ -2,8 +2,8 @@
 
 Categories are predicted one after another by linear (logistic) models; each model also gets the probabilities of the
 categories before it.  In training those probabilities are out-of-fold: they come from models that did not see the
-document.  Features are words and their beginnings of 4 to 7 characters, present or not; the `features` most telling
-ones by document frequency in labelled rows are kept.
+document.  Features are words and their beginnings of 4 to 7 characters (as 32-bit hashes), present or not; the
+`features` most telling ones by document frequency in labelled rows are kept.
 
 The models are fitted on at most `max_labelled` labelled rows (by hash of doc_id), which bounds that one task; every
 document is scored, over its whole text.  The chain follows the order of the given label columns: the labels table has
@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import pickle
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +31,8 @@ BEGINNINGS = (4, 5, 6, 7)
 FOLDS = 5
 
 
-def features_of_word(word: str) -> list[str]:
-    return [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) >= n)]
+def features_of_word(word: str) -> list[int]:
+    return [zlib.crc32(word.encode()), *(zlib.crc32(f"{word[:n]}*".encode()) for n in BEGINNINGS if len(word) >= n)]
 
 
 def words_of(text: str | None) -> set[str]:
@@ -42,7 +42,7 @@ def words_of(text: str | None) -> set[str]:
 class WordFeatures(dict):
     """word -> numbers of the chosen features that it has; remembers up to `limit` words."""
 
-    def __init__(self, chosen: dict[str, int], limit: int = 300_000):
+    def __init__(self, chosen: dict[int, int], limit: int = 300_000):
         super().__init__()
         self.chosen, self.limit = chosen, limit
 
@@ -56,7 +56,7 @@ class WordFeatures(dict):
         return {f for word in words_of(text) for f in self[word]}
 
 
-def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 200) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.3, rounds: int = 200) -> np.ndarray:
     """Weights (the last is the intercept) of a logistic regression, by accelerated gradient descent."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     penalty = np.full(x.shape[1], l2, np.float32)
@@ -79,32 +79,33 @@ def predict(w: np.ndarray, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
 
 
-def choose_features(docs: list[list[str]], labels: np.ndarray, features: int) -> dict[str, int]:
+def choose_features(docs: list[np.ndarray], labels: np.ndarray, features: int) -> dict[int, int]:
     """The features whose document frequencies differ most between classes, over all categories."""
-    n, best = len(docs), Counter()
-    for k in range(labels.shape[1]):
-        positive, negative = Counter(), Counter()
-        for d, y in zip(docs, labels[:, k]):
-            (positive if y else negative).update(d)
-        n1 = max(1, int(labels[:, k].sum()))
-        n0 = max(1, n - n1)
-        for f in positive.keys() | negative.keys():
-            a, b = positive[f], negative[f]
-            if a + b >= 5:
-                share = (a + b) / n
-                z = abs(a / n1 - b / n0) / np.sqrt(max(share * (1 - share), 1e-9) * (1 / n1 + 1 / n0))
-                best[f] = max(best[f], z)
-    return {f: i for i, (f, _) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:features])}
-
-
-def fit_chain(docs: list[list[str]], folds: np.ndarray, labels: np.ndarray, features: int) -> tuple[dict[str, int], list[np.ndarray]]:
+    n = len(docs)
+    which, number = np.unique(np.concatenate(docs), return_inverse=True)
+    owner = np.repeat(np.arange(n), [len(d) for d in docs])
+    every = np.bincount(number, minlength=len(which))
+    best = np.zeros(len(which))
+    for y in labels.T.astype(float):
+        n1 = max(1.0, y.sum())
+        n0 = max(1.0, n - n1)
+        a = np.bincount(number, y[owner], minlength=len(which))
+        share = every / n
+        z = np.abs(a / n1 - (every - a) / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n1 + 1 / n0))
+        best = np.maximum(best, z)
+    best[every < 3] = -1
+    order = np.lexsort((which, -best))[:features]
+    return {int(which[i]): k for k, i in enumerate(order) if best[i] >= 0}
+
+
+def fit_chain(docs: list[np.ndarray], folds: np.ndarray, labels: np.ndarray, features: int) -> tuple[dict[int, int], list[np.ndarray]]:
     """The chosen features and one model per category; model k takes k earlier probabilities after the features."""
     if not len(docs):
         return {}, [np.array([-30.0] * (1 + k), np.float32) * (np.arange(1 + k) == k) for k in range(labels.shape[1])]
     chosen = choose_features(docs, labels, features)
     x = np.zeros((len(docs), len(chosen)), np.float32)
     for i, d in enumerate(docs):
-        x[i, [chosen[f] for f in d if f in chosen]] = 1
+        x[i, [chosen[f] for f in d.tolist() if f in chosen]] = 1
     models = []
     for k in range(labels.shape[1]):
         y = labels[:, k].astype(np.float32)
@@ -130,21 +131,23 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict, max_labelled: in
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             found = [sorted({f for w in words_of(x) for f in features_of_word(w)}) for x in t["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), t["fold"], *(t[n] for n in names)], ["found", "fold", *names])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64())), t["fold"], *(t[n] for n in names)], ["found", "fold", *names])
 
-    schema = ", ".join(["found array<string>", "fold int", *(f"{n} int" for n in names)])
+    schema = ", ".join(["found array<long>", "fold int", *(f"{n} int" for n in names)])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, folds, y = [], [], []
         for t in batches:
-            found += t["found"].to_pylist()
+            ends = t["found"].offsets.to_numpy()
+            values = t["found"].values.to_numpy().astype(np.uint32)
+            found += [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
             folds += t["fold"].to_pylist()
             y += zip(*(t[n].to_pylist() for n in names))
         model = fit_chain(found, np.array(folds, int), np.array(y, int).reshape(-1, len(names)), features)
         yield pa.record_batch([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
-    # At most max_labelled rows meet in this one task.
-    return rows.mapInArrow(describe, schema).coalesce(1).mapInArrow(fit, "model binary").first()["model"]
+    # Only the described sample, at most max_labelled rows, meets in this one task.
+    return rows.mapInArrow(describe, schema).repartition(1).mapInArrow(fit, "model binary").first()["model"]
 
 
 def score(docs: DataFrame, model: bytes, categories: list[str], carry: list[str] | None = None) -> DataFrame:
@@ -178,7 +181,7 @@ def default_categories() -> dict:
     return {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")}
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, categories: dict | None = None, threshold: float = 0.5, max_labelled: int = 6_000, features: int = 1_500, carry: list[str] | None = None) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, categories: dict | None = None, threshold: float = 0.4, max_labelled: int = 12_000, features: int = 400, carry: list[str] | None = None) -> DataFrame:
     """doc_id, p_<category> for each category, and toxic: the last category's probability is at least threshold."""
     categories = categories or default_categories()
     model = train(docs, labels, categories, max_labelled, features)
