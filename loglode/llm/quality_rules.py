@@ -28,6 +28,7 @@ from .common import written
 BLANK = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 FLOOR = 0.05
+SALTS = 16  # a group's rows meet its parameters under so many keys, so a group with a third of all rows is no single task
 X = ("x1", "x2", "x3", "x4")
 
 
@@ -103,9 +104,14 @@ def _factor(moments: DataFrame, scale: float) -> DataFrame:
     return out.select("g", *[f"m{i}" for i in range(4)], *[f"l{i}{j}" for i in range(4) for j in range(i + 1)])
 
 
+def _join(rows: DataFrame, parameters: DataFrame) -> DataFrame:
+    """rows (with g and salt) beside the parameters of their group."""
+    return rows.join(parameters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["g", "salt"])
+
+
 def _distance(rows: DataFrame, factor: DataFrame) -> DataFrame:
     """rows with d2, the squared Mahalanobis distance, by forward substitution."""
-    out = rows.join(factor, "g")
+    out = _join(rows, factor)
     for i in range(4):
         inner = F.col(X[i]) - F.col(f"m{i}")
         for k in range(i):
@@ -116,9 +122,10 @@ def _distance(rows: DataFrame, factor: DataFrame) -> DataFrame:
 
 def mcd_distances(rows: DataFrame, share: float = 0.75, steps: int = 3) -> DataFrame:
     """rows (g, x1..x4 and others) with d2, the robust squared distance within g."""
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
     median = [F.percentile_approx(x, 0.5, 10_000).alias(f"m{i}") for i, x in enumerate(X)]
     centre = written(rows.groupBy("g").agg(*median), "centre")
-    away = rows.join(centre, "g").select("g", *[F.abs(F.col(x) - F.col(f"m{i}")).alias(x) for i, x in enumerate(X)])
+    away = _join(rows, centre).select("g", *[F.abs(F.col(x) - F.col(f"m{i}")).alias(x) for i, x in enumerate(X)])
     spread = away.groupBy("g").agg(*[F.percentile_approx(x, 0.5, 10_000).alias(f"c{i}{i}") for i, x in enumerate(X)])
     spread = spread.select("g", *[(F.pow(F.col(f"c{i}{i}") * 1.4826, F.lit(2))).alias(f"c{i}{i}") for i in range(4)])
     start = centre.join(spread, "g").withColumns({f"c{j}{i}": F.lit(0.0) for i in range(4) for j in range(i)})
@@ -128,11 +135,11 @@ def mcd_distances(rows: DataFrame, share: float = 0.75, steps: int = 3) -> DataF
     for _ in range(steps):
         far = _distance(rows, factor)
         near = far.groupBy("g").agg(F.percentile_approx("d2", share, 10_000).alias("q"))
-        core = far.join(near, "g").where(F.col("d2") <= F.col("q"))
+        core = _join(far, near).where(F.col("d2") <= F.col("q"))
         means = [F.avg(x).alias(f"m{i}") for i, x in enumerate(X)]
         covs = [F.covar_pop(X[j], X[i]).alias(f"c{j}{i}") for i in range(4) for j in range(i + 1)]
         factor = written(_factor(core.groupBy("g").agg(*means, *covs), consistent), "factor")
-    return _distance(rows, factor)
+    return _distance(rows, factor).drop("salt")
 
 
 def quality_rules(docs: DataFrame, share: float = 0.75, steps: int = 3, tail: float = 1e-4, least: int = 50) -> DataFrame:
