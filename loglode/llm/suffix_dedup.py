@@ -107,42 +107,65 @@ class ColumnwiseBWT:
         return out
 
 
-def repeated_in_shard(strings: list[bytes], window: int) -> list[np.ndarray]:
-    """Which windows of each string are repeated among all of them.
+def without_anchors(strings: list[bytes], anchors: np.ndarray, n_win: np.ndarray, gram: int) -> tuple[list[bytes], int]:
+    """The strings with their anchor replaced by a short name, and the name's length.
+
+    All windows of a segment hold its anchor, a run of `gram` bytes that all segments under it share.  Written as its
+    number in the shard, in bytes that UTF-8 never uses, it leaves equal windows equal and others different.
+    """
+    lengths = np.array([len(x) for x in strings])
+    grams = gram_hashes(BYTE_HASH[np.frombuffer(b"".join(strings), np.uint8)], gram)
+    begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    owner = np.repeat(np.arange(len(strings)), lengths)[: len(grams)]
+    at = np.flatnonzero(grams == anchors[owner])
+    at = at[at - begin[owner[at]] >= n_win[owner[at]] - 1]  # the last window's leftmost
+    _, first = np.unique(owner[at], return_index=True)
+    place = at[first] - begin
+    number = np.unique(anchors, return_inverse=True)[1].tolist()
+    digits = 1
+    while 9**digits <= max(number):
+        digits += 1
+    names = [bytes(0xF5 + k // 9**d % 9 for d in range(digits)) for k in range(max(number) + 1)]
+    return [x[:p] + names[k] + x[p + gram :] for x, p, k in zip(strings, place.tolist(), number)], digits
+
+
+def repeated_in_shard(strings: list[bytes], anchors: np.ndarray, n_win: np.ndarray, window: int, gram: int) -> list[np.ndarray]:
+    """Which windows of each segment are repeated among all segments of the shard.
 
     A window whose hash is its own alone cannot repeat, so it is trimmed off before the index is built.  Of windows
     with one hash the first two stand in the index; what it finds for them holds for the others.
     """
     lengths = np.array([len(x) for x in strings])
     hashes = gram_hashes(BYTE_HASH[np.frombuffer(b"".join(strings), np.uint8)], window)
-    sizes = np.maximum(0, lengths - window + 1)
-    begin, edges = np.concatenate([[0], np.cumsum(lengths)]), np.concatenate([[0], np.cumsum(sizes)])
-    at = np.arange(edges[-1]) + np.repeat(begin[:-1] - edges[:-1], sizes)  # where each window starts in the joined text
+    begin, edges = np.concatenate([[0], np.cumsum(lengths)]), np.concatenate([[0], np.cumsum(n_win)])
+    at = np.arange(edges[-1]) + np.repeat(begin[:-1] - edges[:-1], n_win)  # where each window starts in the joined text
     _, group, count = np.unique(hashes[at], return_inverse=True, return_counts=True)
     order = np.argsort(group, kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order)) - np.repeat(np.cumsum(count) - count, count)
     kept = (count[group] > 1) & (rank < 2)
     new = np.zeros(len(kept), bool)
-    new[edges[:-1][sizes > 0]] = True
+    new[edges[:-1]] = True
     first = np.flatnonzero(kept & (new | ~np.concatenate([[False], kept[:-1]])))
     last = np.flatnonzero(kept & np.concatenate([new[1:] | ~kept[1:], [True]])[: len(kept)])
     confirmed = np.zeros(len(count), bool)
     if len(first):
-        text = b"".join(strings)
-        pieces = [text[at[a] : at[b] + window] for a, b in zip(first, last)]
+        short, digits = without_anchors(strings, anchors, n_win, gram)
+        size = window - gram + digits
+        owner = np.searchsorted(edges, first, side="right") - 1
+        pieces = [short[o][a : b + size] for o, a, b in zip(owner.tolist(), (first - edges[owner]).tolist(), (last - edges[owner]).tolist())]
         with tempfile.TemporaryDirectory() as folder:  # this task's own files; they go with it
-            marks = ColumnwiseBWT(pieces, window, folder).windows()
+            marks = ColumnwiseBWT(pieces, size, folder).windows()
         for a, mark in zip(first, marks):
             confirmed[group[a : a + len(mark)][mark]] = True
     return [confirmed[group[a:b]] for a, b in zip(edges[:-1], edges[1:])]
 
 
-def repeated(docs: DataFrame, window: int = 400, gram: int = 200, group_limit: int = 8192):
+def repeated(docs: DataFrame, window: int = 400, gram: int = 320, group_limit: int = 8192):
     unit = Unit(False, window, gram)
 
     def index(table: pa.Table) -> pa.Table:
-        marks = repeated_in_shard(table["content"].to_pylist(), window)
+        marks = repeated_in_shard(table["content"].to_pylist(), table["anchor"].to_numpy().view(np.uint64), table["n_win"].to_numpy().astype(np.int64), window, gram)
         keep = np.array([c == 1 and m.any() for c, m in zip(table["copies"].to_pylist(), marks)], bool)
         table = table.filter(pa.array(keep))
         payload = [m.tobytes() for m, k in zip(marks, keep) if k]
@@ -161,7 +184,7 @@ def repeated(docs: DataFrame, window: int = 400, gram: int = 200, group_limit: i
     return unit, repeated_windows(docs, unit, index, ANSWER, whole, read, keep_first=False, lone=False, group_limit=group_limit)
 
 
-def suffix_dedup(docs: DataFrame, window: int = 400, gram: int = 200, group_limit: int = 8192) -> DataFrame:
+def suffix_dedup(docs: DataFrame, window: int = 400, gram: int = 320, group_limit: int = 8192) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans, kept_text, kept_sha256, text_sha256 of every document.
 
     The hash is of the kept bytes; kept_text leaves out characters that a cut has split.
