@@ -95,7 +95,7 @@ def scores_query(spark, d):
 
 SCORES_SQL = """SELECT event_id, epoch_us(ts) / 1e6 AS iso,
   CAST(month(ts) * 31 * 86400 + day(ts) * 86400 + hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS DOUBLE) AS syslog,
-  event_id + 0.5 AS uptime, CASE WHEN event_id % 3 = 0 THEN 1000.0 ELSE -CAST(event_id AS DOUBLE) END AS fallback FROM events"""
+  CAST(event_id + 0.5 AS DOUBLE) AS uptime, CASE WHEN event_id % 3 = 0 THEN 1000.0 ELSE -CAST(event_id AS DOUBLE) END AS fallback FROM events"""
 
 
 def tags_query(spark, d):

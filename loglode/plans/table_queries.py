@@ -76,7 +76,7 @@ SELECT file_path, series, '%' AS unit, line_no - 1 AS idx, (line_no - 1)::VARCHA
 
 def time_values(spark, d):
     e = Views(spark, d).table("events")
-    lines = e.select(F.lit("load.txt").alias("file_path"), (F.col("event_id") + 1).alias("line_no"), F.concat(F.date_format("ts", "HH:mm:ss"), F.format_string("  %.1f", "value")).alias("content"))
+    lines = e.select(F.lit("load.txt").alias("file_path"), (F.col("event_id") + 1).alias("line_no"), F.concat(F.date_format("ts", "HH:mm:ss"), F.format_string("  %.2f", "value")).alias("content"))
     return C.threshold_anomalies(C.parse_time_value(lines), 90, 95)
 
 
@@ -188,7 +188,7 @@ QUERIES = {
     "c02_c05_iostat": (iostat, IOSTAT_SQL),
     "c03_vmstat": (vmstat, VMSTAT_SQL),
     "c04_time_values": (time_values, """SELECT 'load.txt' AS file_path, 'value' AS series, event_id AS idx, strftime(ts, '%H:%M:%S') AS t, v AS value, CASE WHEN v >= 95 THEN 'CRITICAL' ELSE 'WARNING' END AS severity, event_id + 1 AS line_no
-FROM (SELECT *, CAST(printf('%.1f', value) AS DOUBLE) AS v FROM events) WHERE v >= 90"""),
+FROM (SELECT *, CAST(printf('%.2f', value) AS DOUBLE) AS v FROM events) WHERE v >= 90"""),
     "c06_slice_window": (lambda s, d: C.slice_window(Views(s, d).metrics(), START, END).select("series", "idx", "t", "value"), with_views(f"""SELECT series, idx - a AS idx, t, value FROM metrics, (SELECT coalesce(min(idx) FILTER (t >= '{START}'), 0) AS a, coalesce(max(idx) FILTER (t <= '{END}'), max(idx)) AS b FROM metrics) WHERE idx BETWEEN a AND b""", "metrics")),
     "c07_anomalies": (lambda s, d: C.detect_anomalies(Views(s, d).metrics()), with_views("SELECT * FROM anomalies", "metrics", more=STEPS)),
     "c08_downsample": (lambda s, d: downsampled(s, d).select("series", "idx", "new_idx", "value"), with_views("SELECT series, idx, new_idx, value FROM metrics JOIN numbered USING (idx)", "metrics", more=DOWN)),
