@@ -45,7 +45,7 @@ def delete(df: DataFrame) -> None:
 class WordHashes(dict):
     """word -> 64-bit hash, remembered for frequent words; forgets everything at `limit` words."""
 
-    def __init__(self, limit: int = 200_000):
+    def __init__(self, limit: int = 400_000):
         super().__init__()
         self.limit = limit
 
@@ -59,6 +59,12 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+@functools.lru_cache(maxsize=1)
+def word_hashes() -> WordHashes:
+    """One memory of hashes per Python worker, which tasks share."""
+    return WordHashes()
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, which spreads every input bit over all output bits."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, gram_hashes, mix
+from .common import WordHashes, gram_hashes, mix, word_hashes
 
 WORD = re.compile(r"\w+")
 SCHEMA = "doc_id long, item_id long, n_shingles long, n_shared long, containment double"
@@ -40,7 +40,7 @@ class Ensemble:
     """Items of one block: their shingles, by shingle length, and minima by item size class."""
 
     def __init__(self, items: list[tuple], shingle: int, threshold: float, miss: float):
-        self.threshold, self.miss, self.items, memo = threshold, miss, [], WordHashes()
+        self.threshold, self.miss, self.items, memo = threshold, miss, [], word_hashes()
         by_length: dict[int, list] = defaultdict(list)
         for item_id, text in items:
             words = words_of(text)
@@ -122,7 +122,7 @@ def _scan(items: list[tuple], shingle: int, threshold: float, miss: float):
     types = [pa.int64()] * 4 + [pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ensemble, memo = Ensemble(items, shingle, threshold, miss), WordHashes()
+        ensemble, memo = Ensemble(items, shingle, threshold, miss), word_hashes()
         for t in batches:
             out = [(d, *m) for d, text in zip(t["doc_id"].to_pylist(), t["text"].to_pylist()) for m in ensemble.matches(text, memo)]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, types)], names=names)

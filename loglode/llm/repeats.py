@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, WordHashes, gram_hashes, mix, scratch_path, span_hashes, written
+from .common import NULL_ID, WordHashes, gram_hashes, mix, scratch_path, span_hashes, word_hashes, written
 
 CHUNK = 1 << 20
 SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -134,7 +134,7 @@ def repeated_anchors(docs: DataFrame, unit: Unit, buckets: int) -> DataFrame:
     """(batch, payload): the anchors of the batch that occur twice or more in the corpus, packed."""
 
     def emit(table: pa.Table) -> pa.Table:
-        memo = WordHashes()
+        memo = word_hashes()
         hashes = [unit.hashes(unit.parts(t), memo) for t in table["text"].to_pylist()]
         keys = [r[3] for r in runs(unit, hashes)]
         if not keys:
@@ -172,7 +172,7 @@ def segments(docs: DataFrame, anchors: DataFrame, unit: Unit) -> DataFrame:
             again = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in right["payload"].to_pylist()]))
             ids, texts = ordered(left)
             ids = np.array([NULL_ID if i is None else i for i in ids])
-            memo, batch = WordHashes(), left["batch"][0].as_py()
+            memo, batch = word_hashes(), left["batch"][0].as_py()
             hashes = [unit.hashes(unit.parts(t), memo) for t in texts]
             for doc, start, n_win, anchor, c1 in runs(unit, hashes, content=True):
                 at = np.minimum(np.searchsorted(again, anchor), len(again) - 1)
@@ -200,7 +200,7 @@ def with_content(docs: DataFrame, picked: DataFrame, unit: Unit) -> DataFrame:
     def emit(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
         if right.num_rows:
-            memo, seen = WordHashes(), {}
+            memo, seen = word_hashes(), {}
             texts = ordered(left)[1]
             for o, s, n in zip(right["ord"].to_pylist(), right["start"].to_pylist(), right["n_win"].to_pylist()):
                 if o not in seen:
@@ -228,7 +228,7 @@ def hot_windows(docs: DataFrame, segs: DataFrame, unit: Unit, buckets: int, keep
         if not right.num_rows or not left.num_rows:
             return _table([], *PACKED_ARROW)
         ids, texts = ordered(left)
-        memo, made = WordHashes(), {}
+        memo, made = word_hashes(), {}
         out = []
         for o, s, n in zip(right["ord"].to_pylist(), right["start"].to_pylist(), right["n_win"].to_pylist()):
             if o not in made:
