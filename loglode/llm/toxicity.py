@@ -124,9 +124,10 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict, max_labelled: in
     """The fitted chain, pickled; categories maps a name to a Column of labels that is 1, 0 or null."""
     picked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *[c.cast("int").alias(f"y{i}") for i, c in enumerate(categories.values())])
     names = [f"y{i}" for i in range(len(categories))]
+    # At most max_labelled rows of a few numbers each, so this side is bounded.
     picked = picked.dropna().orderBy(F.xxhash64("doc_id"), *names).limit(max_labelled)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.join(picked, "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int"))
+    rows = rows.join(F.broadcast(picked), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
