@@ -73,8 +73,9 @@ class ColumnwiseBWT:
         out_lcp[new[follows] + 1] = next_lcp[follows]
         out_lcp[new] = self_lcp
         self.rows[live] = new
-        out_bwt.tofile(self.files[0])
-        out_lcp.tofile(self.files[1])
+        for name, values in zip(self.files, (out_bwt, out_lcp)):
+            with name.open("r+b") as f:  # the longer arrays go over the shorter ones: truncating would wait for the disk
+                values.tofile(f)
 
     def _minima(self, lcp: np.ndarray, a: np.ndarray, b: np.ndarray, valid: np.ndarray) -> np.ndarray:
         """1 + min(lcp[a+1 .. b]), at most cap; 0 where not valid."""
