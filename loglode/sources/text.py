@@ -20,8 +20,8 @@ def read_log_lines(spark: SparkSession, paths: str | list[str], archive_id: str
     """archive_id, file_path (relative to its root), line_no (from 1) and content of every line below paths.
 
     .gz and .bz2 files are read as the logs they hold.  A line's number is its place in its split plus the number of
-    lines in the file's earlier splits; only the counts per split are aggregated and sent back, never the lines.
-    Both passes see the same splits, so keep files and spark.sql.files.maxPartitionBytes fixed; write the result once.
+    lines in the file's earlier splits.  Only counts per split are aggregated; they are broadcast back while they are
+    few, else joined by split, which has no hot key.  Both passes see the same splits, so keep files and spark.sql.files.maxPartitionBytes fixed; write the result once.
     """
     roots = [paths] if isinstance(paths, str) else list(paths)
     raw = spark.read.option("recursiveFileLookup", "true").text(roots)
