@@ -1,12 +1,15 @@
 """Operator 10: licence scans by sentence rules.
 
-Texts are cut into sentences; a normalised sentence (lower case, runs of other characters than a-z and 0-9 as one
-space) that is a known licence sentence becomes its identifier.  The identifiers of a document, in order, are matched
+Texts are cut into pieces at line ends and at punctuation before a blank; pieces are normalised (lower case, runs of
+other characters than a-z and 0-9 as one space).  A run of whole neighbouring pieces that reads as a known licence
+sentence becomes its identifier, the longest run first, so that wrapped lines, 'v. 2.0' and 'SPDX-License-Identifier: MIT'
+are met as well as a sentence on a line of its own; a blank line ends a run.  The identifiers of a document, in order, are matched
 against the ordered licence rules: a rule whose identifiers stand next to each other reports its licence and uses
 them up, so that earlier (more specific) rules win.  Identifiers that no rule uses are reported as unknown.
 
 Null and empty texts give no identifiers.  Every document has a row; rows that share a doc_id keep a row each.  A text
 without any of the trigger words cannot hold a known sentence and is not cut; every known sentence has a trigger.
+The SQL meets sentences of one piece only.
 """
 
 from __future__ import annotations
@@ -48,6 +51,15 @@ SENTENCES = [
     ("rights-reserved", "copyright all rights reserved"),
 ]
 
+# The same sentences as the usual notices go on; not in the SQL.
+LONGER = [
+    ("mit-grant", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    ("as-is-software", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("bsd-as-is", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+    ("apache-2-copy", "you may obtain a copy of the license at http www apache org licenses license 2 0"),
+    ("apache-2-copy", "you may obtain a copy of the license at https www apache org licenses license 2 0"),
+]
+
 # Licences and the identifiers that show them, the most specific first.
 RULES = [
     ("Apache-2.0", ["apache-2-the-license", "apache-2-compliance", "apache-2-copy", "apache-2-as-is"]),
@@ -81,19 +93,24 @@ RULES = [
 
 TRIGGERS = "licen[cs]e|permission|redistribut|as is|as-is|copyright|free software"
 ENDS = "[.!?;:]+[ \\t]|[.!?;:]*\\r?\\n"
+WRAPPED_TRIGGERS = "licen[cs]e|permission|redistribut|as[^a-z0-9]+is|copyright|free[^a-z0-9]+software"
+PIECE_ENDS = "[.!?;:]+[ \\t]++(?:\\r?\\n)?|[.!?;:]*\\r?\\n"  # blanks and the line end after punctuation end one piece
 
 
-def known_identifiers(docs: DataFrame, sentences: list[tuple[str, str]] = SENTENCES) -> DataFrame:
+def known_identifiers(docs: DataFrame, sentences: list[tuple[str, str]] = SENTENCES + LONGER) -> DataFrame:
     """doc_id and ids, the identifiers of the document's known sentences in order."""
     table = F.create_map(*[F.lit(x) for name, sentence in sentences for x in (sentence, name)])
-    parts = F.split(F.col("text"), ENDS)
-    plain = F.transform(parts, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    names = F.filter(F.transform(plain, lambda s: F.try_element_at(table, s)), lambda x: x.isNotNull())
+    any_of = "|".join(s.replace(" ", "[ \n]") for s in sorted((s for _, s in sentences), key=len, reverse=True))
+    plain = F.regexp_replace(F.regexp_replace(F.lower("text"), PIECE_ENDS, "\n"), "[^a-z0-9\n]+", " ")
+    plain = F.concat(F.lit("\n"), F.regexp_replace(plain, " ?\n ?", "\n"), F.lit("\n"))
+    plain = F.regexp_replace(plain, "^\n | \n$", "\n")
+    found = F.regexp_extract_all(plain, F.lit(f"\n({any_of})(?=\n)"), F.lit(1))
+    names = F.transform(found, lambda s: F.try_element_at(table, F.translate(s, "\n", " ")))
     none = F.array().cast("array<string>")
-    return docs.select("doc_id", F.when(F.coalesce("text", F.lit("")).rlike(f"(?i){TRIGGERS}"), names).otherwise(none).alias("ids"))
+    return docs.select("doc_id", F.when(F.coalesce("text", F.lit("")).rlike(f"(?i){WRAPPED_TRIGGERS}"), names).otherwise(none).alias("ids"))
 
 
-def scan_licenses(docs: DataFrame, sentences: list[tuple[str, str]] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
+def scan_licenses(docs: DataFrame, sentences: list[tuple[str, str]] = SENTENCES + LONGER, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
     """doc_id, n_sentences (known ones), sentence_ids, licenses (in rule order) and unknown_ids, joined by commas."""
     d = known_identifiers(docs, sentences)
     d = d.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"))
