@@ -139,8 +139,8 @@ def diff_parts(spark, d):
 
 
 def doc_sides(spark, d):
-    """Masked first lines of documents: the even ones against the odd ones."""
-    lines = Views(spark, d).doc_lines().where("line_no <= 2")
+    """Masked lines of documents: the even ones against the odd ones."""
+    lines = Views(spark, d).doc_lines()
     odd = F.substring_index("file_path", "/", -1).cast("long") % 2
     return T.masked_patterns(lines.where(odd == 0)), T.masked_patterns(lines.where(odd == 1))
 
