@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,12 +23,21 @@ def _own_scratch(app_id: str) -> str:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_scratch(spark.sparkContext.applicationId)
+    """The folder all executors share: spark.checkpoint.dir.  Local mode (tests) may do without the setting."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder or _own_scratch(spark.sparkContext.applicationId)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark).rstrip('/')}/loglode/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_dir(spark).rstrip('/')}/loglode-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove this application's scratch tables; for when the results that read them are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark).rstrip('/')}/loglode-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -42,6 +55,67 @@ def delete(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Memo(dict):
+    """key -> make(key), remembered in two generations of limit/2 keys: what is asked for again outlives what is not."""
+
+    def __init__(self, make: Callable, limit: int):
+        super().__init__()
+        self.make, self.half, self.old = make, max(1, limit // 2), {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+_held: dict = {}
+
+
+def memory(key, make: Callable):
+    """What Python workers keep between tasks: one thing at a time, so a later stage starts without an earlier one's."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """(from, to) of runs of texts with at most `most` bytes together; a longer text is a run of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    a = 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
+        yield a, b
+        a = b
+
+
+SPACES = np.zeros(256, bool)
+SPACES[[9, 10, 11, 12, 13, 32]] = True
+
+
+class Words:
+    """The words (runs without ASCII white space) of some texts: where each lies in the joined texts, and whose it is."""
+
+    def __init__(self, texts: list[bytes]):
+        self.data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+        space = SPACES[self.data]
+        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+        if len(space) and not space[0]:
+            edge = np.concatenate([[0], edge])
+        self.start, self.stop = edge[0::2], edge[1::2]
+        ends = np.cumsum([len(x) + 1 for x in texts], dtype=np.int64)
+        self.edges = np.concatenate([[0], np.searchsorted(self.start, ends)])  # words of text i: edges[i] to edges[i + 1]
+
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of every word, from its bytes."""
+        return span_hashes(BYTE_HASH[self.data], self.start, self.stop, mixed=True)
+
+
 class WordHashes(dict):
     """word -> 64-bit hash, remembered for frequent words; forgets everything at `limit` words."""
 
@@ -59,10 +133,21 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-@functools.lru_cache(maxsize=1)
-def word_hashes() -> WordHashes:
-    """One memory of hashes per Python worker, which tasks share."""
-    return WordHashes()
+def word_hashes(texts: list[bytes] | None = None, most: int = 1 << 20):
+    """The hashes of the words of each text, computed over runs of texts of `most` bytes; without texts, a memory of hashes."""
+    if texts is None:
+        return memory("words", WordHashes)
+    out: list[np.ndarray] = []
+    a = 0
+    while a < len(texts):
+        b, size = a, 0
+        while b < len(texts) and (b == a or size + len(texts[b]) < most):
+            size += len(texts[b]) + 1
+            b += 1
+        words = Words(texts[a:b])
+        out += np.split(words.hashes(), words.edges[1:-1])
+        a = b
+    return out
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -73,6 +158,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 BASE = 0x9E3779B97F4A7C15 | 1
+BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def gram_hashes(h: np.ndarray, m: int) -> np.ndarray:
@@ -105,8 +191,9 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def span_hashes(h: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """Hash of every span h[start:stop], which depends on its symbols only."""
+def span_hashes(h: np.ndarray, start: np.ndarray, stop: np.ndarray, mixed: bool = False) -> np.ndarray:
+    """Hash of every span h[start:stop], which depends on its symbols only; mixed: h needs no mixing first."""
     power, inverse = _powers(1 << int(len(h)).bit_length())
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h) * power[: len(h)], dtype=np.uint64)])
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum((h if mixed else mix(h)) * power[: len(h)], out=total[1:])
     return mix((total[stop] - total[start]) * inverse[start] ^ (stop - start).astype(np.uint64))
