@@ -28,8 +28,8 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = encoder(path)
         for t in batches:
-            n = [len(pieces.encode(x)) // pieces.dtype.itemsize + 1 for x in t["text"].to_pylist()]
-            yield pa.record_batch([t["doc_id"], pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
+            n = [c + 1 for _, c, _ in pieces.encode_all(t["text"], ids=False)]
+            yield pa.record_batch([t["doc_id"], pa.array(np.concatenate([np.zeros(0, np.int64), *n]))], names=["doc_id", "n_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(count, "doc_id long, n_tokens long")

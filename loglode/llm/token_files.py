@@ -27,6 +27,7 @@ from .common import scratch_path, written
 from .tokens import encoder, tokenizer_path
 
 MANIFEST = "part int, path string, n_docs long, n_tokens long"
+INDEX = pa.schema([(name, pa.int64()) for name in ("doc_id", "first", "n_tokens")])
 PADDING = 0
 
 
@@ -110,28 +111,28 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 2,
     """Write docs (doc_id, text) below folder; return the manifest (part, path, n_docs, n_tokens)."""
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, pieces, writer, at, index = TaskContext.get().partitionId(), encoder(path), None, 0, []
-        width, end = pieces.dtype.itemsize, np.array([end_id], pieces.dtype).tobytes()
+        end = np.array([end_id], pieces.dtype)
         store, base = _store(folder)
         own, name = f"{base}/{uuid.uuid4().hex}.tmp", f"part-{part:07d}.arrow"
         for t in batches:
-            for doc_id, text in zip(t["doc_id"].to_pylist(), t["text"].to_pylist()):
+            for a, counts, ids in pieces.encode_all(t["text"]):
                 if writer is None:
                     store.create_dir(base, recursive=True)
                     sink = store.open_output_stream(own)
                     writer = SequenceWriter(sink, length, sequences, pieces.dtype)
-                ids = pieces.encode(text) + end
-                writer.add(ids)
-                index.append((doc_id, at, len(ids) // width))
-                at += len(ids) // width
+                first = at + np.cumsum(counts + 1) - counts - 1
+                writer.add(np.insert(ids, np.cumsum(counts), end).tobytes())
+                index.append(pa.record_batch([t["doc_id"][a : a + len(counts)], pa.array(first), pa.array(counts + 1)], schema=INDEX))
+                at += int(counts.sum()) + len(counts)
         if writer is not None:
             writer.close()
             sink.close()
-            columns = [pa.array(c, pa.int64()) for c in zip(*index)]
-            with store.open_output_stream(f"{own}.index") as f, pa.ipc.new_file(f, pa.schema([(n, pa.int64()) for n in ("doc_id", "first", "n_tokens")])) as out:
-                out.write_batch(pa.record_batch(columns, names=["doc_id", "first", "n_tokens"]))
+            with store.open_output_stream(f"{own}.index") as f, pa.ipc.new_file(f, INDEX) as out:
+                for some in index:
+                    out.write_batch(some)
             store.move(f"{own}.index", f"{base}/{name}.index")
             store.move(own, f"{base}/{name}")
-            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([len(index)], pa.int64()), pa.array([at], pa.int64())], names=["part", "path", "n_docs", "n_tokens"])
+            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([sum(map(len, index))], pa.int64()), pa.array([at], pa.int64())], names=["part", "path", "n_docs", "n_tokens"])
 
     files = max(1, -(-docs.count() // rows_per_file))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
