@@ -9,9 +9,11 @@ The models are fitted on at most `max_labelled` labelled rows (by hash of doc_id
 document is scored, over its whole text.  The chain follows the order of the given label columns: the labels table has
 quality and toxic, so the default chain is low_quality, then toxic.
 
-Null and empty texts have no features and get the models' base rates.  Labels that are null are left out of the fit,
-and documents with several label rows count once per row.  Without any labelled document, or with one class only, a
-category gets a constant model.
+The last category's threshold is the one with the best F1 on out-of-fold scores, unless one is given.
+
+Texts without words (null and empty ones among them) get the share of each category among the labelled rows and are
+never toxic.  Labels that are null are left out of the fit, and documents with several label rows count once per row.
+Without any labelled document a category has probability 0 (nearly), and a threshold of 0.5 holds.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Memo, memory, slices
+
 WORD = re.compile(r"\w+")
 BEGINNINGS = (4, 5, 6, 7)
 FOLDS = 5
@@ -39,21 +43,11 @@ def words_of(text: str | None) -> set[str]:
     return set(WORD.findall(text.lower())) if text else set()
 
 
-class WordFeatures(dict):
-    """word -> numbers of the chosen features that it has; remembers up to `limit` words."""
-
-    def __init__(self, chosen: dict[int, int], limit: int = 300_000):
-        super().__init__()
-        self.chosen, self.limit = chosen, limit
+class WordFeatures(Memo):
+    """word -> numbers of the chosen features that it has."""
 
-    def __missing__(self, word: str) -> tuple:
-        if len(self) >= self.limit:
-            self.clear()
-        out = self[word] = tuple(self.chosen[f] for f in features_of_word(word) if f in self.chosen)
-        return out
-
-    def of(self, text: str | None) -> set[int]:
-        return {f for word in words_of(text) for f in self[word]}
+    def __init__(self, chosen: dict[int, int], limit: int = 200_000):
+        super().__init__(lambda word: tuple(chosen[f] for f in features_of_word(word) if f in chosen), limit)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.3, rounds: int = 200) -> np.ndarray:
@@ -98,30 +92,50 @@ def choose_features(docs: list[np.ndarray], labels: np.ndarray, features: int) -
     return {int(which[i]): k for k, i in enumerate(order) if best[i] >= 0}
 
 
-def fit_chain(docs: list[np.ndarray], folds: np.ndarray, labels: np.ndarray, features: int) -> tuple[dict[int, int], list[np.ndarray]]:
-    """The chosen features and one model per category; model k takes k earlier probabilities after the features."""
+def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """Half way between the neighbouring scores that part the classes with the best F1; 0.5 with one class only."""
+    order = np.argsort(-p, kind="stable")
+    p, y = p[order], y[order]
+    if not len(y) or y.all() or not y.any():
+        return 0.5
+    hits, ends = np.cumsum(y), np.flatnonzero(np.append(p[1:] != p[:-1], True))
+    f1 = 2 * hits[ends] / (ends + 1 + y.sum())
+    at = int(ends[int(np.argmax(f1))])
+    return float((p[at] + (p[at + 1] if at + 1 < len(p) else 0)) / 2)
+
+
+def out_of_fold(x: np.ndarray, y: np.ndarray, folds: np.ndarray, otherwise: np.ndarray) -> np.ndarray:
+    """Each row's probability by a model that did not see its fold."""
+    out = otherwise.copy()
+    for fold in range(FOLDS):
+        held = folds == fold
+        if held.any() and not held.all():
+            out[held] = predict(logistic(x[~held], y[~held]), x[held])
+    return out
+
+
+def fit_chain(docs: list[np.ndarray], folds: np.ndarray, labels: np.ndarray, features: int) -> tuple[dict[int, int], list[np.ndarray], list[float], float]:
+    """The chosen features, a model per category (model k takes k earlier probabilities after the features), the share of
+    each category, and the threshold of the last."""
     if not len(docs):
-        return {}, [np.array([-30.0] * (1 + k), np.float32) * (np.arange(1 + k) == k) for k in range(labels.shape[1])]
+        empty = [np.array([-30.0] * (1 + k), np.float32) * (np.arange(1 + k) == k) for k in range(labels.shape[1])]
+        return {}, empty, [0.0] * labels.shape[1], 0.5
     chosen = choose_features(docs, labels, features)
     x = np.zeros((len(docs), len(chosen)), np.float32)
     for i, d in enumerate(docs):
         x[i, [chosen[f] for f in d.tolist() if f in chosen]] = 1
-    models = []
+    models, threshold = [], 0.5
     for k in range(labels.shape[1]):
         y = labels[:, k].astype(np.float32)
         models.append(logistic(x, y))
-        out_of_fold = predict(models[-1], x)
-        if k + 1 < labels.shape[1]:
-            for fold in range(FOLDS):
-                held = folds == fold
-                if held.any() and not held.all():
-                    out_of_fold[held] = predict(logistic(x[~held], y[~held]), x[held])
-            x = np.hstack([x, out_of_fold[:, None].astype(np.float32)])
-    return chosen, models
+        unseen = out_of_fold(x, y, folds, predict(models[-1], x))
+        threshold = best_threshold(unseen, labels[:, k].astype(bool))
+        x = np.hstack([x, unseen[:, None].astype(np.float32)])
+    return chosen, models, labels.mean(axis=0).tolist(), threshold
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict, max_labelled: int, features: int) -> bytes:
-    """The fitted chain, pickled; categories maps a name to a Column of labels that is 1, 0 or null."""
+    """What fit_chain returns, pickled; categories maps a name to a Column of labels that is 1, 0 or null."""
     picked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *[c.cast("int").alias(f"y{i}") for i, c in enumerate(categories.values())])
     names = [f"y{i}" for i in range(len(categories))]
     # At most max_labelled rows of a few numbers each, so this side is bounded.
@@ -152,29 +166,35 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict, max_labelled: in
 
 
 def score(docs: DataFrame, model: bytes, categories: list[str], carry: list[str] | None = None) -> DataFrame:
-    """doc_id and a probability p_<category> for every row; carry names further columns of docs to keep."""
+    """doc_id, a probability p_<category> and _words (has the text any?) for every row; carry names further columns of
+    docs to keep."""
     extra = carry or []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
 
+    kept = ["doc_id", *(["text", *extra] if carry is not None else [])]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chosen, models = pickle.loads(model)
-        lookup = WordFeatures(chosen)
-        for t in batches:
-            found = [sorted(lookup.of(x)) for x in t["text"].to_pylist()]
-            at = np.repeat(np.arange(len(found)), [len(f) for f in found])
-            which = np.concatenate([np.array(f, int) for f in found]) if found else np.zeros(0, int)
-            before: list[np.ndarray] = []
-            for k, w in enumerate(models):
-                z = np.bincount(at, w[which], minlength=len(found)) + w[-1]
-                for j, p in enumerate(before):
-                    z = z + w[len(chosen) + j] * p
-                before.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-            kept = [t["doc_id"], *(t[c] for c in (["text", *extra] if carry is not None else []))]
-            names = ["doc_id", *(["text", *extra] if carry is not None else []), *(f"p_{c}" for c in categories)]
-            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(p) for p in before)], names)
+        chosen, models, shares, _ = pickle.loads(model)
+        lookup = memory(("features", zlib.crc32(model)), lambda: WordFeatures(chosen))
+        for batch in batches:
+            for a, b in slices(batch["text"]):
+                t = batch.slice(a, b - a)
+                words = [words_of(x) for x in t["text"].to_pylist()]
+                found = [sorted({f for w in some for f in lookup[w]}) for some in words]
+                at = np.repeat(np.arange(len(found)), [len(f) for f in found])
+                which = np.array([f for x in found for f in x], int)
+                before: list[np.ndarray] = []
+                for w in models:
+                    z = np.bincount(at, w[which], minlength=len(found)) + w[-1]
+                    for j, p in enumerate(before):
+                        z = z + w[len(chosen) + j] * p
+                    before.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+                some = np.array([len(x) > 0 for x in words], bool)
+                scores = [pa.array(np.where(some, p, share)) for p, share in zip(before, shares)]
+                yield pa.RecordBatch.from_arrays([*(t[c] for c in kept), *scores, pa.array(some)], [*kept, *(f"p_{c}" for c in categories), "_words"])
 
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ["doc_id long", *(f"`{c}` {types[c]}" for c in (["text", *extra] if carry is not None else [])), *(f"p_{c} double" for c in categories)]
+    schema = [*(f"`{c}` {types[c]}" for c in kept), *(f"p_{c} double" for c in categories), "_words boolean"]
     return rows.mapInArrow(run, ", ".join(schema))
 
 
@@ -182,12 +202,13 @@ def default_categories() -> dict:
     return {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")}
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, categories: dict | None = None, threshold: float = 0.4, max_labelled: int = 12_000, features: int = 400, carry: list[str] | None = None) -> DataFrame:
-    """doc_id, p_<category> for each category, and toxic: the last category's probability is at least threshold."""
+def toxicity(docs: DataFrame, labels: DataFrame, categories: dict | None = None, threshold: float | None = None, max_labelled: int = 12_000, features: int = 400, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, p_<category> for each category, and toxic: has words, and the last category's probability reaches threshold."""
     categories = categories or default_categories()
     model = train(docs, labels, categories, max_labelled, features)
+    least = pickle.loads(model)[-1] if threshold is None else threshold
     scored = score(docs, model, list(categories), carry)
-    return scored.withColumn("toxic", F.col(f"p_{list(categories)[-1]}") >= threshold)
+    return scored.withColumn("toxic", F.col("_words") & (F.col(f"p_{list(categories)[-1]}") >= least)).drop("_words")
 
 
 def op4_toxicity_chain(spark, sf_dir: str) -> DataFrame:
