@@ -4,7 +4,8 @@ A pair is two conversations, chosen and rejected.  The longest common prefix of
 prompt; what follows on each side is its completion, with the spans of assistant text that count for the loss (the
 rest is masked).  Turns are compared by place, so no conversation is gathered before its rendered row.
 
-A null role or text counts as empty.  Turns that share a number stand in order of role and text.  A pair with one side
+A null role or text counts as empty.  Turns without a number come first.  Turns that share a number stand in order of
+role and text.  A pair with one side
 only has an empty prompt; two equal sides give an all-prompt pair with empty completions.  Pairs with a null id are
 one pair.
 """
@@ -14,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import NULL_ID
+
 
 def _opening(role: Column) -> Column:
     return F.concat(F.lit("<|"), role, F.lit("|>\n"))
@@ -72,7 +75,7 @@ def stale_answer_pairs(conversations: DataFrame) -> DataFrame:
     conversation's first answer, or by an empty one where they are the same turn.  Without an assistant turn both
     sides are the whole conversation.
     """
-    c = conversations.select("conv_id", "turn", "role", "text")
+    c = conversations.select("conv_id", F.coalesce(F.col("turn").cast("long"), F.lit(NULL_ID)).alias("turn"), "role", "text")
     mine = Window.partitionBy("conv_id")
     answer = F.when(F.col("role") == "assistant", F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))
     c = c.withColumn("last", F.max(answer).over(mine)).withColumn("first", F.min(answer).over(mine))
@@ -88,11 +91,12 @@ def op5_preference_format(spark, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = """
-WITH ends AS (
+WITH turns AS (SELECT conv_id, coalesce(turn, -9223372036854775808) AS turn, role, text FROM conversations),
+ends AS (
   SELECT conv_id, turn, role, text,
     max(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY conv_id) AS last_turn,
     min(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY conv_id) AS first_turn
-  FROM conversations),
+  FROM turns),
 first_answer AS (SELECT conv_id, coalesce(text, '') AS answer FROM ends WHERE turn = first_turn AND role = 'assistant'),
 kept AS (SELECT e.*, f.answer FROM ends e LEFT JOIN first_answer f USING (conv_id) WHERE last_turn IS NULL OR turn <= last_turn),
 sided AS (
