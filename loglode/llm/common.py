@@ -11,7 +11,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 NULL_ID = -(1 << 63)
@@ -116,27 +115,8 @@ class Words:
         return span_hashes(BYTE_HASH[self.data], self.start, self.stop, mixed=True)
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, remembered for frequent words; forgets everything at `limit` words."""
-
-    def __init__(self, limit: int = 400_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def array(self, words: list) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-def word_hashes(texts: list[bytes] | None = None, most: int = 1 << 20):
-    """The hashes of the words of each text, computed over runs of texts of `most` bytes; without texts, a memory of hashes."""
-    if texts is None:
-        return memory("words", WordHashes)
+def word_hashes(texts: list[bytes], most: int = 1 << 20) -> list[np.ndarray]:
+    """The hashes of the words of each text, computed over runs of texts of `most` bytes."""
     out: list[np.ndarray] = []
     a = 0
     while a < len(texts):

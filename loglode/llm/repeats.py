@@ -8,7 +8,8 @@ nothing has to be compared with everything.  Neighbouring windows with one ancho
    first position and its number of copies, combined before the shuffle.
 3. Each distinct segment is fetched once and goes to the index of its shard (FM-index or growing BWT).
 4. An anchor with more than `group_limit` distinct segments would load one shard with a group that grows with the
-   corpus.  Its windows are instead compared by 128-bit hashes dealt over buckets, which is exact and has no hot key.
+   corpus.  Its windows are filed anew under longer grams, which spreads them over more anchors, and go through the
+   same index.  The last grams are as long as windows, so there every distinct window is an anchor of its own.
 
 Rows are known by (batch, ord): batch is a hash of doc_id, ord the rank by (doc_id, text) in the batch, so rows that
 share an id are documents of their own, in order of their text.  A null doc_id counts as lower than all others.
@@ -17,18 +18,16 @@ share an id are documents of their own, in order of their text.  A null doc_id c
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, WordHashes, gram_hashes, mix, scratch_path, span_hashes, word_hashes, written
+from .common import BYTE_HASH, NULL_ID, delete, gram_hashes, scratch_path, span_hashes, word_hashes, written
 
 CHUNK = 1 << 20
-SALT = np.uint64(0xD6E8FEB86659FD93)
-BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 @dataclass(frozen=True)
@@ -39,16 +38,18 @@ class Unit:
     window: int
     gram: int
 
-    def parts(self, text: str | None):
-        data = (text or "").encode()
+    def parts(self, data: bytes):
         return data.split() if self.words else data
 
-    def hashes(self, parts, memo: WordHashes) -> np.ndarray:
-        return memo.array(parts) if self.words else BYTE_HASH[np.frombuffer(parts, np.uint8)]
+    def hashes(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The symbols' hashes of each text."""
+        return word_hashes(texts) if self.words else [BYTE_HASH[np.frombuffer(x, np.uint8)] for x in texts]
 
-    def content(self, parts, hashes: np.ndarray, start: int, stop: int) -> bytes:
-        """The segment as the index reads it: 8 bytes a word (its hash), or the bytes themselves."""
-        return hashes[start:stop].tobytes() if self.words else parts[start:stop]
+    def grams(self) -> Iterator[Unit]:
+        """The same windows under longer and longer grams."""
+        yield self
+        for gram in sorted({(self.gram + self.window) // 2, self.window} - {self.gram}):
+            yield replace(self, gram=gram)
 
 
 def batched(docs: DataFrame, rows_per_batch: int) -> tuple[DataFrame, int]:
@@ -61,13 +62,15 @@ def batched(docs: DataFrame, rows_per_batch: int) -> tuple[DataFrame, int]:
     out = out.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).repartition(files, "batch")
     table = "loglode_" + path.rpartition("-")[2]
     out.write.option("compression", "zstd").bucketBy(files, "batch").sortBy("batch").option("path", path).saveAsTable(table)
-    return spark.table(table), n
+    rows = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the files stay, and rows knows them
+    return rows, n
 
 
 def ordered(table: pa.Table) -> tuple[list, list]:
-    """doc ids and texts of a batch, in (doc_id, text) order."""
-    rows = sorted(zip(table["doc_id"].to_pylist(), table["text"].to_pylist()), key=lambda r: (NULL_ID if r[0] is None else r[0], r[1] or "", r[1] is not None))
-    return [r[0] for r in rows], [r[1] for r in rows]
+    """doc ids and texts (as UTF-8, null as empty) of a batch, in (doc_id, text) order."""
+    rows = sorted(zip(table["doc_id"].to_pylist(), table["text"].cast(pa.binary()).to_pylist()), key=lambda r: (NULL_ID if r[0] is None else r[0], r[1] or b"", r[1] is not None))
+    return [r[0] for r in rows], [r[1] or b"" for r in rows]
 
 
 def runs(unit: Unit, hashes: list[np.ndarray], content: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
@@ -134,8 +137,7 @@ def repeated_anchors(docs: DataFrame, unit: Unit, buckets: int) -> DataFrame:
     """(batch, payload): the anchors of the batch that occur twice or more in the corpus, packed."""
 
     def emit(table: pa.Table) -> pa.Table:
-        memo = word_hashes()
-        hashes = [unit.hashes(unit.parts(t), memo) for t in table["text"].to_pylist()]
+        hashes = unit.hashes([t or b"" for t in table["text"].cast(pa.binary()).to_pylist()])
         keys = [r[3] for r in runs(unit, hashes)]
         if not keys:
             return _table([], *PACKED_ARROW)
@@ -172,8 +174,7 @@ def segments(docs: DataFrame, anchors: DataFrame, unit: Unit) -> DataFrame:
             again = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in right["payload"].to_pylist()]))
             ids, texts = ordered(left)
             ids = np.array([NULL_ID if i is None else i for i in ids])
-            memo, batch = word_hashes(), left["batch"][0].as_py()
-            hashes = [unit.hashes(unit.parts(t), memo) for t in texts]
+            batch, hashes = left["batch"][0].as_py(), unit.hashes(texts)
             for doc, start, n_win, anchor, c1 in runs(unit, hashes, content=True):
                 at = np.minimum(np.searchsorted(again, anchor), len(again) - 1)
                 i = np.flatnonzero(again[at] == anchor)
@@ -184,109 +185,99 @@ def segments(docs: DataFrame, anchors: DataFrame, unit: Unit) -> DataFrame:
     return docs.groupBy("batch").cogroup(anchors.groupBy("batch")).applyInArrow(emit, SEGMENT)
 
 
+def longer_anchors(docs: DataFrame, segs: DataFrame, unit: Unit) -> DataFrame:
+    """The windows of segs as segments under the grams of unit."""
+    names = [f.split()[0] for f in SEGMENT.split(", ")]
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+
+    def emit(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts = []
+        if left.num_rows and right.num_rows:
+            _, texts = ordered(left)
+            mine = sorted(set(right["ord"].to_pylist()))
+            made = dict(zip(mine, unit.hashes([texts[o] for o in mine])))
+            o, s, n, i = (right[c].to_numpy() for c in ("ord", "start", "n_win", "doc_id"))
+            cut = [made[a][b : b + c + unit.window - 1] for a, b, c in zip(o.tolist(), s.tolist(), n.tolist())]
+            for at, start, n_win, anchor, c1 in runs(unit, cut, content=True):
+                parts.append((np.full(len(at), left["batch"][0].as_py()), o[at], i[at], s[at] + start, n_win, anchor.view(np.int64), c1.view(np.int64)))
+        columns = [np.concatenate(c) for c in zip(*parts)] if parts else [[]] * len(names)
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+    return docs.groupBy("batch").cogroup(segs.groupBy("batch")).applyInArrow(emit, SEGMENT)
+
+
 def distinct_segments(segs: DataFrame) -> DataFrame:
     """One row per distinct segment: its first place, its copies, and how many distinct segments its anchor has."""
     first = F.min(F.struct("doc_id", "ord", "start", "batch", "n_win")).alias("first")
-    each = segs.groupBy("anchor", "c1").agg(F.count(F.lit(1)).alias("copies"), first)
+    each = written(segs.groupBy("anchor", "c1").agg(F.count(F.lit(1)).alias("copies"), first), "each")
     per = each.groupBy("anchor").agg(F.count(F.lit(1)).alias("distinct_n"), F.max("copies").alias("most"))
-    per = per.where("distinct_n > 1 or most > 1").drop("most")
-    return each.join(per, "anchor").select("anchor", "c1", "copies", "distinct_n", "first.*")
+    # Both sides of the join are tables, so Spark can split an anchor with very many segments over tasks.
+    per = written(per.where("distinct_n > 1 or most > 1").drop("most"), "anchors")
+    out = written(each.join(per, "anchor").select("anchor", "c1", "copies", "distinct_n", "first.*"), "distinct")
+    delete(each)
+    delete(per)
+    return out
 
 
 def with_content(docs: DataFrame, picked: DataFrame, unit: Unit) -> DataFrame:
-    """picked, each row with the content of its first place."""
+    """picked, each row with the content of its first place: 8 bytes a word (its hash), or the bytes themselves."""
     schema = picked.schema.simpleString()[len("struct<") : -1].replace(":", " ") + ", content binary"
 
     def emit(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
         if right.num_rows:
-            memo, seen = word_hashes(), {}
             texts = ordered(left)[1]
+            mine = sorted(set(right["ord"].to_pylist()))
+            some = [texts[o] for o in mine]
+            seen = dict(zip(mine, unit.hashes(some) if unit.words else some))
             for o, s, n in zip(right["ord"].to_pylist(), right["start"].to_pylist(), right["n_win"].to_pylist()):
-                if o not in seen:
-                    parts = unit.parts(texts[o])
-                    seen[o] = parts, unit.hashes(parts, memo) if unit.words else None
-                rows.append(unit.content(*seen[o], s, s + n + unit.window - 1))
+                x = seen[o][s : s + n + unit.window - 1]
+                rows.append(x.tobytes() if unit.words else x)
         return right.append_column("content", pa.array(rows, pa.binary()))
 
     return docs.groupBy("batch").cogroup(picked.groupBy("batch")).applyInArrow(emit, schema)
 
 
-RECORD = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("doc", "<i8"), ("ord", "<i4"), ("start", "<i8")])
 FLAGS = "batch int, payload binary"
 FLAG = np.dtype([("ord", "<i4"), ("start", "<i8"), ("n", "<i4")])
 
 
-def hot_windows(docs: DataFrame, segs: DataFrame, unit: Unit, buckets: int, keep_first: bool) -> DataFrame:
-    """Windows of anchors with very many distinct segments: 128-bit window hashes, dealt over buckets, decide exactly.
-
-    keep_first spares the earliest of equal windows; else every window with an equal one is flagged.
-    """
-    other = Unit(unit.words, unit.window, unit.window)
-
-    def emit(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not right.num_rows or not left.num_rows:
-            return _table([], *PACKED_ARROW)
-        ids, texts = ordered(left)
-        memo, made = word_hashes(), {}
-        out = []
-        for o, s, n in zip(right["ord"].to_pylist(), right["start"].to_pylist(), right["n_win"].to_pylist()):
-            if o not in made:
-                h = unit.hashes(unit.parts(texts[o]), memo)
-                made[o] = h
-            h = made[o][s : s + n + other.window - 1]
-            r = np.zeros(n, RECORD)
-            r["h1"], r["h2"] = gram_hashes(h, other.window), gram_hashes(mix(h ^ SALT), other.window)
-            r["doc"], r["ord"], r["start"] = NULL_ID if ids[o] is None else ids[o], o, np.arange(s, s + n)
-            out.append(r)
-        r = np.concatenate(out)
-        return _table(_dealt(left["batch"][0].as_py(), r["h1"], buckets, r), *PACKED_ARROW)
-
-    def find(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, RECORD) for x in table["payload"].to_pylist()]
-        r = np.concatenate(parts)
-        batch = np.repeat(np.array(table["batch"].to_pylist()), [len(p) for p in parts])
-        order = np.lexsort((r["start"], r["ord"], r["doc"], r["h2"], r["h1"]))
-        r, batch = r[order], batch[order]
-        same = np.zeros(len(r) + 1, bool)  # same[i]: equal to the one before
-        same[1:-1] = (r["h1"][1:] == r["h1"][:-1]) & (r["h2"][1:] == r["h2"][:-1])
-        hit = same[:-1] if keep_first else same[:-1] | same[1:]
-        f = np.zeros(int(hit.sum()), FLAG)
-        f["ord"], f["start"], f["n"] = r["ord"][hit], r["start"][hit], 1
-        b = batch[hit]
-        return _table([(int(x), f[b == x].tobytes()) for x in np.unique(b)], ["batch", "payload"], [pa.int32(), pa.binary()])
-
-    packed = docs.groupBy("batch").cogroup(segs.groupBy("batch")).applyInArrow(emit, PACKED)
-    return packed.groupBy("bucket").applyInArrow(find, FLAGS)
-
-
 @dataclass
 class Found:
     docs: DataFrame  # doc_id, text, batch
     flags: DataFrame  # batch, payload: packed FLAG records of repeated windows
 
 
-def repeated_windows(docs: DataFrame, unit: Unit, index: Callable, index_schema: str, whole: Callable, read: Callable, keep_first: bool, lone: bool, rows_per_batch: int = 1500, group_limit: int = 8192, shard_rows: int = 1000) -> Found:
+def repeated_windows(docs: DataFrame, unit: Unit, index: Callable, index_schema: str, whole: Callable, read: Callable, lone: bool, rows_per_batch: int = 1500, group_limit: int = 8192, shard_rows: int = 8000) -> Found:
     """Flag every repeated window.
 
-    index(table) -> table (anchor, c1, payload) is run once per shard over its distinct segments (with content);
+    index(unit) -> function from the table of a shard's distinct segments (with content) to (anchor, c1, payload);
     whole(distinct) -> (anchor, c1, payload) answers distinct segments that need no index, or None;
     read(payloads, rows, ord, doc_id, start) -> which windows are flagged, for every window of all occurrences (rows: whose it is);
     lone: does a segment that is alone under its anchor, but has copies, go through the index as well?
     """
     docs_b, n = batched(docs, rows_per_batch)
-    buckets = max(1, n // 8)
-    segs = written(segments(docs_b, repeated_anchors(docs_b, unit, buckets), unit), "segments")
-    distinct = written(distinct_segments(segs), "distinct")
-    hot = distinct.where(F.col("distinct_n") > group_limit).select("anchor").distinct()
-    cold = distinct.where(F.col("distinct_n") <= group_limit)
-    pick = cold if lone else cold.where("distinct_n > 1")
-    shards = max(1, -(-pick.count() // shard_rows))
-    held = with_content(docs_b, pick, unit).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    answers = held.groupBy("shard").applyInArrow(index, index_schema)
-    if not lone:
-        answers = answers.unionByName(whole(cold.where("copies > 1")))
-    spots = segs.join(answers, ["anchor", "c1"]).select("batch", "ord", "doc_id", "start", "n_win", "payload")
+    segs = written(segments(docs_b, repeated_anchors(docs_b, unit, max(1, n // 8)), unit), "segments")
+    spots = None
+    for u in unit.grams():
+        distinct = distinct_segments(segs)
+        last = u.gram == u.window
+        cold = distinct if last else distinct.where(F.col("distinct_n") <= group_limit)
+        pick = cold if lone else cold.where("distinct_n > 1")
+        shards = max(1, -(-pick.count() // shard_rows))
+        held = with_content(docs_b, pick, u).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+        answers = held.groupBy("shard").applyInArrow(index(u), index_schema)
+        if not lone:
+            answers = answers.unionByName(whole(cold.where("copies > 1")))
+        found = segs.join(answers, ["anchor", "c1"]).select("batch", "ord", "doc_id", "start", "n_win", "payload")
+        spots = found if spots is None else spots.unionByName(found)
+        if last:
+            break
+        hot = written(distinct.where(F.col("distinct_n") > group_limit).select("anchor").distinct(), "hot")
+        if hot.isEmpty():
+            break
+        following = next(x for x in unit.grams() if x.gram > u.gram)
+        segs = written(longer_anchors(docs_b, segs.join(hot, "anchor", "left_semi"), following), "segments")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -310,21 +301,18 @@ def repeated_windows(docs: DataFrame, unit: Unit, index: Callable, index_schema:
             out = [(int(batch[x]), f[x:y].tobytes()) for x, y in zip(cuts[:-1], cuts[1:]) if y > x]
             yield from _table(out, ["batch", "payload"], [pa.int32(), pa.binary()]).to_batches()
 
-    flags = spots.mapInArrow(pack, FLAGS)
-    if not hot.isEmpty():
-        flags = flags.unionByName(hot_windows(docs_b, segs.join(hot, "anchor", "left_semi"), unit, buckets, keep_first))
-    return Found(docs_b, flags)
+    return Found(docs_b, spots.mapInArrow(pack, FLAGS))
 
 
 def covered(found: Found, unit: Unit, out: Callable, schema: str) -> DataFrame:
-    """out(ids, texts, masks) -> table, once per batch; masks[i] marks the symbols of document i under flagged windows."""
+    """out(ids, texts, flags) -> table, once per batch; flags[i] are the runs of flagged windows of document i."""
 
     def emit(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, texts = ordered(left)
         flags = np.concatenate([np.frombuffer(x, FLAG) for x in right["payload"].to_pylist()]) if right.num_rows else np.zeros(0, FLAG)
         flags = flags[np.argsort(flags["ord"], kind="stable")]
         edges = np.searchsorted(flags["ord"], np.arange(len(ids) + 1))
-        return out(ids, [unit.parts(t) for t in texts], [flags[a:b] for a, b in zip(edges[:-1], edges[1:])])
+        return out(ids, texts, [flags[a:b] for a, b in zip(edges[:-1], edges[1:])])
 
     return found.docs.groupBy("batch").cogroup(found.flags.groupBy("batch")).applyInArrow(emit, schema)
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, written
+from .common import mix, slices, written
 from .components import components
 
 REFERENCES = mix(np.arange(1, 25, dtype=np.uint64))  # 24 reference fingerprints
@@ -48,8 +48,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            fp = np.array([fingerprint(x) for x in t["text"].to_pylist()], np.uint64).view(np.int64)
-            yield pa.record_batch([t["doc_id"], pa.array(fp)], names=["doc_id", "fp"])
+            for a, b in slices(t["text"]):
+                fp = np.array([fingerprint(x) for x in t["text"][a:b].to_pylist()], np.uint64).view(np.int64)
+                yield pa.record_batch([t["doc_id"][a:b], pa.array(fp)], names=["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 

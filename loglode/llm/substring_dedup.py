@@ -47,6 +47,21 @@ class WaveletLevels:
         return at
 
 
+def _ranked(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in order of (first, second), and the rank of each position, equal for equal pairs."""
+    n = len(first)
+    bits = n.bit_length() + 1
+    if 3 * bits <= 63:  # pair and position fit one integer, which sorts faster than positions by pair
+        key = np.sort((first << bits | second) << bits | np.arange(n))
+        order, key = key & ((1 << bits) - 1), key >> bits
+    else:
+        order = np.lexsort((second, first))
+        key = first[order] * (n + 2) + second[order]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
+    return order, rank
+
+
 class FMIndex:
     """Backward search over a collection of sequences, with matches counted up to `reach` symbols."""
 
@@ -59,41 +74,29 @@ class FMIndex:
         text[np.arange(len(words)) + owner] = ids + 1
         self.begin = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
         self.reach, n = reach, len(text)
-        rank, size = text.copy(), 1
-        while True:
+        levels, size = [text], 1  # levels[i]: ranks by the first 2^i symbols
+        while size < reach:
             after = np.zeros(n, np.int64)
-            after[: max(0, n - size)] = rank[size:] + 1
-            key = rank * (n + 2) + after
-            self.sa = np.argsort(key, kind="stable")
-            sorted_key = key[self.sa]
-            rank = np.empty(n, np.int64)
-            rank[self.sa] = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
+            after[: max(0, n - size)] = levels[-1][size:] + 1
+            self.sa, rank = _ranked(levels[-1], after)
+            levels.append(rank)
             size *= 2
-            if size >= reach:
-                break
-        self.lcp = self._common(text)
+        if reach == 1:
+            self.sa, _ = _ranked(text, np.zeros(n, np.int64))
+        left = np.repeat(self.begin + lengths, lengths + 1) - np.arange(n)  # symbols before the sequence ends
+        a, b = self.sa[:-1], self.sa[1:]
+        common = np.zeros(len(a), np.int64)
+        for i in reversed(range(len(levels))):
+            x, y = a + common, b + common
+            common += np.where((np.maximum(x, y) < n) & (levels[i][np.minimum(x, n - 1)] == levels[i][np.minimum(y, n - 1)]), 1 << i, 0)
+        self.lcp = np.zeros(n, np.int16)
+        self.lcp[1:] = np.minimum(np.minimum(common, reach), np.minimum(left[a], left[b]))
         last = text[self.sa - 1]
         self.less = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(self.vocabulary) + 1))])
         self.levels = WaveletLevels(last, max(1, len(self.vocabulary).bit_length()))
         known = np.arange(len(self.vocabulary) + 1)
         self.origin = self.levels.ends(known, np.zeros_like(known))
 
-    def _common(self, text: np.ndarray) -> np.ndarray:
-        """Common prefix of neighbouring rows, counted up to reach and never past the end of a sequence."""
-        out = np.zeros(len(text), np.int16)
-        a, b = self.sa[:-1], self.sa[1:]
-        live = np.arange(len(a))
-        for j in range(self.reach):
-            x, y = a[live] + j, b[live] + j
-            inside = (x < len(text)) & (y < len(text))
-            same = np.zeros(len(live), bool)
-            same[inside] = (text[x[inside]] == text[y[inside]]) & (text[x[inside]] != 0)
-            live = live[same]
-            if not len(live):
-                break
-            out[live + 1] = j + 1
-        return out
-
     def bounds(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """For each row, the interval of rows that share its first `depth` symbols."""
         n = len(self.sa)
@@ -105,7 +108,8 @@ class FMIndex:
 
     def step(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         base = self.less[symbol] - self.origin[symbol]
-        return base + self.levels.ends(symbol, lo), base + self.levels.ends(symbol, hi)
+        ends = self.levels.ends(np.concatenate([symbol, symbol]), np.concatenate([lo, hi]))
+        return base + ends[: len(symbol)], base + ends[len(symbol) :]
 
     def matching(self, queries: list[np.ndarray]):
         """Yield (position from the end, query numbers, match length, interval) while all queries are read right to left."""
@@ -174,16 +178,19 @@ def earliest_places(table: pa.Table, window: int) -> list[bytes]:
 def repeated(docs: DataFrame, window: int = 20, gram: int = 6, group_limit: int = 8192):
     unit = Unit(True, window, gram)
 
-    def index(table: pa.Table) -> pa.Table:
-        payload = earliest_places(table, window)
-        return pa.table([table["anchor"], table["c1"], pa.array(payload, pa.binary())], schema=ANSWER_ARROW)
+    def index(_: Unit):
+        def run(table: pa.Table) -> pa.Table:
+            payload = earliest_places(table, window)
+            return pa.table([table["anchor"], table["c1"], pa.array(payload, pa.binary())], schema=ANSWER_ARROW)
+
+        return run
 
     def read(payloads: pa.Array, rows: np.ndarray, ord: np.ndarray, doc_id: np.ndarray, start: np.ndarray) -> np.ndarray:
         first = np.frombuffer(b"".join(payloads.to_pylist()), PLACE)
         same = first["doc"] == doc_id
         return (first["doc"] < doc_id) | (same & ((first["ord"] < ord) | ((first["ord"] == ord) & (first["start"] < start))))
 
-    return unit, repeated_windows(docs, unit, index, ANSWER, None, read, keep_first=True, lone=True, group_limit=group_limit)
+    return unit, repeated_windows(docs, unit, index, ANSWER, None, read, lone=True, group_limit=group_limit)
 
 
 def substring_dedup(docs: DataFrame, window: int = 20, gram: int = 6, group_limit: int = 8192) -> DataFrame:
@@ -191,12 +198,13 @@ def substring_dedup(docs: DataFrame, window: int = 20, gram: int = 6, group_limi
     unit, found = repeated(docs, window, gram, group_limit)
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("kept_sha256", pa.string())])
 
-    def out(ids: list, parts: list, flags: list) -> pa.Table:
+    def out(ids: list, texts: list, flags: list) -> pa.Table:
         rows = []
-        for i, words, f in zip(ids, parts, flags):
+        for i, text, f in zip(ids, texts, flags):
+            words = unit.parts(text)
             gone = mask_of(len(words), f, window) if len(f) else None
             kept = b" ".join(words if gone is None else [w for w, g in zip(words, gone.tolist()) if not g])
-            rows.append((i, len(words), 0 if gone is None else int(gone.sum()), kept.decode(), hashlib.sha256(kept).hexdigest()))
+            rows.append((i, len(words), 0 if gone is None else int(gone.sum()), kept, hashlib.sha256(kept).hexdigest()))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, schema.types)], schema=schema)
 
     return covered(found, unit, out, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
