@@ -20,10 +20,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import delete, written
 
 BLANK = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -80,16 +80,22 @@ def _share_root(part: Column, whole: Column) -> Column:
     return F.asin(F.sqrt(F.least(F.lit(1.0), part / F.greatest(whole, F.lit(1)))))
 
 
+def _salted(rows: DataFrame, *key: str) -> DataFrame:
+    return rows.withColumn("salt", F.pmod(F.xxhash64(*key), F.lit(SALTS)).cast("int"))
+
+
 def _grouped(stats: DataFrame, least: int) -> DataFrame:
-    """stats with `g`, the group whose estimate applies: language and source, else small sources of the language, else the rest."""
+    """stats with `g`, the group whose estimate applies (language and source, else small sources of the language, else
+    the rest), and `g_rows`, its number of rows."""
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null"))
-    rows = stats.withColumn("l", name("lang")).withColumn("s", name("source"))
-    sizes = rows.groupBy("l", "s").agg(F.count(F.lit(1)).alias("n"))
+    rows = _salted(stats.withColumn("l", name("lang")).withColumn("s", name("source")), "doc_id", "n_words")
+    sizes = written(rows.groupBy("l", "s").agg(F.count(F.lit(1)).alias("n")), "sizes")
     small = sizes.where(F.col("n") < least).groupBy("l").agg(F.sum("n").alias("pool"))
     sizes = sizes.join(small, "l", "left")
     pooled = F.when(F.col("pool") >= least, F.concat(F.lit("pool "), F.col("l"))).otherwise(F.lit("rest"))
-    sizes = sizes.select("l", "s", F.when(F.col("n") >= least, F.concat_ws("\x00", F.lit("group"), "l", "s")).otherwise(pooled).alias("g"))
-    return rows.join(sizes, ["l", "s"]).drop("l", "s")
+    sizes = sizes.select("l", "s", "n", F.when(F.col("n") >= least, F.concat_ws(" ", F.lit("group"), "l", "s")).otherwise(pooled).alias("g"))
+    sizes = sizes.withColumn("g_rows", F.sum("n").over(Window.partitionBy("g"))).drop("n")
+    return _join(rows, written(sizes, "groups"), "l", "s").drop("l", "s", "salt")
 
 
 def _factor(moments: DataFrame, scale: float) -> DataFrame:
@@ -104,14 +110,14 @@ def _factor(moments: DataFrame, scale: float) -> DataFrame:
     return out.select("g", *[f"m{i}" for i in range(4)], *[f"l{i}{j}" for i in range(4) for j in range(i + 1)])
 
 
-def _join(rows: DataFrame, parameters: DataFrame) -> DataFrame:
-    """rows (with g and salt) beside the parameters of their group."""
-    return rows.join(parameters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["g", "salt"])
+def _join(rows: DataFrame, parameters: DataFrame, *key: str) -> DataFrame:
+    """rows (with the key and a salt) beside the parameters of their group."""
+    return rows.join(parameters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*key, "salt"])
 
 
 def _distance(rows: DataFrame, factor: DataFrame) -> DataFrame:
     """rows with d2, the squared Mahalanobis distance, by forward substitution."""
-    out = _join(rows, factor)
+    out = _join(rows, factor, "g")
     for i in range(4):
         inner = F.col(X[i]) - F.col(f"m{i}")
         for k in range(i):
@@ -122,10 +128,10 @@ def _distance(rows: DataFrame, factor: DataFrame) -> DataFrame:
 
 def mcd_distances(rows: DataFrame, share: float = 0.75, steps: int = 3) -> DataFrame:
     """rows (g, x1..x4 and others) with d2, the robust squared distance within g."""
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    rows = written(_salted(rows, *rows.columns), "rows")
     median = [F.percentile_approx(x, 0.5, 10_000).alias(f"m{i}") for i, x in enumerate(X)]
     centre = written(rows.groupBy("g").agg(*median), "centre")
-    away = _join(rows, centre).select("g", *[F.abs(F.col(x) - F.col(f"m{i}")).alias(x) for i, x in enumerate(X)])
+    away = _join(rows, centre, "g").select("g", *[F.abs(F.col(x) - F.col(f"m{i}")).alias(x) for i, x in enumerate(X)])
     spread = away.groupBy("g").agg(*[F.percentile_approx(x, 0.5, 10_000).alias(f"c{i}{i}") for i, x in enumerate(X)])
     spread = spread.select("g", *[(F.pow(F.col(f"c{i}{i}") * 1.4826, F.lit(2))).alias(f"c{i}{i}") for i in range(4)])
     start = centre.join(spread, "g").withColumns({f"c{j}{i}": F.lit(0.0) for i in range(4) for j in range(i)})
@@ -133,17 +139,19 @@ def mcd_distances(rows: DataFrame, share: float = 0.75, steps: int = 3) -> DataF
     reach = _chi2_quantile(share, 2)
     consistent = share / _chi2(reach, 3)
     for _ in range(steps):
-        far = _distance(rows, factor)
-        near = far.groupBy("g").agg(F.percentile_approx("d2", share, 10_000).alias("q"))
-        core = _join(far, near).where(F.col("d2") <= F.col("q"))
+        # Parameters are written, so that Spark knows how small they are before it plans the join.
+        far = written(_distance(rows.select("g", "salt", *X), factor), "distances")
+        near = written(far.groupBy("g").agg(F.percentile_approx("d2", share, 10_000).alias("q")), "nearest")
+        core = _join(far, near, "g").where(F.col("d2") <= F.col("q"))
         means = [F.avg(x).alias(f"m{i}") for i, x in enumerate(X)]
         covs = [F.covar_pop(X[j], X[i]).alias(f"c{j}{i}") for i in range(4) for j in range(i + 1)]
         factor = written(_factor(core.groupBy("g").agg(*means, *covs), consistent), "factor")
+        delete(far)
     return _distance(rows, factor).drop("salt")
 
 
 def quality_rules(docs: DataFrame, share: float = 0.75, steps: int = 3, tail: float = 1e-4, least: int = 50) -> DataFrame:
-    """Base statistics of every document with base_failed, d2 (null where no estimate applies) and kept."""
+    """Base statistics of every document with base_failed, d2 (null where no estimate applies), kept, and estimate (whose)."""
     stats = written(base_statistics(docs), "statistics")
     passed = stats.where(~F.col("base_failed")).withColumns({
         "x1": F.log(F.col("word_chars") / F.col("n_words")),
@@ -152,13 +160,13 @@ def quality_rules(docs: DataFrame, share: float = 0.75, steps: int = 3, tail: fl
         "x4": _share_root(F.col("n_repeat_words"), F.col("n_words")),
     })
     rows = written(_grouped(passed, least), "grouped")
-    enough = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 10).select("g")
-    judged = mcd_distances(rows.join(enough, "g", "left_semi"), share, steps)
-    alone = rows.join(enough, "g", "left_anti").withColumn("d2", F.lit(None).cast("double"))
+    judged = mcd_distances(rows.where("g_rows >= 10"), share, steps)
+    alone = rows.where("g_rows < 10").withColumn("d2", F.lit(None).cast("double"))
     cut = _chi2_quantile(1 - tail, 2)
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    good = judged.unionByName(alone).select(*names, "d2", (F.col("d2").isNull() | (F.col("d2") <= cut)).alias("kept"))
-    return good.unionByName(stats.where("base_failed").select(*names, F.lit(None).cast("double").alias("d2"), F.lit(False).alias("kept")))
+    good = judged.unionByName(alone).select(*names, "d2", (F.col("d2").isNull() | (F.col("d2") <= cut)).alias("kept"), F.col("g").alias("estimate"))
+    bad = stats.where("base_failed").select(*names, F.lit(None).cast("double").alias("d2"), F.lit(False).alias("kept"), F.lit(None).cast("string").alias("estimate"))
+    return good.unionByName(bad)
 
 
 def op7_mcd_quality(spark, sf_dir: str) -> DataFrame:
