@@ -58,8 +58,8 @@ def summary(files: DataFrame, severities: DataFrame, fatal: DataFrame, fresh: Da
     return one.select("added", "removed", "events_a", "events_b", "new_fatal", "new_templates", F.lit(kind).alias("scope_type"), text.alias("summary_text"))
 
 
-def diff(lines_a: DataFrame, events_a: DataFrame, lines_b: DataFrame, events_b: DataFrame, sub_a: str = "", sub_b: str = "", rules: Sequence[PreprocessRule] = (), kind: str = "inter_archive", head: int | None = 1000) -> dict[str, DataFrame]:
-    """All parts of a comparison, each lazy."""
+def diff(lines_a: DataFrame, events_a: DataFrame, lines_b: DataFrame, events_b: DataFrame, sub_a: str = "", sub_b: str = "", rules: Sequence[PreprocessRule] = (), kind: str = "inter_archive", head: int | None = None) -> dict[str, DataFrame]:
+    """All parts of a comparison, each lazy; head looks for new templates in that many lines of each file only."""
     scope = lambda df, sub: df.where(L.in_scope(F.col("file_path"), sub))
     lines = [(scope(x, s) if head is None else scope(x, s).where(F.col("line_no") <= head)) for x, s in ((lines_a, sub_a), (lines_b, sub_b))]
     files = changed_files(scoped_files(lines_a, sub_a), scoped_files(lines_b, sub_b))

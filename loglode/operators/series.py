@@ -65,10 +65,10 @@ def _with_idx(rows: DataFrame) -> DataFrame:
     return rows.withColumn("idx", F.row_number().over(Window.partitionBy(*KEYS).orderBy("line_no")) - 1)
 
 
-def parse_iostat(lines: DataFrame, devices: int = 8) -> DataFrame:
+def parse_iostat(lines: DataFrame, devices: int | None = None) -> DataFrame:
     """Device utilisation: a time line sets the time; a data line has 12 fields or more and ends with %util.
 
-    Only time and data lines enter the window; the first `devices` devices of a file by name are kept.
+    Only time and data lines enter the window; `devices` keeps that many devices of a file, the first by name.
     """
     text = F.trim("content")
     rows = lines.select("file_path", "line_no", text.alias("s"))
@@ -78,8 +78,9 @@ def parse_iostat(lines: DataFrame, devices: int = 8) -> DataFrame:
     rows = rows.withColumn("value", value).where("t0 IS NOT NULL OR value IS NOT NULL")
     before = Window.partitionBy("file_path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("t", F.last("t0", ignorenulls=True).over(before)).where("value IS NOT NULL").withColumn("series", F.get("f", F.lit(0)))
-    rank = F.dense_rank().over(Window.partitionBy("file_path").orderBy("series"))
-    rows = rows.withColumn("rank", rank).where(F.col("rank") <= devices)
+    if devices is not None:
+        rank = F.dense_rank().over(Window.partitionBy("file_path").orderBy("series"))
+        rows = rows.withColumn("rank", rank).where(F.col("rank") <= devices)
     return _with_idx(rows).select("file_path", "series", F.lit("%").alias("unit"), F.col("idx").cast("long"), F.coalesce("t", F.col("line_no").cast("string")).alias("t"), "value", "line_no")
 
 

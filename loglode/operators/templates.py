@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,8 +45,8 @@ def merge_templates(masked: DataFrame, similarity: float = 0.55, depth: int = 4,
     """Greedy clustering of distinct patterns that share token count and first depth-1 tokens.
 
     Patterns come in order of their first place; one joins the most similar cluster of its leaf if at least
-    `similarity` of the positions agree, and differing positions become <*>.  A leaf with over 50,000 patterns is
-    split by its next token as well.  wildcard_fallback sends a pattern whose last leaf token is alone in its leaf to
+    `similarity` of the positions agree, and differing positions become <*>.  A leaf is one group at every size: its
+    clusters depend on each other.  wildcard_fallback sends a pattern whose last leaf token is alone in its leaf to
     the leaf that has <*> there, when there is one.
     """
     t = masked.withColumn("tokens", L.tokenize(F.col("pattern"))).where(F.size("tokens") > 0)
@@ -58,19 +59,27 @@ def merge_templates(masked: DataFrame, similarity: float = 0.55, depth: int = 4,
         others = big.select(*by, F.col("leaf").alias("wild_leaf"), F.lit(True).alias("has"))
         t = t.withColumn("wild_leaf", wild).join(others, [*by, "wild_leaf"], "left")
         t = t.withColumn("leaf", F.when((F.col("leaf_n") == 1) & F.col("has"), F.col("wild_leaf")).otherwise(F.col("leaf"))).drop("wild_leaf", "has")
-    extra = F.when(F.col("leaf_n") > 50_000, F.concat(F.lit("\x01"), F.coalesce(F.get("tokens", F.lit(depth - 1)), F.lit(""))))
-    t = t.withColumn("leaf", F.concat("leaf", F.coalesce(extra, F.lit("")))).drop("leaf_n")
+    t = t.drop("leaf_n")
     schema = ", ".join([*(f"{c} {dict(masked.dtypes)[c]}" for c in by), "pattern string, count long, level string, sample string, sample_file string, sample_line long, first_seen string, last_seen string, files array<string>"])
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         clusters: list[dict] = []
         at_count = rows.columns.get_loc("count")
+        codes: dict[str, int] = {"<*>": 0}
+        known = np.zeros((16, len(rows["tokens"].iloc[0])), np.int32)  # a row of token codes for each cluster
         for r in rows.sort_values(["sample_file", "sample_line"]).itertuples(index=False):
-            tokens, best, near = list(r.tokens), None, -1.0
-            for c in clusters:
-                same = sum(a == b for a, b in zip(c["tokens"], tokens)) / len(tokens)
-                if same >= similarity and same > near:
-                    best, near = c, same
+            tokens, best = list(r.tokens), None
+            mine = np.array([codes.setdefault(x, len(codes)) for x in tokens], np.int32)
+            if clusters:
+                same = (known[: len(clusters)] == mine).sum(axis=1) / len(tokens)
+                at = int(np.argmax(same))
+                if same[at] >= similarity:
+                    best = clusters[at]
+                    known[at][known[at] != mine] = 0
+            if best is None:
+                if len(clusters) == len(known):
+                    known = np.concatenate([known, np.zeros_like(known)])
+                known[len(clusters)] = mine
             last = (r.last_file, r.last_line)
             if best is None:
                 clusters.append({"tokens": tokens, "count": int(r[at_count]), "priority": r.priority, "level": r.level, "sample": r.sample, "sample_file": r.sample_file, "sample_line": r.sample_line, "first_seen": r.first_seen, "last_seen": r.last_seen, "last": last, "files": set(r.files), **{b: getattr(r, b) for b in by}})

@@ -161,7 +161,7 @@ NEW_TEMPLATES_SQL = with_views(
     f"""SELECT pattern, n AS count, level FROM (SELECT pattern, count(*) AS n, 'INFO' AS level FROM m WHERE k = 1 GROUP BY 1)
 WHERE n >= 2 AND pattern NOT IN (SELECT pattern FROM m WHERE k = 0) ORDER BY n DESC, encode(pattern) LIMIT 15""",
     "doc_lines",
-    more=f"m AS (SELECT {DOC_MASKED} AS pattern, CAST(regexp_extract(file_path, '[^/]*$') AS BIGINT) % 2 AS k FROM doc_lines WHERE line_no <= 2 AND trim(content) <> '')",
+    more=f"m AS (SELECT {DOC_MASKED} AS pattern, CAST(regexp_extract(file_path, '[^/]*$') AS BIGINT) % 2 AS k FROM doc_lines WHERE trim(content) <> '')",
 )
 
 QUERIES = {
