@@ -29,14 +29,27 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder or _own_scratch(spark.sparkContext.applicationId)
 
 
+_paths: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark).rstrip('/')}/loglode-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    _paths.append(f"{scratch_dir(spark).rstrip('/')}/loglode-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}")
+    return _paths[-1]
+
+
+def scratch_paths() -> list[str]:
+    """All that scratch_path() has named so far."""
+    return list(_paths)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def clear_scratch(spark: SparkSession) -> None:
     """Remove this application's scratch tables; for when the results that read them are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark).rstrip('/')}/loglode-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete_path(spark, f"{scratch_dir(spark).rstrip('/')}/loglode-{spark.sparkContext.applicationId}")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -48,10 +61,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def delete(df: DataFrame) -> None:
     """Remove a scratch table that written() made and nothing reads any more."""
-    spark = df.sparkSession
-    for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in {x.rpartition("/")[0] for x in df.inputFiles()}:
+        delete_path(df.sparkSession, folder)
 
 
 class Memo(dict):
