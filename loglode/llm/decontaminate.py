@@ -54,10 +54,11 @@ class SizeClass:
     """Items of about one size: their minima under one hash function after another, and their shingles."""
 
     def __init__(self, members: list[int], hashes: list[np.ndarray], most: int):
-        self.members, self.hashes, self.most = np.array(members, np.int32), hashes, most
+        self.members, self.most = np.array(members, np.int32), most
         self.values, self.order = np.zeros((0, len(members)), np.uint64), np.zeros((0, len(members)), np.int32)
         self.need = np.array([len(h) for h in hashes])
-        shingles, owner = np.concatenate(hashes), np.repeat(np.arange(len(hashes)), self.need)
+        self.flat, self.begin = np.concatenate(hashes), np.cumsum(self.need) - self.need
+        shingles, owner = self.flat, np.repeat(np.arange(len(hashes)), self.need)
         by = np.argsort(shingles, kind="stable")
         self.shingles, self.owner = shingles[by], owner[by].astype(np.int32)
 
@@ -66,7 +67,7 @@ class SizeClass:
         have = len(self.values)
         if have < count:
             more = SEEDS[have : min(self.most, max(count, 2 * have))]
-            table = np.stack([np.array([mix(h ^ s).min() for h in self.hashes], np.uint64) for s in more])
+            table = np.stack([np.minimum.reduceat(mix(self.flat ^ s), self.begin) for s in more])
             order = np.argsort(table, axis=1)
             self.values = np.concatenate([self.values, np.take_along_axis(table, order, axis=1)])
             self.order = np.concatenate([self.order, order.astype(np.int32)])

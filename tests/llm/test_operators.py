@@ -204,6 +204,20 @@ def test_decontaminate(spark):
         assert got == want
 
 
+def test_decontaminate_many_small_items():
+    """A text that quotes 1,000 of 20,000 tiny items finds them all in bounded memory."""
+    import tracemalloc
+
+    r = random.Random(1)
+    items = [(i, " ".join(f"w{r.randrange(10**6)}" for _ in range(5))) for i in range(20_000)]
+    ensemble = decontaminate.Ensemble(items, 5, 0.8, 1e-9)
+    tracemalloc.start()
+    found = {x[0] for x in ensemble.matches(" ".join(t for _, t in items[:1000]))}
+    assert found == set(range(1000)) and {x[0] for x in ensemble.matches(items[7][1])} == {7}
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+
+
 def test_optimal_bounds():
     r = np.random.default_rng(2)
     for n in (1, 2, 7, 9):
