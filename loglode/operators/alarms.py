@@ -45,10 +45,11 @@ def debounce(reports: DataFrame, seconds: float = 30.0) -> DataFrame:
 def aggregate_alarms(alarm_events: DataFrame) -> DataFrame:
     """Episodes of each (node, type): reports until a resolve make one alarm with count and last wording.
 
-    alarm_events: node_id, alarm_type, severity, title, message, action ('report', 'resolve', 'ack'), ts, seq.
+    alarm_events: node_id, alarm_type, severity, title, message, action ('report', 'resolve', 'ack', 'delete'), ts,
+    seq.  A delete takes the open alarm away; the next report begins another.
     """
     order = Window.partitionBy(*KEY).orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    rows = alarm_events.withColumn("episode", F.coalesce(F.count_if(F.col("action") == "resolve").over(order), F.lit(0)))
+    rows = alarm_events.withColumn("episode", F.coalesce(F.count_if(F.col("action").isin("resolve", "delete")).over(order), F.lit(0)))
     report, at = F.col("action") == "report", F.struct("ts", "seq")
     said = lambda c: F.max_by(F.when(F.coalesce(c, F.lit("")) != "", F.col(c)), F.when(report & (F.coalesce(c, F.lit("")) != ""), at))
     out = rows.groupBy(*KEY, "episode").agg(
@@ -56,13 +57,13 @@ def aggregate_alarms(alarm_events: DataFrame) -> DataFrame:
         F.max_by("message", F.when(report, at)).alias("message"),
         F.min(F.when(report, F.col("ts"))).alias("first_occur"), F.max(F.when(report, F.col("ts"))).alias("last_occur"),
         F.max(F.when(F.col("action") == "resolve", F.col("ts"))).alias("resolved_at"),
-        F.bool_or(F.col("action") == "ack").alias("acked"),
+        F.bool_or(F.col("action") == "ack").alias("acked"), F.bool_or(F.col("action") == "delete").alias("deleted"),
     )
     status = F.when(F.col("resolved_at").isNotNull(), "resolved").when(F.col("acked"), "acknowledged").otherwise("active")
     # Resolves that follow no report make no alarm; episodes count those that do.
-    out = out.where(F.col("count") > 0).withColumn("status", status)
+    out = out.where((F.col("count") > 0) & ~F.coalesce("deleted", F.lit(False))).withColumn("status", status)
     number = F.row_number().over(Window.partitionBy(*KEY).orderBy("episode"))
-    return out.withColumn("episode", number.cast("long")).drop("acked")
+    return out.withColumn("episode", number.cast("long")).drop("acked", "deleted")
 
 
 def offline_gaps(heartbeats: DataFrame, now: str, seconds: float = 12.0) -> DataFrame:
@@ -96,6 +97,12 @@ def resolve(alarms: DataFrame, node_id: str, alarm_type: str, at: str) -> DataFr
     return alarms.withColumn("resolved_at", when).withColumn("status", F.when(mine, "resolved").otherwise(F.col("status")))
 
 
+def delete_alarm(alarms: DataFrame, node_id: str, alarm_type: str, episode: int) -> DataFrame:
+    """The alarms without that one; one that is not there is no error."""
+    mine = F.col("node_id").eqNullSafe(node_id) & F.col("alarm_type").eqNullSafe(alarm_type) & F.col("episode").eqNullSafe(episode)
+    return alarms.where(~mine)
+
+
 def clear_resolved(alarms: DataFrame) -> DataFrame:
     return alarms.where(F.col("status") != "resolved")
 

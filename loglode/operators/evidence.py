@@ -17,16 +17,19 @@ def suppress_noise(events: DataFrame, noise: Sequence[tuple[str, str, str]] = NO
     return events.withColumn("ignored_by", first(0)).withColumn("ignored_reason", first(1))
 
 
-def match_glossary(events: DataFrame, glossary: Sequence[tuple[str, list[str]]] = GLOSSARY) -> DataFrame:
-    """(archive_id, term): terms that a clean event names, in its rule, content or suggestion."""
-    text = F.upper(F.concat_ws(" ", "rule_name", "matched_content", "suggestion"))
+def match_glossary(events: DataFrame, glossary: Sequence[tuple[str, list[str]]] = GLOSSARY, report: DataFrame | None = None) -> DataFrame:
+    """(archive_id, term): terms that a clean event names, in its rule, content or suggestion, or the report's summary."""
+    texts = events.select("archive_id", F.concat_ws(" ", "rule_name", "matched_content", "suggestion").alias("text"))
+    if report is not None:
+        texts = texts.unionByName(report.select("archive_id", F.col("summary_text").alias("text")))
+    text = F.upper("text")
     tests = []
     for term, patterns in glossary:
         found = text.contains(term.upper())
         for p in patterns:
             found = found | text.contains(p.upper())
         tests.append(F.when(found, F.lit(term)))
-    return events.select("archive_id", F.explode(F.array_compact(F.array(*tests))).alias("term")).distinct()
+    return texts.select("archive_id", F.explode(F.array_compact(F.array(*tests))).alias("term")).distinct()
 
 
 def project_workflow(events: DataFrame, workflows: Sequence[tuple[str, list[tuple[str, str]]]] = WORKFLOWS) -> DataFrame:

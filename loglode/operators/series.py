@@ -9,13 +9,18 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import line as L
 from ..schema import METRICS
 
 KEYS = ["file_path", "series"]
+Limits = dict[str, tuple[float, float]]
+
+# Fixed values: (warning, critical) of device utilisation and of time spent waiting for disks, in percent.
+IOSTAT_LIMITS: Limits = {"": (85, 95)}
+VMSTAT_LIMITS: Limits = {"wa": (40, 70)}
 
 
 class ParserRegistry:
@@ -23,10 +28,16 @@ class ParserRegistry:
 
     def __init__(self):
         self.entries: list[tuple[str, str, Callable[[DataFrame], DataFrame], bool]] = []
+        self.limits: list[tuple[str, Limits]] = []
+
+    def register(self, name: str, pattern: str, parser: Callable[[DataFrame], DataFrame], enabled: bool = True, limits: Limits | None = None) -> None:
+        """parser: lines -> series table, built from Column expressions or mapInPandas, so a file of any size splits.
 
-    def register(self, name: str, pattern: str, parser: Callable[[DataFrame], DataFrame], enabled: bool = True) -> None:
-        """parser: lines -> series table, built from Column expressions or mapInPandas, so a file of any size splits."""
+        limits: the parser's own (warning, critical) of a series, or of every series under "".
+        """
         self.entries.append((name, pattern, parser, enabled))
+        if enabled and limits:
+            self.limits.append((pattern, limits))
 
     def register_whole_file(self, name: str, pattern: str, fn: Callable[[pd.DataFrame], pd.DataFrame], enabled: bool = True) -> None:
         """fn: the ordered lines of one file -> rows of the series table; for formats that need the whole file."""
@@ -50,6 +61,15 @@ class ParserRegistry:
                 out = out.unionByName(parser(lines.where(_names(F.col("file_path"), pattern))))
         return out
 
+    def own_anomalies(self, metrics: DataFrame) -> DataFrame:
+        """Points at or above the limits of the parsers that read their files."""
+        out = threshold_anomalies(metrics.where(F.lit(False)), 0, 0)
+        for pattern, limits in self.limits:
+            rows = metrics.where(_names(F.col("file_path"), pattern))
+            for series, (warning, critical) in limits.items():
+                out = out.unionByName(threshold_anomalies(rows.where(F.col("series") == series) if series else rows, warning, critical))
+        return out
+
 
 def _names(path, pattern: str):
     base = F.substring_index(path, "/", -1)
@@ -105,7 +125,12 @@ def parse_time_value(lines: DataFrame, series: str = "value", unit: str = "%") -
 def threshold_anomalies(metrics: DataFrame, warning: float, critical: float) -> DataFrame:
     """Points at or above a parser's own limits."""
     severity = F.when(F.col("value") >= critical, "CRITICAL").otherwise("WARNING")
-    return metrics.where(F.col("value") >= warning).select("file_path", "series", "idx", "t", "value", severity.alias("severity"), "line_no")
+    reason = F.format_string("%s is at %.1f%s", "series", _tenth("value"), "unit")
+    return metrics.where(F.col("value") >= warning).select(*KEYS, "idx", "t", "value", severity.alias("severity"), reason.alias("reason"), "line_no")
+
+
+def _tenth(c: str) -> Column:
+    return F.floor(F.col(c) * 10 + 0.5) / 10
 
 
 def slice_window(metrics: DataFrame, start: str = "", end: str = "") -> DataFrame:
@@ -137,8 +162,7 @@ def detect_anomalies(metrics: DataFrame, cap: int | None = None) -> DataFrame:
     spike = (F.col("d") > F.col("mu") + 3 * F.col("sd")) & (F.col("d") > 10)
     severity = F.when((F.col("value") >= 95) | (F.col("d") >= 50), "CRITICAL").otherwise("WARNING")
     word, sign = F.when(F.col("value") < F.col("prev"), "fell to").otherwise("rose to"), F.when(F.col("value") < F.col("prev"), "-").otherwise("+")
-    tenth = lambda c: F.floor(F.col(c) * 10 + 0.5) / 10
-    reason = F.format_string("%s %s %.1f%s (before: %.1f%s, change: %s%.1f)", "series", word, tenth("value"), "unit", tenth("prev"), "unit", sign, tenth("d"))
+    reason = F.format_string("%s %s %.1f%s (before: %.1f%s, change: %s%.1f)", "series", word, _tenth("value"), "unit", _tenth("prev"), "unit", sign, _tenth("d"))
     out = steps.join(stats, KEYS).where(hot | spike).select(*KEYS, "idx", "t", "value", severity.alias("severity"), reason.alias("reason"), "line_no")
     if cap is not None:
         rank = F.row_number().over(Window.partitionBy("file_path").orderBy("idx", "series"))
@@ -176,26 +200,37 @@ def anomalies_of(anomalies: DataFrame, name: str) -> DataFrame:
 
 
 def anomaly_lines(anomalies: DataFrame, lines: DataFrame) -> DataFrame:
-    """The line of each anomaly: by number, else the first of its file that holds the time text."""
+    """The line of each anomaly: by number, else the first of its file that holds the time text.
+
+    Texts with a clock time meet only lines that hold the same clock time; others are sought in all lines of the file.
+    """
     by_number = anomalies.where("line_no IS NOT NULL").join(lines.select("file_path", "line_no", "content"), ["file_path", "line_no"], "left")
     text = anomalies.where("line_no IS NULL").drop("line_no")
-    times = text.select("file_path", "t").distinct()
-    first = times.join(lines.select("file_path", "line_no", "content"), "file_path").where(F.col("content").contains(F.col("t")))
+    clock = r"(?=(\d{2}:\d{2}:\d{2}))"
+    times = text.select("file_path", "t", F.nullif(F.regexp_extract("t", clock, 1), F.lit("")).alias("clock")).distinct()
+    rows = lines.select("file_path", "line_no", "content")
+    timed = rows.withColumn("clock", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(clock), F.lit(1)))))
+    first = timed.join(times.where("clock IS NOT NULL"), ["file_path", "clock"]).drop("clock")
+    first = first.unionByName(rows.join(times.where("clock IS NULL").drop("clock"), "file_path")).where(F.col("content").contains(F.col("t")))
     first = first.groupBy("file_path", "t").agg(F.min(F.struct("line_no", "content")).alias("l")).select("file_path", "t", "l.line_no", "l.content")
     return by_number.unionByName(text.join(first, ["file_path", "t"], "left"))
 
 
 def chart_summary(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Per file: points before and after downsampling, whether it happened, first and last time."""
+    """Per file: points before and after downsampling, whether it happened, first and last time, resolution in words."""
     a = before.groupBy("file_path").agg((F.max("idx") + 1).alias("total_points"), F.min_by("t", F.struct("idx", "series")).alias("start_t"), F.max_by("t", F.struct("idx", "series")).alias("end_t"))
     b = after.groupBy("file_path").agg(F.count_distinct("idx").alias("points"))
-    return a.join(b, "file_path").withColumn("downsampled", F.col("points") < F.col("total_points"))
+    out = a.join(b, "file_path").withColumn("downsampled", F.col("points") < F.col("total_points"))
+    words = F.when(F.col("downsampled"), F.format_string("lows and highs (%d points)", "points")).otherwise(F.format_string("all points (%d points)", "points"))
+    return out.withColumn("resolution", words)
 
 
 def chart(lines: DataFrame, registry: ParserRegistry, start: str = "", end: str = "", target: int = 1500) -> tuple[DataFrame, DataFrame]:
-    """(series, anomalies): slice, then detect, then downsample."""
+    """(series, anomalies): slice, then detect, then downsample; files with anomalies by their parser's limits have
+    these only."""
     m = slice_window(registry.parse(lines), start, end)
-    a = detect_anomalies(m)
+    own = registry.own_anomalies(m)
+    a = own.unionByName(detect_anomalies(m).join(own.select("file_path").distinct(), "file_path", "left_anti"))
     return downsample_minmax(m, a, target), a
 
 

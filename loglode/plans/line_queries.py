@@ -178,7 +178,7 @@ QUERIES = {
 FROM (SELECT split_part(file_path, '/', 2) AS name, split_part(file_path, '/', 3) AS next, split_part(file_path, '/', 3) <> '' AS deep, size FROM files WHERE starts_with(file_path, 'node-1/')) GROUP BY 1""", "files")),
     "s09_sub_archives": (lambda s, d: catalog.detect_sub_archives(Views(s, d).files()), with_views("SELECT split_part(file_path, '/', 1) AS name, split_part(file_path, '/', 1) AS path, count(*) AS total_files, CAST(sum(size) AS BIGINT) AS total_size, true AS has_nested FROM files GROUP BY 1, 2", "files")),
     "s10_consolidate_rotated": (rotated, ROTATED_SQL),
-    "s11_read_lines": (lambda s, d: text.read_lines(Views(s, d).event_lines(), "app/node-3.log", 20, 50), with_views("""SELECT line_no, content, (SELECT max(line_no) FROM event_lines WHERE file_path = 'app/node-3.log') >= 70 AS has_more
+    "s11_read_lines": (lambda s, d: text.read_lines(Views(s, d).event_lines(), "app/node-3.log", 20, 50), with_views("""SELECT line_no, content, (SELECT max(line_no) FROM event_lines WHERE file_path = 'app/node-3.log') >= 70 AS has_more, (SELECT max(line_no) FROM event_lines WHERE file_path = 'app/node-3.log') AS total_lines
 FROM event_lines WHERE file_path = 'app/node-3.log' AND line_no BETWEEN 20 AND 69""", "event_lines")),
     "s14_filter_tree": (lambda s, d: catalog.filter_tree(Views(s, d).files(), "F/PART-1"), with_views("""SELECT DISTINCT path, is_directory FROM (
   SELECT unnest([file_path, split_part(file_path, '/', 1), split_part(file_path, '/', 1) || '/' || split_part(file_path, '/', 2), split_part(file_path, '/', 1) || '/' || split_part(file_path, '/', 2) || '/' || split_part(file_path, '/', 3)]) AS path,

@@ -110,8 +110,15 @@ def scopes(spark, d):
 def default_rules(spark, d):
     """The default rules over all views, whole."""
     v = Views(spark, d)
-    lines = v.event_lines().unionByName(v.doc_lines()).unionByName(v.chat_lines()).unionByName(v.page_lines())
-    return D.scan_rules(lines, DEFAULT_RULES)
+    lines = v.event_lines().unionByName(v.doc_lines()).unionByName(v.chat_lines()).unionByName(v.page_lines()).unionByName(v.fault_lines())
+    return D.scan_rules(lines, DEFAULT_RULES).select("archive_id", "file_path", "line_no", "rule_id", "severity")
+
+
+DEFAULT_RULES_SQL = with_views(
+    " UNION ALL ".join(f"SELECT archive_id, file_path, line_no, '{r.id}' AS rule_id, '{r.severity}' AS severity FROM lines_ WHERE regexp_matches(content, '{r.pattern}')" for r in DEFAULT_RULES),
+    "event_lines", "doc_lines", "chat_lines", "page_lines", "fault_lines",
+    more="lines_ AS (" + " UNION ALL ".join(f"SELECT archive_id, file_path, line_no, trim(content) AS content FROM {x}_lines" for x in ("event", "doc", "chat", "page", "fault")) + ")",
+)
 
 
 # ---- templates ----
@@ -150,8 +157,9 @@ def new_templates(spark, d):
 
 
 def files_of(spark, d):
+    """Two sub-trees, without the files whose sizes divide by three on one side and by four on the other."""
     f = Views(spark, d).files()
-    return X.scoped_files(f, "node-0/R"), X.scoped_files(f, "node-1/N")
+    return X.scoped_files(f.where("size % 3 > 0"), "node-0/R"), X.scoped_files(f.where("size % 4 > 0"), "node-1/N")
 
 
 NEW_FATAL = """a AS (SELECT * FROM found WHERE archive_id = '0'), b AS (SELECT * FROM found WHERE archive_id = '1'),
@@ -192,7 +200,7 @@ QUERIES = {
     "r06_severities": (lambda s, d: D.severity_summary(events(s, d)), diagnosed("SELECT archive_id, severity, count(*) AS n FROM found GROUP BY 1, 2")),
     "r06_storages": (lambda s, d: D.storage_summary(events(s, d)), diagnosed("SELECT archive_id, storage_type, count(*) AS n FROM found GROUP BY 1, 2")),
     "r07_r08_r10_report": (lambda s, d: D.diagnose(Views(s, d).event_lines(), RULES_SMALL)[1].drop("severity_summary"), REPORT_SQL),
-    "r09_default_rules": (default_rules, None),
+    "r09_default_rules": (default_rules, DEFAULT_RULES_SQL),
     "t01_head": (lambda s, d: T.head_per_file(Views(s, d).doc_lines(), 3), with_views("SELECT * FROM doc_lines WHERE line_no <= 3", "doc_lines")),
     "t02_masked_patterns": (masked, with_views("SELECT pattern, count, priority, level, sample, first_seen, last_seen, n_files FROM patterns", "event_lines", more=MASKED_AGG)),
     "t03_t05_templates": (lambda s, d: T.templates(Views(s, d).event_lines()), None),
@@ -201,7 +209,7 @@ QUERIES = {
     "t07_frequency_by_level": (lambda s, d: T.pattern_frequency(Views(s, d).event_lines()), with_views("SELECT pattern, level, count(*) AS n FROM masked GROUP BY 1, 2", "event_lines", more=MASKED_AGG)),
     "t07_frequency_by_hour": (lambda s, d: T.pattern_frequency(Views(s, d).event_lines(), by="hour"), with_views("SELECT pattern, strftime(date_trunc('hour', try_cast(seen AS TIMESTAMP)), '%Y-%m-%d %H:%M:%S') AS hour, count(*) AS n FROM masked GROUP BY 1, 2", "event_lines", more=MASKED_AGG)),
     "d01_scoped_files": (lambda s, d: X.scoped_files(Views(s, d).files(), "node-2"), with_views("SELECT DISTINCT substr(file_path, 8) AS path FROM files WHERE starts_with(file_path, 'node-2/')", "files")),
-    "d02_changed_files": (lambda s, d: X.changed_files(*files_of(s, d)), with_views("SELECT 'added' AS change, path FROM (SELECT path FROM b EXCEPT SELECT path FROM a) UNION ALL SELECT 'removed', path FROM (SELECT path FROM a EXCEPT SELECT path FROM b)", "files", more="a AS (SELECT substr(file_path, 10) AS path FROM files WHERE starts_with(file_path, 'node-0/R/')), b AS (SELECT substr(file_path, 10) AS path FROM files WHERE starts_with(file_path, 'node-1/N/'))")),
+    "d02_changed_files": (lambda s, d: X.changed_files(*files_of(s, d)), with_views("SELECT 'added' AS change, path FROM (SELECT path FROM b EXCEPT SELECT path FROM a) UNION ALL SELECT 'removed', path FROM (SELECT path FROM a EXCEPT SELECT path FROM b)", "files", more="a AS (SELECT substr(file_path, 10) AS path FROM files WHERE starts_with(file_path, 'node-0/R/') AND size % 3 > 0), b AS (SELECT substr(file_path, 10) AS path FROM files WHERE starts_with(file_path, 'node-1/N/') AND size % 4 > 0)")),
     "d03_severity_by_side": (lambda s, d: diff_parts(s, d)["severities"], diagnosed("SELECT severity, count(*) FILTER (archive_id = '0') AS a, count(*) FILTER (archive_id = '1') AS b, count(*) FILTER (archive_id = '1') - count(*) FILTER (archive_id = '0') AS delta FROM found GROUP BY 1")),
     "d04_new_fatal": (lambda s, d: diff_parts(s, d)["new_fatal"].select("rule_name", "file_path", "line_no"), diagnosed("SELECT rule_name, file_path, line_no FROM fresh", NEW_FATAL)),
     "d05_new_templates": (new_templates, NEW_TEMPLATES_SQL),

@@ -63,15 +63,13 @@ def vmstat(spark, d):
     """Samples with 17 fields, one an order."""
     o = Views(spark, d).table("orders")
     row = F.concat(F.lit("1 0 0 1 2 3 4 5 6 7 8 9 "), F.format_string("%d %d %d %d 0", F.col("o_orderkey") % 97, F.col("o_custkey") % 41, F.lit(5), F.col("o_orderkey") % 13))
-    from pyspark.sql import Window
-
-    lines = o.select(F.concat(F.lit("vmstat-"), (F.col("o_custkey") % 4).cast("string")).alias("file_path"), F.row_number().over(Window.partitionBy(F.col("o_custkey") % 4).orderBy("o_orderkey")).cast("long").alias("line_no"), row.alias("content"))
+    lines = o.select(F.concat(F.lit("vmstat-"), (F.col("o_custkey") % 4).cast("string")).alias("file_path"), F.col("o_orderkey").cast("long").alias("line_no"), row.alias("content"))
     return C.parse_vmstat(lines)
 
 
-VMSTAT_SQL = """WITH l AS (SELECT 'vmstat-' || (o_custkey % 4)::VARCHAR AS file_path, row_number() OVER (PARTITION BY o_custkey % 4 ORDER BY o_orderkey) AS line_no, * FROM orders)
-SELECT file_path, series, '%' AS unit, line_no - 1 AS idx, (line_no - 1)::VARCHAR AS t, CAST(value AS DOUBLE) AS value, line_no FROM (
-  SELECT file_path, line_no, unnest(['us', 'sy', 'wa']) AS series, unnest([o_orderkey % 97, o_custkey % 41, o_orderkey % 13]) AS value FROM l)"""
+VMSTAT_SQL = """WITH l AS (SELECT 'vmstat-' || (o_custkey % 4)::VARCHAR AS file_path, row_number() OVER (PARTITION BY o_custkey % 4 ORDER BY o_orderkey) - 1 AS idx, * FROM orders)
+SELECT file_path, series, '%' AS unit, idx, idx::VARCHAR AS t, CAST(value AS DOUBLE) AS value, line_no FROM (
+  SELECT file_path, idx, CAST(o_orderkey AS BIGINT) AS line_no, unnest(['us', 'sy', 'wa']) AS series, unnest([o_orderkey % 97, o_custkey % 41, o_orderkey % 13]) AS value FROM l)"""
 
 
 def time_values(spark, d):
@@ -88,21 +86,46 @@ def marked_lines(spark, d):
     return C.anomaly_lines(a, lines).select("series", "idx", "line_no", "content")
 
 
+def lines_by_time(spark, d):
+    """Anomalies whose line is not known: the first line of the file that holds their time."""
+    v = Views(spark, d)
+    a = C.detect_anomalies(v.metrics()).withColumn("line_no", F.lit(None).cast("long"))
+    e = v.table("events")
+    text = F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), "event_type")
+    lines = e.select(F.lit("events").alias("file_path"), F.col("event_id").alias("line_no"), text.alias("content"))
+    return C.anomaly_lines(a, lines).select("series", "idx", "line_no", "content")
+
+
+LINES_BY_TIME_SQL = """SELECT series, idx, line_no, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || ' ' || event_type AS content FROM (
+  SELECT series, idx, (SELECT min(e.event_id) FROM events e WHERE strftime(e.ts, '%Y-%m-%d %H:%M:%S.%f') = a.t) AS line_no FROM anomalies a) JOIN events ON event_id = line_no"""
+
+
+def own_limits(spark, d):
+    """What a chart of the device reports marks: points beyond the parser's own limits."""
+    registry = C.ParserRegistry()
+    registry.register("iostat", r"(?i).*iostat.*\.log$", C.parse_iostat, limits=C.IOSTAT_LIMITS)
+    return C.chart(iostat_lines(spark, d), registry)[1]
+
+
+OWN_LIMITS_SQL = f"""SELECT file_path, series, idx, t, value, CASE WHEN value >= 95 THEN 'CRITICAL' ELSE 'WARNING' END AS severity,
+  printf('%s is at %.1f%s', series, floor(value * 10 + 0.5) / 10, unit) AS reason, line_no FROM ({IOSTAT_SQL}) WHERE value >= 85"""
+
+
 def chart_summary(spark, d):
     m = Views(spark, d).metrics()
     return C.chart_summary(m, C.downsample_minmax(m, None, TARGET))
 
 
 # ---- alarms ----
-EPISODES = """rows_ AS (SELECT *, coalesce(count(*) FILTER (action = 'resolve') OVER (PARTITION BY node_id, alarm_type ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ep FROM {source}),
+EPISODES = """rows_ AS (SELECT *, coalesce(count(*) FILTER (action IN ('resolve', 'delete')) OVER (PARTITION BY node_id, alarm_type ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ep FROM {source}),
 grouped AS (
   SELECT node_id, alarm_type, ep, count(*) FILTER (action = 'report') AS count, arg_max(severity, (ts, seq)) FILTER (action = 'report' AND severity <> '') AS severity,
     arg_max(title, (ts, seq)) FILTER (action = 'report' AND title <> '') AS title, arg_max(message, (ts, seq)) FILTER (action = 'report') AS message,
-    min(ts) FILTER (action = 'report') AS first_occur, max(ts) FILTER (action = 'report') AS last_occur, max(ts) FILTER (action = 'resolve') AS resolved_at, bool_or(action = 'ack') AS acked
+    min(ts) FILTER (action = 'report') AS first_occur, max(ts) FILTER (action = 'report') AS last_occur, max(ts) FILTER (action = 'resolve') AS resolved_at, bool_or(action = 'ack') AS acked, coalesce(bool_or(action = 'delete'), false) AS deleted
   FROM rows_ GROUP BY 1, 2, 3),
 alarms AS (SELECT node_id, alarm_type, row_number() OVER (PARTITION BY node_id, alarm_type ORDER BY ep) AS episode, severity, title, message,
   CASE WHEN resolved_at IS NOT NULL THEN 'resolved' WHEN acked THEN 'acknowledged' ELSE 'active' END AS status, count, epoch_us(first_occur) AS first_us, epoch_us(last_occur) AS last_us, epoch_us(resolved_at) AS resolved_us
-  FROM grouped WHERE count > 0)"""
+  FROM grouped WHERE count > 0 AND NOT deleted)"""
 FROM_EVENTS = EPISODES.format(source="alarm_events")
 
 
@@ -137,17 +160,25 @@ def gaps(spark, d):
 
 
 def after_actions(spark, d):
-    """Every open alarm on DISK_FULL acknowledged, HIGH_MEMORY resolved, resolved ones cleared."""
+    """Every open alarm on DISK_FULL acknowledged, on HIGH_MEMORY resolved, others deleted; resolved ones cleared."""
     e = Views(spark, d).alarm_events()
-    end = e.groupBy("node_id", "alarm_type").agg(F.max("ts").alias("ts"), F.max("seq").alias("seq")).where("alarm_type <> 'NODE_OFFLINE'")
-    action = F.when(F.col("alarm_type") == "DISK_FULL", "ack").otherwise("resolve")
+    end = e.groupBy("node_id", "alarm_type").agg(F.max("ts").alias("ts"), F.max("seq").alias("seq"))
+    action = F.when(F.col("alarm_type") == "DISK_FULL", "ack").when(F.col("alarm_type") == "HIGH_MEMORY", "resolve").otherwise("delete")
     extra = end.select("node_id", "alarm_type", F.lit("").alias("severity"), F.lit("").alias("title"), F.lit("").alias("message"), action.alias("action"), "ts", (F.col("seq") + 1).alias("seq"))
     return micros(A.clear_resolved(A.aggregate_alarms(e.unionByName(extra)))).select("node_id", "alarm_type", "status", "count")
 
 
+DEBOUNCE_SQL = with_views(
+    "SELECT node_id, alarm_type, seq FROM sent JOIN reports USING (node_id, alarm_type, n)",
+    "alarm_events",
+    more="""reports AS (SELECT node_id, alarm_type, ts, seq, row_number() OVER (PARTITION BY node_id, alarm_type ORDER BY ts, seq) AS n FROM alarm_events WHERE action = 'report'),
+after AS (SELECT a.node_id, a.alarm_type, a.n, min(b.n) AS next FROM reports a JOIN reports b ON a.node_id = b.node_id AND a.alarm_type = b.alarm_type AND b.ts >= a.ts + INTERVAL 86400 SECOND GROUP BY 1, 2, 3),
+sent AS (SELECT DISTINCT node_id, alarm_type, 1::BIGINT AS n FROM reports UNION ALL SELECT node_id, alarm_type, next FROM sent JOIN after USING (node_id, alarm_type, n))""",
+).replace("WITH", "WITH RECURSIVE", 1)
+
 # ---- evidence ----
 NOISE = [("N-1", "small", "value=1[0-9]\\."), ("N-2", "clicks", "(?i)CLICK")]
-GLOSSARY = [("BUYING", ["PURCHASE VALUE"]), ("NODE", ["look at the node", "absent"]), ("NEVER", ["zzz"])]
+GLOSSARY = [("BUYING", ["PURCHASE VALUE"]), ("NODE", ["look at the node", "absent"]), ("NEVER", ["zzz"]), ("FAULTS", [" events: "])]
 FLOWS = [("FLOW_A", [("NOTHING", "zzz"), ("SIGN_UP", "signup value=99")]), ("FLOW_B", [("PURCHASES", "zzz"), ("VIEWED", "view value=0")])]
 NOISY = """noisy AS (SELECT *, CASE WHEN regexp_matches(content, 'value=1[0-9]\\.') THEN 'N-1' WHEN regexp_matches(content, '(?i)CLICK') THEN 'N-2' END AS ignored_by FROM found), clean AS (SELECT * FROM noisy WHERE ignored_by IS NULL)"""
 RANKED = f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY archive_id ORDER BY {WEIGHT} DESC, file_path, line_no, rule_id) AS rank, count(*) OVER (PARTITION BY archive_id) AS total FROM clean QUALIFY rank <= 15)"""
@@ -172,7 +203,15 @@ def document(spark, d):
     found, report = diagnose(Views(spark, d).event_lines(), RULES_SMALL)
     marked = K.suppress_noise(found, NOISE)
     ok = marked.where("ignored_by IS NULL")
-    return K.evidence_document(report, marked, K.match_glossary(ok, GLOSSARY), K.project_workflow(ok, FLOWS))
+    return K.evidence_document(report, marked, K.match_glossary(ok, GLOSSARY, report), K.project_workflow(ok, FLOWS))
+
+
+def glossary(spark, d):
+    from ..operators.diagnose import diagnose
+    from .views import RULES_SMALL
+
+    found, report = diagnose(Views(spark, d).event_lines(), RULES_SMALL)
+    return K.match_glossary(K.suppress_noise(found, NOISE).where("ignored_by IS NULL"), GLOSSARY, report)
 
 
 def marked_noise(spark, d):
@@ -187,14 +226,16 @@ QUERIES = {
     "c01_match_parsers": (lambda s, d: _registry().match(Views(s, d).files()), with_views("SELECT DISTINCT file_path, 'seven' AS parser FROM files WHERE regexp_matches(file_path, 'R/F/.*7') UNION ALL SELECT DISTINCT file_path, 'tens' FROM files WHERE regexp_matches(file_path, 'part-1?.log|/part-1.\\.log$')", "files")),
     "c02_c05_iostat": (iostat, IOSTAT_SQL),
     "c03_vmstat": (vmstat, VMSTAT_SQL),
-    "c04_time_values": (time_values, """SELECT 'load.txt' AS file_path, 'value' AS series, event_id AS idx, strftime(ts, '%H:%M:%S') AS t, v AS value, CASE WHEN v >= 95 THEN 'CRITICAL' ELSE 'WARNING' END AS severity, event_id + 1 AS line_no
+    "c04_time_values": (time_values, """SELECT 'load.txt' AS file_path, 'value' AS series, event_id AS idx, strftime(ts, '%H:%M:%S') AS t, v AS value, CASE WHEN v >= 95 THEN 'CRITICAL' ELSE 'WARNING' END AS severity, printf('value is at %.1f%%', floor(v * 10 + 0.5) / 10) AS reason, event_id + 1 AS line_no
 FROM (SELECT *, CAST(printf('%.2f', value) AS DOUBLE) AS v FROM events) WHERE v >= 90"""),
     "c06_slice_window": (lambda s, d: C.slice_window(Views(s, d).metrics(), START, END).select("series", "idx", "t", "value"), with_views(f"""SELECT series, idx - a AS idx, t, value FROM metrics, (SELECT coalesce(min(idx) FILTER (t >= '{START}'), 0) AS a, coalesce(max(idx) FILTER (t <= '{END}'), max(idx)) AS b FROM metrics) WHERE idx BETWEEN a AND b""", "metrics")),
     "c07_anomalies": (lambda s, d: C.detect_anomalies(Views(s, d).metrics()), with_views("SELECT * FROM anomalies", "metrics", more=STEPS)),
     "c08_downsample": (lambda s, d: downsampled(s, d).select("series", "idx", "new_idx", "value"), with_views("SELECT series, idx, new_idx, value FROM metrics JOIN numbered USING (idx)", "metrics", more=DOWN)),
     "c09_anomalies_of": (lambda s, d: C.anomalies_of(C.detect_anomalies(Views(s, d).metrics()), "click").select("series", "idx", "severity"), with_views("SELECT series, idx, severity FROM anomalies WHERE series = 'click'", "metrics", more=STEPS)),
-    "c10_anomaly_lines": (marked_lines, with_views("SELECT series, idx, line_no, series AS content FROM anomalies", "metrics", more=STEPS)),
-    "c11_chart_summary": (chart_summary, with_views("SELECT 'events' AS file_path, (SELECT n FROM n) AS total_points, (SELECT arg_min(t, (idx, series)) FROM metrics) AS start_t, (SELECT arg_max(t, (idx, series)) FROM metrics) AS end_t, (SELECT count(*) FROM keep) AS points, (SELECT count(*) FROM keep) < (SELECT n FROM n) AS downsampled", "metrics", more=DOWN)),
+    "c10_anomaly_lines": (marked_lines, with_views("SELECT series, idx, line_no, event_type AS content FROM anomalies JOIN events ON event_id = line_no", "metrics", more=STEPS)),
+    "c10_lines_by_time": (lines_by_time, with_views(LINES_BY_TIME_SQL, "metrics", more=STEPS)),
+    "c12_own_limits": (own_limits, OWN_LIMITS_SQL),
+    "c11_chart_summary": (chart_summary, with_views("SELECT 'events' AS file_path, (SELECT n FROM n) AS total_points, (SELECT arg_min(t, (idx, series)) FROM metrics) AS start_t, (SELECT arg_max(t, (idx, series)) FROM metrics) AS end_t, (SELECT count(*) FROM keep) AS points, (SELECT count(*) FROM keep) < (SELECT n FROM n) AS downsampled, printf('lows and highs (%d points)', (SELECT count(*) FROM keep)) AS resolution", "metrics", more=DOWN)),
     "o01_list_archives": (lambda s, d: O.list_archives(Views(s, d).archives(), None, "case-2", "7").select("id"), with_views("SELECT id FROM archives WHERE list_bool_or(list_transform(tags, lambda t: contains(lower(t), 'case-2'))) AND (contains(filename, '7') OR contains(remark, '7') OR list_bool_or(list_transform(tags, lambda t: contains(t, '7'))))", "archives")),
     "o02_duplicate_tags": (lambda s, d: O.duplicate_tags(Views(s, d).archives()), with_views("SELECT tag, count(*) AS n_archives FROM (SELECT DISTINCT id, lower(trim(tag)) AS tag FROM (SELECT id, unnest(tags) AS tag FROM archives)) GROUP BY 1 HAVING count(*) > 1", "archives")),
     "o03_user_usage": (lambda s, d: O.user_usage(Views(s, d).archives(), Views(s, d).users(), 1_000_000), with_views("""SELECT u."user", quota_bytes, CAST(coalesce(sum(size), 0) AS BIGINT) AS used_bytes, count(id) AS n_archives, quota_bytes > 0 AND coalesce(sum(size), 0) + 1000000 > quota_bytes AS over FROM users u LEFT JOIN archives a ON a."user" = u."user" GROUP BY 1, 2""", "archives")),
@@ -211,15 +252,15 @@ WHERE (disk_used_mb - prior_mb) / disk_total_mb * 100 > 75""", "archives")),
     "o09_latest_nodes": (lambda s, d: O.latest_nodes(Views(s, d).heartbeats()).select("ip", "port", "node_id", F.unix_micros("ts").alias("us"), "status", "disk_free_mb"), with_views("SELECT ip, port, arg_min(node_id, (ts, node_id)) AS node_id, epoch_us(max(ts)) AS us, CASE WHEN bool_or(status = 'maintenance') THEN 'maintenance' ELSE arg_max(status, (ts, node_id)) END AS status, arg_max(disk_free_mb, (ts, node_id)) AS disk_free_mb FROM heartbeats GROUP BY 1, 2", "heartbeats")),
     "o10_failures": (lambda s, d: O.classify_failures(Views(s, d).archives()), with_views("SELECT CASE WHEN contains(error_msg, 'No space') THEN 'disk_full' WHEN contains(error_msg, 'Permission') THEN 'permission' WHEN contains(error_msg, 'refused') THEN 'network' WHEN contains(error_msg, 'EOF') THEN 'corrupt_archive' ELSE 'other' END AS failure_class, node_id, count(*) AS n, min(error_msg) AS message FROM archives WHERE status = 'failed' GROUP BY 1, 2", "archives")),
     "a01_health_signals": (signals, SIGNALS_SQL),
-    "a02_debounce": (lambda s, d: A.debounce(Views(s, d).alarm_events().where("action = 'report'"), 86_400).select("node_id", "alarm_type", "seq"), None),
+    "a02_debounce": (lambda s, d: A.debounce(Views(s, d).alarm_events().where("action = 'report'"), 86_400).select("node_id", "alarm_type", "seq"), DEBOUNCE_SQL),
     "a03_alarms": (lambda s, d: micros(alarms(s, d)).select("node_id", "alarm_type", "episode", "severity", "title", "message", "status", "count", "first_us", "last_us", "resolved_us"), with_views("SELECT * FROM alarms", "alarm_events", more=FROM_EVENTS)),
     "a04_offline_gaps": (lambda s, d: gaps(s, d).select("node_id", F.unix_micros("ts").alias("us"), F.unix_micros("back_at").alias("back_us")), with_views("SELECT node_id, epoch_us(ts) AS us, epoch_us(back_at) AS back_us FROM gaps", "heartbeats", more=GAPS)),
     "a05_offline_alarms": (lambda s, d: micros(A.aggregate_alarms(A.offline_events(gaps(s, d), GAP_S))).select("node_id", "episode", "status", "count", "first_us", "resolved_us"), with_views("SELECT node_id, episode, status, count, first_us, resolved_us FROM alarms", "heartbeats", more=GAPS + ", " + EPISODES.format(source="offline"))),
-    "a06_actions": (after_actions, with_views("SELECT node_id, alarm_type, status, count FROM alarms WHERE status <> 'resolved'", "alarm_events", more="acted AS (SELECT * FROM alarm_events UNION ALL SELECT node_id, alarm_type, '', '', '', CASE alarm_type WHEN 'DISK_FULL' THEN 'ack' ELSE 'resolve' END, max(ts), max(seq) + 1 FROM alarm_events WHERE alarm_type <> 'NODE_OFFLINE' GROUP BY 1, 2), " + EPISODES.format(source="acted"))),
+    "a06_actions": (after_actions, with_views("SELECT node_id, alarm_type, status, count FROM alarms WHERE status <> 'resolved'", "alarm_events", more="acted AS (SELECT * FROM alarm_events UNION ALL SELECT node_id, alarm_type, '', '', '', CASE alarm_type WHEN 'DISK_FULL' THEN 'ack' WHEN 'HIGH_MEMORY' THEN 'resolve' ELSE 'delete' END, max(ts), max(seq) + 1 FROM alarm_events GROUP BY 1, 2), " + EPISODES.format(source="acted"))),
     "a07_list_alarms": (lambda s, d: micros(A.list_alarms(alarms(s, d))).select("node_id", "alarm_type", "episode", "status", "last_us"), with_views("SELECT node_id, alarm_type, episode, status, last_us FROM alarms WHERE status <> 'resolved'", "alarm_events", more=FROM_EVENTS)),
     "a08_alarm_summary": (lambda s, d: A.alarm_summary(alarms(s, d)), with_views("SELECT count(*) AS active, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'warning') AS warning, count(*) FILTER (coalesce(severity, '') NOT IN ('critical', 'warning')) AS info FROM alarms WHERE status <> 'resolved'", "alarm_events", more=FROM_EVENTS)),
     "k01_noise": (lambda s, d: noisy(s, d).select("file_path", "line_no", "rule_id", "ignored_by"), diagnosed("SELECT file_path, line_no, rule_id, ignored_by FROM noisy", NOISY)),
-    "k02_glossary": (lambda s, d: K.match_glossary(clean(s, d), GLOSSARY), diagnosed("SELECT DISTINCT archive_id, term FROM (SELECT archive_id, unnest(['BUYING', 'NODE']) AS term, unnest([contains(upper(content), 'PURCHASE VALUE'), contains(upper(rule_name || ' ' || content || ' ' || suggestion), 'NODE')]) AS hit FROM clean) WHERE hit", NOISY)),
+    "k02_glossary": (glossary, diagnosed("SELECT DISTINCT archive_id, 'FAULTS' AS term FROM found UNION ALL SELECT DISTINCT archive_id, term FROM (SELECT archive_id, unnest(['BUYING', 'NODE']) AS term, unnest([contains(upper(content), 'PURCHASE VALUE'), contains(upper(rule_name || ' ' || content || ' ' || suggestion), 'NODE')]) AS hit FROM clean) WHERE hit", NOISY)),
     "k03_workflow": (lambda s, d: K.project_workflow(clean(s, d), FLOWS), diagnosed("SELECT * FROM staged", NOISY + ", " + STAGES_SQL)),
     "k04_ranked": (lambda s, d: K.rank_evidence(clean(s, d)).select("archive_id", "file_path", "line_no", "rule_id", "rank", F.col("omitted").cast("long").alias("omitted")), diagnosed("SELECT archive_id, file_path, line_no, rule_id, CAST(rank AS INT) AS rank, greatest(0, total - 15) AS omitted FROM ranked", NOISY + ", " + RANKED)),
     "k05_documents": (document, None),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import Rule
@@ -18,6 +18,12 @@ RULES_SMALL = [
 ]
 
 
+SERIES = ["click", "view", "error", "signup", "purchase"]
+
+
+FAULTS = ["osd.3 marked DOWN", "12 slow requests on", "Heartbeat expired for", "MISSING BLOCKS: ", "drive 4 went offline:", "XFS (sda1): error 5 at", "Read-only file system", "quorum lost by", "invoked oom-killer: gfp", "panic: runtime error in", "Full GC took 3.2 secs for", "raft: peer 2 election timeout", "connection pool full for", "x509: certificate has expired for", "CONNECTION RESET BY PEER from"]
+
+
 class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
@@ -28,15 +34,23 @@ class Views:
         return df.withColumns({c: F.col(c).cast("timestamp") for c, t in df.dtypes if t == "timestamp_ntz"})
 
     def event_lines(self) -> DataFrame:
+        """Lines of eight files; places follow from event ids, so no line waits for another."""
         e = self.table("events").select("event_id", "ts", "user_id", "event_type", "value")
-        node = F.col("user_id") % 8
+        node = F.col("event_id") % 8
         level = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "signup", "WARN").when(F.col("event_type") == "purchase", "FATAL").otherwise("INFO")
         content = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.format_string(" [%s] trace_id=t-%d %s value=%.2f", level, "user_id", "event_type", "value"))
         return e.select(
-            (F.col("user_id") % 2).cast("string").alias("archive_id"), F.format_string("app/node-%d.log", node).alias("file_path"),
-            F.row_number().over(Window.partitionBy(node).orderBy("event_id")).cast("long").alias("line_no"), content.alias("content"),
+            (F.col("event_id") % 2).cast("string").alias("archive_id"), F.format_string("app/node-%d.log", node).alias("file_path"),
+            F.expr("event_id div 8 + 1").alias("line_no"), content.alias("content"),
         )
 
+    def fault_lines(self) -> DataFrame:
+        """Kernel and service messages, one an event: every fourth names a fault."""
+        e = self.table("events")
+        said = F.element_at(F.array(*map(F.lit, FAULTS)), F.expr("CAST(event_id div 4 % {n} + 1 AS INT)".format(n=len(FAULTS))))
+        text = F.when(F.col("event_id") % 4 == 0, said).otherwise("request served")
+        return e.select(F.lit("faults").alias("archive_id"), F.concat(F.lit("var/log/"), (F.col("user_id") % 10).cast("string"), F.lit(".log")).alias("file_path"), F.col("event_id").alias("line_no"), F.concat_ws(" ", text, F.col("user_id").cast("string")).alias("content"))
+
     def doc_lines(self) -> DataFrame:
         d = self.table("documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("pos", "content"))
         return d.select(F.lit("docs").alias("archive_id"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("file_path"), (F.col("pos") + 1).cast("long").alias("line_no"), "content")
@@ -50,9 +64,10 @@ class Views:
         return p.select(F.lit("pages").alias("archive_id"), F.concat(F.lit("page-"), F.col("page_id").cast("string"), F.lit(".html")).alias("file_path"), (F.col("pos") + 1).cast("long").alias("line_no"), "content")
 
     def metrics(self) -> DataFrame:
+        """Five series that take the events in turn."""
         e = self.table("events")
-        idx = F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id")) - 1
-        return e.select(F.lit("events").alias("file_path"), F.col("event_type").alias("series"), F.lit("%").alias("unit"), idx.cast("long").alias("idx"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("t"), "value", F.col("event_id").alias("line_no"))
+        name = F.element_at(F.array(*map(F.lit, SERIES)), (F.col("event_id") % 5 + 1).cast("int"))
+        return e.select(F.lit("events").alias("file_path"), name.alias("series"), F.lit("%").alias("unit"), F.expr("event_id div 5").alias("idx"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("t"), "value", F.col("event_id").alias("line_no"))
 
     def heartbeats(self) -> DataFrame:
         e = self.table("events")
@@ -107,11 +122,14 @@ class Views:
 
 SQL = {
     "event_lines": """event_lines AS (
-  SELECT CAST(user_id % 2 AS VARCHAR) AS archive_id, 'app/node-' || (user_id % 8)::VARCHAR || '.log' AS file_path,
-    row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) AS line_no,
+  SELECT CAST(event_id % 2 AS VARCHAR) AS archive_id, 'app/node-' || (event_id % 8)::VARCHAR || '.log' AS file_path,
+    event_id // 8 + 1 AS line_no,
     strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || ' [' || CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARN'
       WHEN 'purchase' THEN 'FATAL' ELSE 'INFO' END || '] trace_id=t-' || user_id::VARCHAR || ' ' || event_type || ' value=' || printf('%.2f', value) AS content
   FROM events)""",
+    "fault_lines": f"""fault_lines AS (
+  SELECT 'faults' AS archive_id, 'var/log/' || (user_id % 10)::VARCHAR || '.log' AS file_path, event_id AS line_no,
+    CASE WHEN event_id % 4 = 0 THEN {FAULTS}[event_id // 4 % {len(FAULTS)} + 1] ELSE 'request served' END || ' ' || user_id::VARCHAR AS content FROM events)""",
     "doc_lines": """doc_lines AS (
   SELECT 'docs' AS archive_id, source || '/' || doc_id::VARCHAR AS file_path, CAST(i AS BIGINT) AS line_no, s AS content
   FROM (SELECT source, doc_id, generate_subscripts(p, 1) AS i, unnest(p) AS s FROM (SELECT source, doc_id, string_split(text, chr(10)) AS p FROM documents)))""",
@@ -121,7 +139,7 @@ SQL = {
   SELECT 'pages' AS archive_id, 'page-' || page_id::VARCHAR || '.html' AS file_path, CAST(i AS BIGINT) AS line_no, s AS content
   FROM (SELECT page_id, generate_subscripts(p, 1) AS i, unnest(p) AS s FROM (SELECT page_id, string_split(html, chr(10)) AS p FROM pages)))""",
     "metrics": """metrics AS (
-  SELECT 'events' AS file_path, event_type AS series, '%' AS unit, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS idx,
+  SELECT 'events' AS file_path, ['click', 'view', 'error', 'signup', 'purchase'][event_id % 5 + 1] AS series, '%' AS unit, event_id // 5 AS idx,
     strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS t, value, event_id AS line_no FROM events)""",
     "heartbeats": """heartbeats AS (
   SELECT 'n' || (user_id % 20)::VARCHAR || '-' || (event_id // 4000)::VARCHAR AS node_id, '10.0.0.' || (user_id % 20)::VARCHAR AS ip, 9000 AS port, ts,

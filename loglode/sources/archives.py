@@ -5,17 +5,21 @@ from __future__ import annotations
 import bz2
 import gzip
 import io
+import itertools
 import posixpath
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA = "archive_path string, file_path string, depth int, line_no bigint, content string"
+SCHEMA = "archive_path string, file_path string, depth int, line_no bigint, content string, error string"
 ROWS = 20_000
+#: What damaged, encrypted or oddly packed packages and members raise.
+FAULTS = (tarfile.TarError, zipfile.BadZipFile, zlib.error, OSError, EOFError, RuntimeError, ValueError)
 TARS = (".tar", ".tar.gz", ".tgz", ".tar.bz2", ".tbz2")
 
 
@@ -38,14 +42,17 @@ def _safe(name: str) -> str | None:
 
 
 def members(name: str, stream) -> Iterator[tuple[str, object]]:
-    """(path, readable) of each regular file of a package."""
+    """(path, readable) of each regular file of a package; the fault in place of a zip member that cannot be opened."""
     if name.lower().endswith(".zip"):
         with zipfile.ZipFile(stream) as z:
             for info in z.infolist():
                 path = _safe(info.filename)
                 if path and not info.is_dir():
-                    with z.open(info) as f:
-                        yield path, f
+                    try:
+                        f = z.open(info)
+                    except FAULTS as e:
+                        f = e
+                    yield path, f
     else:
         with tarfile.open(fileobj=stream, mode="r|*") as t:
             for m in t:
@@ -58,16 +65,20 @@ def walk(name: str, stream, at: str, depth: int, max_depth: int) -> Iterator[tup
     """(path, depth, readable) of all files, going into packages inside packages.
 
     An inner package becomes a folder of its name; members that stand in a folder of that name already are not put
-    into it twice.
+    into it twice.  In place of what cannot be read stands the fault; the walk goes on behind it.
     """
     for path, f in members(name, stream):
         base = posixpath.basename(path)
-        if is_package(base) and depth < max_depth:
+        if isinstance(f, Exception):
+            yield posixpath.join(at, path), depth, f
+        elif is_package(base) and depth < max_depth:
             folder = posixpath.join(at, posixpath.dirname(path), _stem(base))
-            inner = io.BytesIO(f.read())
-            for sub, d, g in walk(base, inner, "", depth + 1, max_depth):
-                own = sub.removeprefix(_stem(base) + "/")
-                yield posixpath.join(folder, own), d, g
+            try:
+                for sub, d, g in walk(base, io.BytesIO(f.read()), "", depth + 1, max_depth):
+                    own = sub.removeprefix(_stem(base) + "/")
+                    yield posixpath.join(folder, own), d, g
+            except FAULTS as e:
+                yield posixpath.join(at, path), depth, e
         elif base.lower().endswith(".gz") and not is_package(base):
             yield posixpath.join(at, path[:-3]), depth, gzip.GzipFile(fileobj=f)
         elif base.lower().endswith(".bz2") and not is_package(base):
@@ -79,26 +90,34 @@ def walk(name: str, stream, at: str, depth: int, max_depth: int) -> Iterator[tup
 def explode_archives(files: DataFrame, max_depth: int = 10) -> DataFrame:
     """archive_path, file_path, depth, line_no, content of every line in the packages of a binaryFile table.
 
-    Packages are dealt one by one over tasks; members stream through, in pieces of bounded size.  A package that
-    cannot be read gives the lines up to the fault.
+    Packages are dealt one by one over tasks; members stream through, in pieces of bounded size.  A member or package
+    that cannot be read gives its lines up to the fault and one row with the error, without line_no and content; other
+    members follow.
     """
 
+    def lines(source: str, path: str, depth: int, f) -> Iterator[tuple]:
+        try:
+            if isinstance(f, Exception):
+                raise f
+            for no, raw in enumerate(f, 1):
+                yield source, path, depth, no, raw.rstrip(b"\r\n").decode(errors="replace"), None
+        except FAULTS as e:
+            yield source, path, depth, None, None, f"{type(e).__name__}: {e}"
+
+    def package(source: str, content: bytes) -> Iterator[tuple]:
+        try:
+            for path, depth, f in walk(posixpath.basename(source), io.BytesIO(content), "", 1, max_depth):
+                yield from lines(source, path, depth, f)
+        except FAULTS as e:
+            yield from lines(source, "", 1, e)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         for batch in batches:
             for source, content in zip(batch["path"], batch["content"]):
-                rows: list[tuple] = []
-                try:
-                    for path, depth, f in walk(posixpath.basename(source), io.BytesIO(content), "", 1, max_depth):
-                        for no, raw in enumerate(f, 1):
-                            rows.append((source, path, depth, no, raw.rstrip(b"\r\n").decode(errors="replace")))
-                            if len(rows) >= ROWS:
-                                yield pd.DataFrame(rows, columns=names)
-                                rows = []
-                except (tarfile.TarError, zipfile.BadZipFile, OSError, EOFError):
-                    pass
-                if rows:
-                    yield pd.DataFrame(rows, columns=names)
+                for rows in itertools.batched(package(source, content), ROWS):
+                    out = pd.DataFrame(rows, columns=names)
+                    yield out.astype({"line_no": "Int64"})
 
     n = max(1, files.sparkSession.sparkContext.defaultParallelism)
     return files.select("path", "content").repartition(n, "path").mapInPandas(run, SCHEMA)
@@ -111,5 +130,5 @@ def read_archives(spark: SparkSession, path: str, max_depth: int = 10) -> DataFr
 
 
 def archive_lines(exploded: DataFrame) -> DataFrame:
-    """The lines table of exploded packages; the archive's id is a hash of its path."""
-    return exploded.select(F.substring(F.md5("archive_path"), 1, 12).alias("archive_id"), "file_path", "line_no", "content")
+    """The lines table of exploded packages, without error rows; the archive's id is a hash of its path."""
+    return exploded.where("error IS NULL").select(F.substring(F.md5("archive_path"), 1, 12).alias("archive_id"), "file_path", "line_no", "content")

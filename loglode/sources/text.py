@@ -36,8 +36,9 @@ def read_log_lines(spark: SparkSession, paths: str | list[str], archive_id: str
 
 
 def read_lines(lines: DataFrame, file_path: str, start: int = 1, limit: int = 500) -> DataFrame:
-    """A page of one file: line_no, content, and has_more on every row. At most 5,000 lines."""
+    """A page of one file: line_no, content, and on every row has_more and total_lines. At most 5,000 lines."""
     start, limit = max(1, start), min(limit if limit > 0 else 500, 5000)
-    part = lines.where((F.col("file_path") == file_path) & F.col("line_no").between(start, start + limit))
-    more = part.agg(F.coalesce(F.max("line_no"), F.lit(0)).alias("top"))
-    return part.crossJoin(F.broadcast(more)).where(F.col("line_no") < start + limit).select("line_no", "content", (F.col("top") >= start + limit).alias("has_more"))
+    file = lines.where(F.col("file_path") == file_path)
+    total = file.agg(F.coalesce(F.max("line_no"), F.lit(0)).cast("long").alias("total_lines"))
+    part = file.where(F.col("line_no").between(start, start + limit - 1)).crossJoin(F.broadcast(total))
+    return part.select("line_no", "content", (F.col("total_lines") >= start + limit).alias("has_more"), "total_lines")

@@ -46,7 +46,10 @@ ALARM = "node_id string, alarm_type string, episode long, severity string, title
 
 
 def aggregate_stream(alarm_events: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """Update mode: the current row of each alarm episode that a batch touched."""
+    """Update mode: the current row of each alarm episode that a batch touched; a deleted one has status 'deleted'.
+
+    Deleted episodes keep their numbers here, as rows of earlier batches have them.
+    """
 
     def walk(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         episode, n, severity, title, message, status, first, last = state.get if state.exists else (0, 0, "", "", "", "resolved", 0, 0)
@@ -54,14 +57,16 @@ def aggregate_stream(alarm_events: DataFrame, watermark: str = WATERMARK) -> Dat
         for r in pd.concat(list(batches)).sort_values(["ts", "seq"]).itertuples(index=False):
             at, done = int(r.ts.value // 1000), None
             if r.action == "report":
-                if status == "resolved":
+                if status in ("resolved", "deleted"):
                     episode, n, severity, title, status, first = episode + 1, 0, "", "", "active", at
                 n, last, message = n + 1, at, r.message
                 severity, title = r.severity or severity, r.title or title
-            elif status == "resolved":
+            elif status in ("resolved", "deleted"):
                 continue
             elif r.action == "resolve":
                 status, done = "resolved", at
+            elif r.action == "delete":
+                status = "deleted"
             elif r.action == "ack":
                 status = "acknowledged"
             out[episode] = (*key, episode, severity, title, message, status, n, pd.Timestamp(first * 1000), pd.Timestamp(last * 1000), pd.Timestamp(done * 1000) if done is not None else pd.NaT)

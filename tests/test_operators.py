@@ -238,6 +238,52 @@ def test_parsers(spark):
     assert {r.series: r.value for r in series.parse_vmstat(vm).collect()} == {"us": 12.0, "sy": 13.0, "wa": 15.0}
 
 
+def test_charts_mark_a_parsers_own_limits(spark):
+    rows = [("vmstat-1.log", i, f"1 0 0 1 2 3 4 5 6 7 8 9 {us} 1 2 {wa} 0") for i, (us, wa) in enumerate([(99, 39), (5, 40), (5, 70)], 1)]
+    rows += [("free.log", i, f"10:00:0{i} {v}") for i, v in enumerate([1, 99, 1, 1], 1)]
+    registry = series.ParserRegistry()
+    registry.register("vmstat", r"vmstat.*\.log$", series.parse_vmstat, limits=series.VMSTAT_LIMITS)
+    registry.register("free", r"free\.log$", series.parse_time_value)
+    _, marked = series.chart(spark.createDataFrame(rows, "file_path string, line_no long, content string"), registry)
+    got = sorted((r.file_path, r.series, r.idx, r.severity) for r in marked.collect())
+    assert [g for g in got if g[0] != "free.log"] == [("vmstat-1.log", "wa", 1, "WARNING"), ("vmstat-1.log", "wa", 2, "CRITICAL")]
+    assert ("free.log", "value", 1, "CRITICAL") in got
+
+
+def test_anomaly_lines_by_time(spark):
+    lines = spark.createDataFrame([("f", 1, "at 12:10:00:05 x"), ("f", 2, "2026-01-01 10:00:05 y"), ("f", 3, "again 10:00:05"), ("g", 1, "10:00:05"), ("f", 4, "sample 17")], "file_path string, line_no long, content string")
+    found = spark.createDataFrame([("f", "a", "10:00:05"), ("f", "b", "2026-01-01 10:00:05"), ("f", "c", "17"), ("f", "d", "11:11:11")], "file_path string, series string, t string").withColumn("line_no", F.lit(None).cast("long"))
+    got = {r.series: r.line_no for r in series.anomaly_lines(found, lines).collect()}
+    assert got == {"a": 1, "b": 2, "c": 4, "d": None}
+
+
+def plain_templates(rows, similarity, depth=4):
+    """(pattern, count) of the greedy walk, one line after another."""
+    leaves = {}
+    for pattern, count in rows:
+        tokens = pattern.split()
+        leaf = leaves.setdefault((len(tokens), *("<*>" if any(c.isdigit() for c in t) else t for t in tokens[: depth - 1])), [])
+        scores = [sum(a == b for a, b in zip(c[0], tokens)) / len(tokens) for c in leaf]
+        best = max(range(len(leaf)), key=lambda i: scores[i], default=None)
+        if best is None or scores[best] < similarity:
+            leaf.append((tokens, count))
+        else:
+            leaf[best] = ([a if a == b else "<*>" for a, b in zip(leaf[best][0], tokens)], leaf[best][1] + count)
+    return sorted((" ".join(t), n) for leaf in leaves.values() for t, n in leaf)
+
+
+def test_merging_equals_a_plain_walk(spark):
+    import random
+
+    r = random.Random(4)
+    texts = [" ".join(["disk", "unit", r.choice("ab"), *(r.choice(["red", "green", "blue"]) for _ in range(6))]) for _ in range(300)]
+    masked = templates.masked_patterns(lines_of(spark, "\n".join(texts)))
+    rows = [(x.pattern, x["count"]) for x in masked.orderBy("sample_file", "sample_line").collect()]
+    for similarity in (0.55, 0.8):
+        got = sorted((x.pattern, x["count"]) for x in templates.merge_templates(masked, similarity).collect())
+        assert got == plain_templates(rows, similarity) and len(got) < len(rows)
+
+
 def test_slice_window(spark):
     m = metric(spark, range(10))
     idx = lambda a, b: sorted(r.value for r in series.slice_window(m, a, b).collect())
@@ -289,6 +335,14 @@ def test_alarms(spark):
     assert sorted((r.episode, r["count"], r.status) for r in again.collect()) == [(1, 2, "resolved"), (2, 1, "active")]
 
 
+def test_deleted_alarms(spark):
+    rows = [("A", "", "x", "report"), ("A", "", "", "delete"), ("A", "", "", "delete"), ("A", "", "y", "report"), ("A", "", "", "resolve"), ("A", "", "z", "report")]
+    table = alarms.aggregate_alarms(alarm_rows(spark, rows))
+    assert sorted((r.episode, r.message, r.status) for r in table.collect()) == [(1, "y", "resolved"), (2, "z", "active")]
+    assert [r.message for r in alarms.delete_alarm(table, "n1", "A", 1).collect()] == ["z"]
+    assert alarms.delete_alarm(table, "n1", "B", 1).count() == 2
+
+
 def test_debounce(spark):
     rows = alarm_rows(spark, [("A", "", str(i), "report") for i in range(8)])  # ten seconds apart
     assert sorted(r.seq for r in alarms.debounce(rows, 30).collect()) == [0, 3, 6]
@@ -303,6 +357,8 @@ def test_evidence(spark):
     clean = marked.where("ignored_by IS NULL")
     assert clean.count() == 2 and marked.where("ignored_by = 'NOISE-001'").count() == 1
     assert {r.term for r in evidence.match_glossary(clean, GLOSSARY).collect()} == {"CHUNK_SEAL", "PEER_WAL_COMMIT"}
+    told = spark.createDataFrame([("b", "chunk seal failed: CHUNK_SEAL")], "archive_id string, summary_text string")
+    assert {r.archive_id for r in evidence.match_glossary(clean, GLOSSARY, told).collect()} == {"a", "b"}
     stages = evidence.project_workflow(clean)
     assert tuple(stages.first())[1:] == ("WRITE_DATA_FLOW", 3, "PEER_WAL_COMMIT")
     ranked = evidence.rank_evidence(clean)

@@ -57,7 +57,14 @@ def test_archives(spark, tmp_path):
         f.writestr("../evil.log", "no")
     (tmp_path / "top.tar").write_bytes(tar([("node1.tar.gz", inner), ("../bad.log", b"no"), ("p.zip", z.getvalue()), ("q.log.gz", gzip.compress(b"q1\nq2\n")), ("empty.log", b"")], "w"))
     (tmp_path / "broken.tar.gz").write_bytes(b"not an archive")
-    got = {(r.file_path, r.line_no, r.content, r.depth) for r in archives.read_archives(spark, str(tmp_path)).collect()}
+    damaged = gzip.compress(b"lost\n" * 5000)
+    damaged = damaged[:20] + b"\xff" * 20 + damaged[40:]
+    (tmp_path / "part.tar").write_bytes(tar([("in.tar.gz", b"no package"), ("bad.log.gz", damaged), ("after.log", b"still read\n")], "w"))
+    table = archives.read_archives(spark, str(tmp_path))
+    faults = {(r.archive_path.rpartition("/")[2], r.file_path) for r in table.where("error IS NOT NULL AND line_no IS NULL").collect()}
+    assert faults == {("broken.tar.gz", ""), ("part.tar", "in.tar.gz"), ("part.tar", "bad.log")}
+    assert [r.content for r in archives.archive_lines(table).where("file_path = 'after.log'").collect()] == ["still read"]
+    got = {(r.file_path, r.line_no, r.content, r.depth) for r in table.where("error IS NULL AND NOT archive_path LIKE '%part.tar'").collect()}
     assert got == {("node1/a.log", 1, "one", 2), ("node1/a.log", 2, "two", 2), ("node1/b.log", 1, "three", 2), ("p/deep/n/x.log", 1, "deep", 3), ("q.log", 1, "q1", 1), ("q.log", 2, "q2", 1)}
 
 
@@ -73,6 +80,7 @@ def test_paging_and_sub_archives(spark):
     lines = spark.range(1, 21).select(F.lit("a").alias("archive_id"), F.lit("f").alias("file_path"), F.col("id").alias("line_no"), F.lit("x").alias("content"))
     assert [(r.line_no, r.has_more) for r in text.read_lines(lines, "f", 1, 5).collect()][-1] == (5, True)
     assert sorted((r.line_no, r.has_more) for r in text.read_lines(lines, "f", 16, 10).collect())[-1] == (20, False)
+    assert {r.total_lines for r in text.read_lines(lines, "f", 3, 2).collect()} == {20}
     files = spark.createDataFrame([("wrap/node-01/a.log", 1), ("wrap/node-01/sub/b.log", 2), ("wrap/node-02/c.log", 4), (".hidden/x", 9)], "file_path string, size long")
     assert [tuple(r) for r in catalog.detect_sub_archives(files).collect()] == [("node-01", "wrap/node-01", 2, 3, True), ("node-02", "wrap/node-02", 1, 4, False)]
     assert [r.name for r in catalog.list_children(files, "wrap").collect()] == ["node-01", "node-02"]
