@@ -1,11 +1,11 @@
 """Near copies by five-word shingles: pairs whose Jaccard similarity is `threshold` or more, verified on the shingles.
 
-Candidates share a band of minima.  With 24 bands of 4 minima a pair at similarity 0.8 shares none with a chance of
-3e-6, and less above.  In a band's bucket every member is compared with the member that has most company in all its
-buckets, the seed; what these links join is one component already.  In buckets of at most `small` members all pairs
-across components are compared then.  In larger ones, further seeds from other components follow, `rounds` in all, so
-that work stays in proportion to the members; two texts there that are joined neither by a seed nor by another bucket
-stay apart (a crowd whose members are all just below or above the threshold of each other).
+Candidates share a band of minima under universal hash functions (multiply, add, take the least).  With 24 bands of 4
+minima a pair at similarity 0.8 shares none with a chance of 3e-6 (at 0.85: 2e-8), and less above.  In a band's bucket
+every member is first compared with the member that has most company in all its buckets, the seed; what these links
+join is one component already, and only pairs across components are left.  Buckets of up to `whole` members compare
+all of those.  The members of larger buckets are dealt again by their rarest shared shingles (a prefix filter within
+segments of set sizes), which misses no pair at all: texts of the same boilerplate meet only where their own parts do.
 
 Of candidates, one byte of each minimum is compared first, inside the join that meets them: fewer equal bytes than a
 pair at the threshold has, but for a chance of 1e-9, rule it out.  What remains is verified by shingles, as 64-bit hashes, in Spark.
@@ -18,6 +18,7 @@ unless all ids of the component are null.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,7 @@ from .components import components
 
 BANDS, ROWS = 24, 4
 FACTORS = mix(np.arange(101, 101 + BANDS * ROWS, dtype=np.uint64)) | np.uint64(1)
+TERMS = mix(np.arange(301, 301 + BANDS * ROWS, dtype=np.uint64))
 BAND = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 
 
@@ -44,7 +46,7 @@ def lowest(h: np.ndarray) -> np.ndarray:
     """The minima of the shingles h under all hash functions."""
     low = np.full(len(FACTORS), np.iinfo(np.uint64).max, np.uint64)
     for a in range(0, len(h), 512):
-        low = np.minimum(low, (h[None, a : a + 512] * FACTORS[:, None]).min(axis=1))
+        low = np.minimum(low, (h[None, a : a + 512] * FACTORS[:, None] + TERMS[:, None]).min(axis=1))
     return low
 
 
@@ -141,56 +143,95 @@ def verified(pairs: DataFrame, numbered: DataFrame, keys: DataFrame, threshold:
     return out
 
 
-def near_copy_links(numbered: DataFrame, keys: DataFrame, threshold: float = 0.8, small: int = 128, rounds: int = 3) -> DataFrame:
+def _emitted(sets: DataFrame, hot: DataFrame, threshold: float, ratio: float) -> DataFrame:
+    """(lo, hi, h, seg, key, label, n, planes): the shingles under which each key of hot (key, label, n, planes) must
+    meet every key as similar as threshold, by segments of set sizes.
+
+    Shingles that no other key has cannot meet and are left out; the others are ordered from rare to frequent.  Two
+    sets that share s shingles or more share one of the first len - s + 1 of each (prefix filter); s follows from the
+    own size and the least size in the other's segment, so boilerplate that is too short to link two texts lies
+    behind both prefixes and brings nobody together.
+    """
+    each = sets.select("key", F.explode("shingles").alias("h"))
+    often = each.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    rare = each.join(often, "h").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("shared"))
+    seg = lambda n: F.floor(F.log(n) / math.log(ratio) + 1e-9)
+    x = rare.join(hot, "key").withColumn("seg", seg(F.col("n").cast("double"))).withColumn("m", F.size("shared"))
+    low, high = seg(F.greatest(F.lit(1.0), F.ceil(F.col("n") * threshold - 1e-6).cast("double"))), seg(F.floor(F.col("n") / threshold + 1e-6).cast("double"))
+    x = x.withColumn("other", F.explode(F.sequence(low, high)))
+    least = F.greatest(F.ceil(F.pow(F.lit(ratio), "other") * (1 - 1e-9) - 1e-6), F.ceil(F.col("n") * threshold - 1e-6))
+    first = F.col("m") - F.ceil((F.col("n") + least) * (threshold / (1 + threshold)) - 1e-6) + 1
+    x = x.withColumn("first", first.cast("int")).where("first > 0")
+    x = x.select(F.least("seg", "other").alias("lo"), F.greatest("seg", "other").alias("hi"), "seg", "key", "label", "n", "planes", F.explode(F.slice("shared", F.lit(1), F.col("first"))).alias("s"))
+    return x.select("lo", "hi", F.col("s.h").alias("h"), "seg", "key", "label", "n", "planes")
+
+
+def prefix_pairs(sets: DataFrame, hot: DataFrame, threshold: float, ratio: float = 1.05) -> DataFrame:
+    """Pairs (a, b) of keys of hot with different labels that may be as similar as threshold; none that is, is missing.
+
+    In a group of keys that meet, those of the most frequent label are compared with the others only, so a crowd of one
+    label costs in proportion to its members.
+    """
+    group = ["lo", "hi", "h"]
+    rows = written(_emitted(sets, hot, threshold, ratio), "prefixes")
+    sums = rows.groupBy(*group, "label").agg(F.count(F.lit(1)).alias("c"))
+    most = written(sums.groupBy(*group).agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("c", "label")).alias("top")).where("labels > 1").select(*group, F.col("top.label").alias("top")), "groups")
+    rows = rows.join(most, group)
+    side = lambda p, d: d.select([F.col(c).alias(f"{p}_{c}") for c in [*group, "seg", "key", "label", "n", "planes", "top"]])
+    a, b = side("a", rows.where("label <> top")), side("b", rows)
+    on = F.expr("a_lo = b_lo AND a_hi = b_hi AND a_h = b_h AND a_label <> b_label AND (a_lo = a_hi OR a_seg <> b_seg) AND (b_label = b_top OR a_key < b_key)")
+    found = a.join(b, on & _alike("a_", "b_", threshold)).select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b"))
+    return written(found.distinct(), "candidates")
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+
+
+def near_copy_links(numbered: DataFrame, keys: DataFrame, threshold: float = 0.8, whole: int = 128) -> DataFrame:
     """Links (a, b) that connect the near copies among keys (key, doc_id, n, bands, planes)."""
     members = keys.select("key", F.explode("bands").alias("band"))
     sizes = written(members.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
     m = written(members.join(sizes, "band"), "members")
     weights = m.groupBy("key").agg(F.sum("size").alias("w"))
-    m = written(m.join(weights, "key"), "weighted").withColumn("label", F.col("key"))
-    links, seeds = None, None
-    for turn in range(rounds):
-        x = m
-        if links is not None:
-            labels = written(components(links).withColumnRenamed("node", "key"), "labels")
-            x = m.drop("label").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-            mixed = written(x.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("band"), "mixed")
-            x = written(x.join(mixed, "band", "left_semi"), "mixed")
-            m = x
-        new = None
-        if turn == 1:
-            few = written(x.where(F.col("size") <= small).select("band", "key", "label").join(keys.select("key", "n", "planes"), "key"), "few")
-            on = F.expr("p.band = q.band AND p.key < q.key AND p.label <> q.label") & _alike("p.", "q.", threshold)
-            new = few.alias("p").join(few.alias("q"), on).select(F.col("p.key").alias("a"), F.col("q.key").alias("b"))
-        if turn:
-            m = x = x.where(F.col("size") > small)
-            if new is None and x.isEmpty():
-                break
-        fresh = F.lit(True)
-        if seeds is not None:
-            old = written(seeds.select("band", F.col("seed.key").alias("key")).join(labels, "key", "left").select("band", F.coalesce("label", "key").alias("was")), "old")
-            x = x.join(old, "band", "left")
-            fresh = ~F.col("label").eqNullSafe(F.col("was"))
-        seeds = written(x.groupBy("band").agg(F.max(F.struct(fresh.alias("fresh"), "w", "key", "label")).alias("seed")), "seeds")
-        pairs = m.join(seeds, "band").where("label <> seed.label").select(F.least("key", "seed.key").alias("a"), F.greatest("key", "seed.key").alias("b"))
-        found = verified(pairs if new is None else pairs.unionByName(new), numbered, keys, threshold)
-        links = found if links is None else links.unionByName(found)
-    return links
+    seeds = m.join(weights, "key").groupBy("band").agg(F.max(F.struct("w", "key")).alias("seed"))
+    pairs = m.join(seeds, "band").where("key <> seed.key").select(F.least("key", "seed.key").alias("a"), F.greatest("key", "seed.key").alias("b"))
+    links = verified(pairs, numbered, keys, threshold)
+    labels = written(components(links).withColumnRenamed("node", "key"), "labels")
+    x = _labelled(m, labels)
+    mixed = x.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("band")
+    x = written(x.join(mixed, "band", "left_semi"), "mixed")
+    few = x.where(F.col("size") <= whole).select("band", "key", "label").join(keys.select("key", "n", "planes"), "key")
+    on = F.expr("p.band = q.band AND p.key < q.key AND p.label <> q.label") & _alike("p.", "q.", threshold)
+    more = few.alias("p").join(few.alias("q"), on).select(F.col("p.key").alias("a"), F.col("q.key").alias("b"))
+    hot = written(x.where(F.col("size") > whole).select("key", "label").distinct().join(keys.select("key", "doc_id", "n", "planes"), "key"), "hot")
+    if not hot.isEmpty():
+        sets = written(shingle_sets(numbered.join(hot.select("doc_id"), "doc_id", "left_semi")), "shingles")
+        more = more.unionByName(prefix_pairs(sets, hot.drop("doc_id"), threshold))
+    return links.unionByName(verified(more, numbered, keys, threshold))
 
 
 def near_copy_components(docs: DataFrame, threshold: float = 0.8, kept: DataFrame | None = None) -> DataFrame:
-    """doc_id and component_id (smallest doc_id reachable over near copies) of each document that has words.
+    """doc_id, n_shingles (size of its set) and component_id (smallest doc_id reachable over near copies) of each
+    document that has words.
 
     kept: with it, docs is a table whose doc_ids are all different, and only those in kept (column row) count.
     """
     numbered = docs if kept is not None else written(docs.select(F.monotonically_increasing_id().alias("doc_id"), F.col("doc_id").cast("long").alias("own"), "text"), "numbered")
+    labelled = _labelled_rows(numbered, threshold, kept)
+    if kept is None:
+        labelled = labelled.join(numbered.select("doc_id", "own"), "doc_id").select(F.col("own").alias("doc_id"), "n_shingles", "label")
+    return _named(written(labelled, "labelled"))
+
+
+def _labelled_rows(numbered: DataFrame, threshold: float, kept: DataFrame | None = None) -> DataFrame:
     rows = minima(numbered)
     rows = written(rows.join(kept, rows["doc_id"] == kept["row"], "left_semi") if kept is not None else rows, "minima")
     keys = written(rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "bands", "planes")]), "keys")
     labels = components(near_copy_links(numbered, keys, threshold)).withColumnRenamed("node", "key")
-    labelled = rows.select("doc_id", "key").join(labels, "key", "left").select("doc_id", F.coalesce("label", "key").alias("label"))
-    if kept is None:
-        labelled = labelled.join(numbered.select("doc_id", "own"), "doc_id").select(F.col("own").alias("doc_id"), "label")
-    labelled = written(labelled, "labelled")
+    return rows.select("doc_id", "key", F.col("n").alias("n_shingles")).join(labels, "key", "left").select("doc_id", "n_shingles", F.coalesce("label", "key").alias("label"))
+
+
+def _named(labelled: DataFrame) -> DataFrame:
     ids = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return labelled.join(ids, "label").select("doc_id", "component_id")
+    return labelled.join(ids, "label").select("doc_id", "n_shingles", "component_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import license_scan
 from .chat_pairs import OP5_SQL, op5_preference_format
 from .decontaminate import op1_decontaminate
+from .minhash_dedup import op11_minhash_dedup
 from .packing import op3_length_buckets
 from .quality_rules import op7_mcd_quality
 from .simhash import op8_simhash_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_token_files": op9_token_files,
     "op10_license_scan": license_scan.op10_license_scan,
+    "op11_minhash_dedup": op11_minhash_dedup,
 }
 
 #: The others are held against brute force in tests/llm.

@@ -11,7 +11,7 @@ from .test_operators import WORDS, frame
 
 
 def grams(text):
-    w = (text or "").lower().split()
+    w = (text or "").encode().lower().split()  # lower-cases A-Z, cuts at ASCII white space
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
