@@ -65,6 +65,18 @@ def delete(df: DataFrame) -> None:
         delete_path(df.sparkSession, folder)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df as a table in the shared folder with one file for each bucket of `key`: tables bucketed alike are joined by it
+    without moving their rows."""
+    spark = df.sparkSession
+    path, files = scratch_path(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = "loglode_" + path.rpartition("-")[2]
+    df.repartition(files, key).write.option("compression", "zstd").bucketBy(files, key).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the files stay, and out knows them
+    return out
+
+
 class Memo(dict):
     """key -> make(key), remembered in two generations of limit/2 keys: what is asked for again outlives what is not."""
 

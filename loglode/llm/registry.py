@@ -13,6 +13,7 @@ from .substring_dedup import op2_substring_dedup
 from .suffix_dedup import op6_suffix_dedup
 from .token_files import op9_token_files
 from .toxicity import op4_toxicity_chain
+from .va_file import op12_va_file_clusters
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_license_scan": license_scan.op10_license_scan,
     "op11_minhash_dedup": op11_minhash_dedup,
+    "op12_va_file_clusters": op12_va_file_clusters,
 }
 
 #: The others are held against brute force in tests/llm.
