@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import license_scan
 from .chat_pairs import OP5_SQL, op5_preference_format
+from .conversation_repair import op13_conversation_repair
 from .decontaminate import op1_decontaminate
 from .minhash_dedup import op11_minhash_dedup
 from .packing import op3_length_buckets
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_license_scan": license_scan.op10_license_scan,
     "op11_minhash_dedup": op11_minhash_dedup,
     "op12_va_file_clusters": op12_va_file_clusters,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 #: The others are held against brute force in tests/llm.
