@@ -3,9 +3,9 @@
 Candidates share a band of minima under universal hash functions (multiply, add, take the least).  With 24 bands of 4
 minima a pair at similarity 0.8 shares none with a chance of 3e-6 (at 0.85: 2e-8), and less above.  In a band's bucket
 every member is first compared with the member that has most company in all its buckets, the seed; what these links
-join is one component already, and only pairs across components are left.  Buckets of up to `whole` members compare
-all of those.  The members of larger buckets are dealt again by their rarest shared shingles (a prefix filter within
-segments of set sizes), which misses no pair at all: texts of the same boilerplate meet only where their own parts do.
+join is one component already, and only pairs across components are left.  Members of buckets that still hold several
+components, small or large, are dealt again by their rarest shared shingles (a prefix filter within segments of set
+sizes), which misses no pair at all: texts of the same boilerplate meet only where their own parts do.
 
 Of candidates, one byte of each minimum is compared first, inside the join that meets them: fewer equal bytes than a
 pair at the threshold has, but for a chance of 1e-9, rule it out.  What remains is verified by shingles, as 64-bit hashes, in Spark.
@@ -130,7 +130,7 @@ def likely(pairs: DataFrame, keys: DataFrame, threshold: float) -> DataFrame:
 
 def verified(pairs: DataFrame, numbered: DataFrame, keys: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of keys that are as similar as threshold; numbered has the texts, by doc_id."""
-    pairs = written(likely(pairs, keys, threshold), "pairs")
+    pairs = written(pairs.distinct(), "pairs")
     needed = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     one = written(keys.join(needed, "key", "left_semi").select("doc_id"), "needed")
     sets = written(shingle_sets(numbered.join(one, "doc_id", "left_semi")), "shingles")
@@ -188,7 +188,7 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
 
 
-def near_copy_links(numbered: DataFrame, keys: DataFrame, threshold: float = 0.8, whole: int = 128) -> DataFrame:
+def near_copy_links(numbered: DataFrame, keys: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Links (a, b) that connect the near copies among keys (key, doc_id, n, bands, planes)."""
     members = keys.select("key", F.explode("bands").alias("band"))
     sizes = written(members.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
@@ -196,18 +196,16 @@ def near_copy_links(numbered: DataFrame, keys: DataFrame, threshold: float = 0.8
     weights = m.groupBy("key").agg(F.sum("size").alias("w"))
     seeds = m.join(weights, "key").groupBy("band").agg(F.max(F.struct("w", "key")).alias("seed"))
     pairs = m.join(seeds, "band").where("key <> seed.key").select(F.least("key", "seed.key").alias("a"), F.greatest("key", "seed.key").alias("b"))
-    links = verified(pairs, numbered, keys, threshold)
+    links = verified(likely(pairs, keys, threshold), numbered, keys, threshold)
     labels = written(components(links).withColumnRenamed("node", "key"), "labels")
     x = _labelled(m, labels)
     mixed = x.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("band")
-    x = written(x.join(mixed, "band", "left_semi"), "mixed")
-    few = x.where(F.col("size") <= whole).select("band", "key", "label").join(keys.select("key", "n", "planes"), "key")
-    on = F.expr("p.band = q.band AND p.key < q.key AND p.label <> q.label") & _alike("p.", "q.", threshold)
-    more = few.alias("p").join(few.alias("q"), on).select(F.col("p.key").alias("a"), F.col("q.key").alias("b"))
-    hot = written(x.where(F.col("size") > whole).select("key", "label").distinct().join(keys.select("key", "doc_id", "n", "planes"), "key"), "hot")
-    if not hot.isEmpty():
-        sets = written(shingle_sets(numbered.join(hot.select("doc_id"), "doc_id", "left_semi")), "shingles")
-        more = more.unionByName(prefix_pairs(sets, hot.drop("doc_id"), threshold))
+    x = x.join(mixed, "band", "left_semi")
+    hot = written(x.select("key", "label").distinct().join(keys.select("key", "doc_id", "n", "planes"), "key"), "hot")
+    if hot.isEmpty():
+        return links
+    sets = written(shingle_sets(numbered.join(hot.select("doc_id"), "doc_id", "left_semi")), "shingles")
+    more = prefix_pairs(sets, hot.drop("doc_id"), threshold)
     return links.unionByName(verified(more, numbered, keys, threshold))
 
 
