@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -29,17 +31,26 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder or _own_scratch(spark.sparkContext.applicationId)
 
 
-_paths: list[str] = []
+_thread = threading.local()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    _paths.append(f"{scratch_dir(spark).rstrip('/')}/loglode-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}")
-    return _paths[-1]
-
-
-def scratch_paths() -> list[str]:
-    """All that scratch_path() has named so far."""
-    return list(_paths)
+    path = f"{scratch_dir(spark).rstrip('/')}/loglode-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    for named in getattr(_thread, "recording", []):
+        named.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def recorded_scratch() -> Iterator[list[str]]:
+    """A list of what scratch_path() names in this thread meanwhile."""
+    if not hasattr(_thread, "recording"):
+        _thread.recording = []
+    _thread.recording.append(named := [])
+    try:
+        yield named
+    finally:
+        _thread.recording.pop()
 
 
 def delete_path(spark: SparkSession, path: str) -> None:

@@ -400,7 +400,7 @@ def canonical(rows, names):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracles(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations", "benchmark", "labels"):
+    for t in ("documents", "conversations", "benchmark", "labels", "embeddings"):
         con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     df = QUERIES[name](spark, sf_dir)
     cur = con.execute(ORACLES[name])
@@ -409,7 +409,7 @@ def test_oracles(spark, sf_dir, name):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty_tables(spark, sf_dir, tmp_path, name):
-    for t in ("documents", "conversations", "benchmark", "labels"):
+    for t in ("documents", "conversations", "benchmark", "labels", "embeddings"):
         spark.read.parquet(f"{sf_dir}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert QUERIES[name](spark, str(tmp_path)).count() == 0
 
