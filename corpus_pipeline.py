@@ -9,11 +9,13 @@ token.
 from __future__ import annotations
 
 import functools
+import threading
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglode.llm.common import delete_path, scratch_path, scratch_paths, written
+from loglode.llm.common import bucketed, delete_path, recorded_scratch, scratch_path, written
 from loglode.llm.decontaminate import contaminated
 from loglode.llm.near_copies import near_copy_components
 from loglode.llm.packing import pack, token_counts
@@ -23,47 +25,60 @@ from loglode.llm.tokens import tokenizer_path
 from loglode.llm.toxicity import toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-_left: list[str] = []  # scratch tables of stages that have returned
 
 
-def stage(f):
-    """A stage first removes the scratch tables of earlier ones, but for those its input still reads."""
+class _Chain(threading.local):
+    """The stages called last in this thread, one after another: what they left in the shared folder, and when the last returned."""
 
-    @functools.wraps(f)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        read = docs.inputFiles()
-        for path in [x for x in _left if not any(x.rpartition("/")[2] in f for f in read)]:
-            delete_path(spark, path)
-            _left.remove(path)
-        before = set(scratch_paths())
-        out = f(spark, docs, sf_dir)
-        _left.extend(x for x in scratch_paths() if x not in before)
-        return out
+    at, left, returned_ms = -1, (), 0
 
-    return run_stage
+
+_chain = _Chain()
+
+
+def _follows(spark: SparkSession, docs: DataFrame, at: int) -> bool:
+    """Is docs what the stage before `at` returned in this thread, written by the caller since?  Its files are younger."""
+    files = docs.inputFiles() if at and _chain.at == at - 1 else []
+    if not files:
+        return False
+    path = spark._jvm.org.apache.hadoop.fs.Path(files[0])
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime() >= _chain.returned_ms
+
+
+def stage(at: int):
+    """The stage at that place of STAGES.  When the written result of the stage before comes in, that stage's scratch
+    tables go; tables of other runs, threads and results are never touched."""
+
+    def wrap(f):
+        @functools.wraps(f)
+        def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            if _follows(spark, docs, at):
+                for path in _chain.left:
+                    delete_path(spark, path)
+            with recorded_scratch() as left:
+                out = f(spark, docs, sf_dir)
+            _chain.at, _chain.left, _chain.returned_ms = at, tuple(left), int(time.time() * 1000)
+            return out
+
+        return run_stage
+
+    return wrap
 
 
 def numbered_rows(docs: DataFrame) -> DataFrame:
     """COLUMNS and `row`, a number for each row, bucketed by it in the shared folder: joins by row leave the texts where
     they lie."""
-    spark = docs.sparkSession
-    path, files = scratch_path(spark, "numbered"), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = "loglode_" + path.rpartition("-")[2]
-    rows = docs.select(COLUMNS).withColumn("row", F.monotonically_increasing_id()).repartition(files, "row")
-    rows.write.option("compression", "zstd").bucketBy(files, "row").option("path", path).saveAsTable(table)
-    out = spark.table(table)
-    spark.sql(f"DROP TABLE {table}")  # the files stay, and out knows them
-    return out
+    return bucketed(docs.select(COLUMNS).withColumn("row", F.monotonically_increasing_id()), "row", "numbered")
 
 
-@stage
+@stage(0)
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain calls toxic go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity(docs, labels, carry=["lang", "source", "n_chars"]).where("NOT toxic").select(COLUMNS)
 
 
-@stage
+@stage(1)
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each SimHash component one document stays, then of each component of near copies: the one with the smallest
     doc_id (rows without one come last), or any one of those that share it.
@@ -86,7 +101,7 @@ def _first_of_each(components: DataFrame, numbered: DataFrame) -> DataFrame:
     return written(first.select("first.row"), "first")
 
 
-@stage
+@stage(2)
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes under strings of 250 bytes that start elsewhere too are cut out; a character that is cut in two goes whole.
 
@@ -100,14 +115,14 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", F.coalesce("kept_text", "text").alias("text"), "lang", "source", length.alias("n_chars"))
 
 
-@stage
+@stage(3)
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go, and rows that share their doc_id (or have none, as they) with them."""
     found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("found")).distinct()
     return docs.select(COLUMNS).join(found, F.col("doc_id").eqNullSafe(F.col("found")), "left_anti").select(COLUMNS)
 
 
-@stage
+@stage(4)
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token-budget batches inside optimal length buckets."""
     return pack(written(token_counts(docs, tokenizer_path()), "counts"))
@@ -126,10 +141,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's result; what earlier stages kept is removed as soon as the next one's is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs.write.parquet(path := f"{scratch_path(spark, 'stage')}-kept")
             docs = spark.read.schema(docs.schema).parquet(path)
+            if before:
+                delete_path(spark, before)
+            before = path
     return docs
