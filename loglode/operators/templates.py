@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import line as L
+from ..graph import connected
 from ..schema import PreprocessRule
+from ..scratch import written
 
 LEVELS = {4: "FATAL", 3: "ERROR", 2: "WARN", 1: "INFO"}
 
@@ -41,60 +43,127 @@ def _leaf_token(token):
     return F.when(token.rlike("[0-9]"), "<*>").otherwise(token)
 
 
-def merge_templates(masked: DataFrame, similarity: float = 0.55, depth: int = 4, wildcard_fallback: bool = False, by: Sequence[str] = ()) -> DataFrame:
-    """Greedy clustering of distinct patterns that share token count and first depth-1 tokens.
-
-    Patterns come in order of their first place; one joins the most similar cluster of its leaf if at least
-    `similarity` of the positions agree, and differing positions become <*>.  A leaf is one group at every size: its
-    clusters depend on each other.  wildcard_fallback sends a pattern whose last leaf token is alone in its leaf to
-    the leaf that has <*> there, when there is one.
-    """
+def _with_leaf(masked: DataFrame, depth: int, wildcard_fallback: bool, by: Sequence[str]) -> DataFrame:
+    """masked with tokens and leaf: token count and the first depth-1 tokens, those with a digit as <*>."""
     t = masked.withColumn("tokens", L.tokenize(F.col("pattern"))).where(F.size("tokens") > 0)
     head = F.transform(F.slice("tokens", 1, depth - 1), _leaf_token)
     t = t.withColumn("leaf", F.concat_ws("\x01", F.size("tokens").cast("string"), F.array_join(head, "\x01")))
-    big = t.groupBy(*by, "leaf").agg(F.count(F.lit(1)).alias("leaf_n"))
-    t = t.join(big, [*by, "leaf"])
     if wildcard_fallback:
-        wild = F.regexp_replace("leaf", "\x01[^\x01]*$", "\x01<*>")
-        others = big.select(*by, F.col("leaf").alias("wild_leaf"), F.lit(True).alias("has"))
-        t = t.withColumn("wild_leaf", wild).join(others, [*by, "wild_leaf"], "left")
-        t = t.withColumn("leaf", F.when((F.col("leaf_n") == 1) & F.col("has"), F.col("wild_leaf")).otherwise(F.col("leaf"))).drop("wild_leaf", "has")
-    t = t.drop("leaf_n")
-    schema = ", ".join([*(f"{c} {dict(masked.dtypes)[c]}" for c in by), "pattern string, count long, level string, sample string, sample_file string, sample_line long, first_seen string, last_seen string, files array<string>"])
-
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        clusters: list[dict] = []
-        at_count = rows.columns.get_loc("count")
-        codes: dict[str, int] = {"<*>": 0}
-        known = np.zeros((16, len(rows["tokens"].iloc[0])), np.int32)  # a row of token codes for each cluster
-        for r in rows.sort_values(["sample_file", "sample_line"]).itertuples(index=False):
-            tokens, best = list(r.tokens), None
-            mine = np.array([codes.setdefault(x, len(codes)) for x in tokens], np.int32)
-            if clusters:
-                same = (known[: len(clusters)] == mine).sum(axis=1) / len(tokens)
-                at = int(np.argmax(same))
-                if same[at] >= similarity:
-                    best = clusters[at]
-                    known[at][known[at] != mine] = 0
-            if best is None:
-                if len(clusters) == len(known):
-                    known = np.concatenate([known, np.zeros_like(known)])
-                known[len(clusters)] = mine
-            last = (r.last_file, r.last_line)
-            if best is None:
-                clusters.append({"tokens": tokens, "count": int(r[at_count]), "priority": r.priority, "level": r.level, "sample": r.sample, "sample_file": r.sample_file, "sample_line": r.sample_line, "first_seen": r.first_seen, "last_seen": r.last_seen, "last": last, "files": set(r.files), **{b: getattr(r, b) for b in by}})
-                continue
-            best["tokens"] = [a if a == b else "<*>" for a, b in zip(best["tokens"], tokens)]
-            best["count"] += int(r[at_count])
-            best["files"] |= set(r.files)
-            if r.priority > best["priority"]:
-                best["priority"], best["level"] = r.priority, r.level
-            if last > best["last"]:
-                best["last"], best["last_seen"] = last, r.last_seen
-        out = [{**c, "pattern": " ".join(c["tokens"]), "files": sorted(c["files"])} for c in clusters]
-        return pd.DataFrame(out, columns=[*by, "pattern", "count", "level", "sample", "sample_file", "sample_line", "first_seen", "last_seen", "files"])
-
-    return t.groupBy(*by, "leaf").applyInPandas(merge, schema)
+        sizes = t.groupBy(*by, "leaf").agg(F.count(F.lit(1)).alias("leaf_n"))
+        others = sizes.select(*by, F.col("leaf").alias("wild_leaf"), F.lit(True).alias("has"))
+        t = t.join(sizes, [*by, "leaf"]).withColumn("wild_leaf", F.regexp_replace("leaf", "\x01[^\x01]*$", "\x01<*>")).join(others, [*by, "wild_leaf"], "left")
+        t = t.withColumn("leaf", F.when((F.col("leaf_n") == 1) & F.col("has"), F.col("wild_leaf")).otherwise(F.col("leaf"))).drop("wild_leaf", "has", "leaf_n")
+    return t
+
+
+def leaf_parts(rows: DataFrame, similarity: float = 0.55, pair_limit: int = 64) -> DataFrame:
+    """(id, part) of patterns (id, leaf, tokens): patterns of different parts never meet in a cluster.
+
+    A pattern joins a cluster only if it shares `need` positions with the cluster's template: at most its own <*>
+    positions, and for the rest tokens that every member of the cluster has there.  So two patterns of one cluster
+    share need - (the joiner's <*> positions) tokens or more, and one of them is among any m - that + 1 of the
+    joiner's m tokens, the rarest of the leaf here (prefix filter over (position, token) pairs).  Patterns that share a
+    pair of up to `pair_limit` patterns are counted out one by one; those that share a more frequent one are linked
+    through it without a count.  A pattern that its <*> positions alone let join anything makes its leaf one part.
+    """
+    rows = rows.select("id", F.xxhash64("leaf").alias("leaf"), "tokens", (F.ceil(F.size("tokens") * similarity - 1e-9) - F.size(F.filter("tokens", lambda x: x == "<*>"))).cast("int").alias("need"))
+    node = lambda *c: (-F.abs(F.shiftright(F.xxhash64(*c), 1)) - 1).alias("node")
+    items = rows.select("id", "leaf", F.posexplode("tokens").alias("pos", "token")).where("token <> '<*>'").select("id", node("leaf", "pos", "token"))
+    often = items.groupBy("node").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = items.join(often, "node").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "node"))).alias("shared"))
+    # Pairs that only this pattern has come first and meet nobody: m and the prefix both shrink by them.
+    first = shared.join(rows.where("need > 0"), "id").withColumn("first", F.size("shared") - F.col("need") + 1).where("first > 0")
+    first = written(first.select("id", "tokens", "need", F.explode(F.slice("shared", F.lit(1), F.col("first"))).alias("s")).select("id", "tokens", "need", "s.df", "s.node"), "prefixes")
+    few = items.join(often.where(F.col("df") <= pair_limit), "node").select("node", F.col("id").alias("b")).join(rows.select(F.col("id").alias("b"), F.col("tokens").alias("other")), "b")
+    same = F.size(F.filter(F.zip_with("tokens", "other", lambda x, y: (x == y) & (x != "<*>")), lambda x: x))
+    pairs = first.where(F.col("df") <= pair_limit).join(few, "node").where(F.expr("id <> b") & (same >= F.col("need"))).select(F.col("id").alias("a"), "b")
+    hot = first.where(F.col("df") > pair_limit).select("node").distinct()
+    stars = items.join(hot, "node").select(F.col("id").alias("a"), F.col("node").alias("b"))
+    whole = rows.groupBy("leaf").agg(F.min("need").alias("least")).where("least <= 0").select("leaf")
+    open_ = rows.join(whole, "leaf").select(F.col("id").alias("a"), node("leaf").alias("b"))
+    labels = connected(pairs.unionByName(stars).unionByName(open_)).select(F.col("node").alias("id"), F.col("label").alias("part"))
+    return rows.select("id").join(labels, "id", "left").select("id", F.coalesce("part", "id").alias("part"))
+
+
+def greedy_clusters(tokens: Sequence[Sequence[str]], similarity: float) -> tuple[list[int], list[list[str]]]:
+    """The cluster of each pattern (equally long lists, in order), and the clusters' templates.
+
+    A pattern joins the cluster whose template agrees with it at most positions (the first of equals), if that is
+    `similarity` of them or more; positions that differ become <*>.  Clusters that can agree so far are found by the
+    rarest tokens of their first patterns.
+    """
+    size = len(tokens[0])
+    need = next(k for k in range(size + 2) if k / size >= similarity or k > size)
+    codes: dict[str, int] = {"<*>": 0}
+    known = np.zeros((16, size), np.int32)  # a row of token codes for each cluster
+    places: dict[tuple[int, int], list[int]] = {}
+    out, n = [], 0
+    for pattern in tokens:
+        mine = np.array([codes.setdefault(x, len(codes)) for x in pattern], np.int32)
+        own = [(i, c) for i, c in enumerate(mine.tolist()) if c]
+        least = need - (size - len(own))
+        some = None
+        if n > 64 and least > 0:
+            lists = sorted((places.get(k, ()) for k in own), key=len)[: max(0, len(own) - least + 1)]
+            some = np.array(sorted(set().union(*lists)), np.int64)
+        same = (known[:n] == mine).sum(axis=1) if some is None else (known[some] == mine).sum(axis=1)
+        at = int(np.argmax(same)) if len(same) else -1
+        if at >= 0 and same[at] >= need:
+            at = at if some is None else int(some[at])
+            known[at][known[at] != mine] = 0
+        else:
+            at, n = n, n + 1
+            if at == len(known):
+                known = np.concatenate([known, np.zeros_like(known)])
+            known[at] = mine
+            for k in own:
+                places.setdefault(k, []).append(at)
+        out.append(at)
+    names = list(codes)
+    return out, [[names[c] for c in row] for row in known[:n].tolist()]
+
+
+def merge_templates(masked: DataFrame, similarity: float = 0.55, depth: int = 4, wildcard_fallback: bool = False, by: Sequence[str] = (), leaf_limit: int = 10_000, rows_per_shard: int = 10_000) -> DataFrame:
+    """Greedy clustering of distinct patterns that share token count and first depth-1 tokens.
+
+    Patterns come in order of their first place; one joins the most similar cluster of its leaf if at least
+    `similarity` of the positions agree, and differing positions become <*>.  Leaves of more than `leaf_limit` patterns
+    are split into parts that cannot influence each other (leaf_parts), so the clusters are those of one walk over the
+    leaf, whatever the limit.  Only tokens and places go through Python; counts, levels and files are joined back and
+    aggregated by Spark.  wildcard_fallback sends a pattern whose last leaf token is alone in its leaf to the leaf that
+    has <*> there, when there is one.
+    """
+    t = written(_with_leaf(masked, depth, wildcard_fallback, by).withColumn("id", F.monotonically_increasing_id()), "patterns")
+    group = F.concat_ws("\x02", *[F.coalesce(F.col(c).cast("string"), F.lit("\x03")) for c in by], "leaf")
+    rows = t.select("id", group.alias("leaf"), "tokens", "pattern", "sample_file", "sample_line")
+    big = rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > leaf_limit).select("leaf")
+    if big.isEmpty():
+        rows = rows.withColumn("part", F.lit(0).cast("long"))
+    else:
+        parts = leaf_parts(rows.join(big, "leaf", "left_semi"), similarity)
+        rows = rows.join(parts, "id", "left").withColumn("part", F.coalesce("part", F.lit(0).cast("long")))
+
+    def walk(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(["leaf", "part", "sample_file", "sample_line", "pattern"])
+        leaf, part, ids, tokens = p["leaf"].to_numpy(), p["part"].to_numpy(), p["id"].to_numpy(), p["tokens"].tolist()
+        edges = [0, *(np.flatnonzero((leaf[1:] != leaf[:-1]) | (part[1:] != part[:-1])) + 1).tolist(), len(p)]
+        first, template = [], []
+        for a, b in zip(edges, edges[1:]):
+            cluster, found = greedy_clusters(tokens[a:b], similarity)
+            first.append(ids[a:b][np.unique(cluster, return_index=True)[1]][cluster])
+            template += [" ".join(found[c]) for c in cluster]
+        return pd.DataFrame({"id": ids, "first_id": np.concatenate(first), "template": template})
+
+    shards = -(-t.count() // rows_per_shard)  # small parts share a task
+    shard = F.pmod(F.xxhash64("leaf", "part"), F.lit(max(1, shards)))
+    walked = rows.groupBy(shard.alias("shard")).applyInPandas(walk, "id long, first_id long, template string")
+    place, last = F.struct("sample_file", "sample_line", "pattern"), F.struct("last_file", "last_line")
+    out = t.join(walked, "id").groupBy(*by, "first_id").agg(
+        F.min("template").alias("template"), F.sum("count").alias("count"), F.min_by("level", F.struct(-F.col("priority"), place)).alias("level"),
+        F.min_by("sample", place).alias("sample"), F.min(place).alias("first"), F.min_by("first_seen", place).alias("first_seen"), F.max_by("last_seen", last).alias("last_seen"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("files")))).alias("files"),
+    )
+    return out.select(*by, F.col("template").alias("pattern"), "count", "level", "sample", F.col("first.sample_file").alias("sample_file"), F.col("first.sample_line").alias("sample_line"), "first_seen", "last_seen", "files")
 
 
 def templates(lines: DataFrame, rules: Sequence[PreprocessRule] = (), head: int | None = None, similarity: float = 0.55, depth: int = 4, limit: int | None = None) -> DataFrame:

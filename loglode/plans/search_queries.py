@@ -135,6 +135,38 @@ def masked(spark, d):
     return p.select("pattern", "count", "priority", "level", "sample", "first_seen", "last_seen", F.size("files").cast("long").alias("n_files"))
 
 
+def templates_sql(where: str = "true", fallback: bool = False) -> str:
+    """service_lines' templates by a walk over each leaf, one pattern a step; `leaf` as the operator defines it."""
+    leaf = "len(tokens)::VARCHAR || chr(1) || array_to_string(list_transform(tokens[1:3], lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END), chr(1))"
+    wild = "regexp_replace(leaf, '\x01[^\x01]*$', chr(1) || '<*>')"
+    moved = f"CASE WHEN count(*) OVER (PARTITION BY leaf) = 1 AND {wild} IN (SELECT leaf FROM cut0) THEN {wild} ELSE leaf END" if fallback else "leaf"
+    agree = "list_sum(list_transform(list_zip(c, p.tokens), lambda z: CASE WHEN z[1] = z[2] THEN 1 ELSE 0 END))"
+    return MASKED_AGG.replace("event_lines", f"(SELECT * FROM service_lines WHERE {where})") + f""",
+cut0 AS (SELECT *, {leaf} AS leaf FROM (SELECT *, string_split(pattern, ' ') AS tokens FROM patterns)),
+firsts AS (SELECT pattern, min((file_path, line_no)) AS place, max((file_path, line_no)) AS upto, list(DISTINCT file_path) AS files FROM masked GROUP BY 1),
+cut AS (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY place) AS rn FROM (SELECT cut0.* EXCLUDE (leaf), {moved} AS leaf, place, upto, files FROM cut0 JOIN firsts USING (pattern))),
+walk AS (
+  SELECT DISTINCT leaf, 0::BIGINT AS rn, CAST([] AS VARCHAR[][]) AS clusters, 0::BIGINT AS chosen FROM cut
+  UNION ALL
+  SELECT leaf, rn, CASE WHEN best >= 0.55 THEN list_transform(clusters, lambda c, i: CASE WHEN i = nearest THEN list_transform(list_zip(c, tokens), lambda z: CASE WHEN z[1] = z[2] THEN z[1] ELSE '<*>' END) ELSE c END)
+      ELSE list_append(clusters, tokens) END, CASE WHEN best >= 0.55 THEN nearest ELSE len(clusters) + 1 END
+  FROM (SELECT *, coalesce(list_max(scores), 0) / len(tokens) AS best, list_position(scores, list_max(scores)) AS nearest
+    FROM (SELECT p.leaf, p.rn, p.tokens, w.clusters, list_transform(w.clusters, lambda c: {agree}) AS scores FROM walk w JOIN cut p ON p.leaf = w.leaf AND p.rn = w.rn + 1))),
+final AS (SELECT leaf, arg_max(clusters, rn) AS clusters FROM walk GROUP BY 1),
+templates AS (
+  SELECT array_to_string(any_value(f.clusters)[w.chosen], ' ') AS pattern, CAST(sum(p.count) AS BIGINT) AS count, arg_min(p.level, (-p.priority, p.place)) AS level, arg_min(p.sample, p.place) AS sample,
+    arg_min(p.first_seen, p.place) AS first_seen, arg_max(p.last_seen, p.upto) AS last_seen, array_to_string(list_sort(list_distinct(flatten(list(p.files)))), ',') AS files
+  FROM walk w JOIN cut p USING (leaf, rn) JOIN final f USING (leaf) GROUP BY w.leaf, w.chosen)"""
+
+
+def shown_templates(t):
+    return t.select("pattern", "count", "level", "sample", "first_seen", "last_seen", F.array_join("files", ",").alias("files"))
+
+
+def with_walk(body: str, *args, **kw) -> str:
+    return with_views(body, "service_lines", more=templates_sql(*args, **kw)).replace("WITH spelt", "WITH RECURSIVE spelt", 1)
+
+
 def sides(spark, d):
     lines = Views(spark, d).event_lines()
     return lines.where("archive_id = '0'"), lines.where("archive_id = '1'")
@@ -205,6 +237,8 @@ QUERIES = {
     "t02_masked_patterns": (masked, with_views("SELECT pattern, count, priority, level, sample, first_seen, last_seen, n_files FROM patterns", "event_lines", more=MASKED_AGG)),
     "t03_t05_templates": (lambda s, d: T.templates(Views(s, d).event_lines()), None),
     "t04_wildcard_templates": (lambda s, d: T.merge_templates(T.masked_patterns(Views(s, d).chat_lines()), wildcard_fallback=True), None),
+    "t03_t05_merged_templates": (lambda s, d: shown_templates(T.templates(Views(s, d).service_lines())), with_walk("SELECT * FROM templates")),
+    "t04_merged_wildcards": (lambda s, d: shown_templates(T.merge_templates(T.masked_patterns(Views(s, d).service_lines()), wildcard_fallback=True)), with_walk("SELECT * FROM templates", fallback=True)),
     "t06_top_patterns": (lambda s, d: T.masked_patterns(Views(s, d).event_lines()).orderBy(F.desc("count"), "pattern").limit(20).select("pattern", "count"), with_views("SELECT pattern, count FROM patterns ORDER BY count DESC, encode(pattern) LIMIT 20", "event_lines", more=MASKED_AGG)),
     "t07_frequency_by_level": (lambda s, d: T.pattern_frequency(Views(s, d).event_lines()), with_views("SELECT pattern, level, count(*) AS n FROM masked GROUP BY 1, 2", "event_lines", more=MASKED_AGG)),
     "t07_frequency_by_hour": (lambda s, d: T.pattern_frequency(Views(s, d).event_lines(), by="hour"), with_views("SELECT pattern, strftime(date_trunc('hour', try_cast(seen AS TIMESTAMP)), '%Y-%m-%d %H:%M:%S') AS hour, count(*) AS n FROM masked GROUP BY 1, 2", "event_lines", more=MASKED_AGG)),

@@ -51,6 +51,22 @@ class Views:
         text = F.when(F.col("event_id") % 4 == 0, said).otherwise("request served")
         return e.select(F.lit("faults").alias("archive_id"), F.concat(F.lit("var/log/"), (F.col("user_id") % 10).cast("string"), F.lit(".log")).alias("file_path"), F.col("event_id").alias("line_no"), F.concat_ws(" ", text, F.col("user_id").cast("string")).alias("content"))
 
+    def service_lines(self) -> DataFrame:
+        """Five kinds of messages with words that vary (numbers spelt in letters), two of them with a number now and then."""
+        e = self.table("events")
+        spelt = lambda c: F.translate(F.expr(c).cast("string"), "0123456789", "abcdefghij")
+        u, v, w = spelt("user_id"), spelt("CAST(floor(value) AS BIGINT)"), spelt("event_id div 8")
+        third = F.when(F.col("event_id") % 3 == 0, F.col("user_id").cast("string")).otherwise(spelt("user_id % 7"))
+        said = {
+            "click": F.concat_ws(" ", F.lit("gateway routed request from"), u, F.lit("to"), v, F.lit("after wait")), "view": F.concat_ws(" ", F.lit("cache shard"), third, F.lit("missed"), v),
+            "error": F.concat_ws(" ", F.lit("ERROR disk failed on"), u, F.lit("at"), v, F.lit("now")), "signup": F.concat_ws(" ", F.lit("WARN user"), third, F.lit("joined"), v, F.lit("by mail")),
+        }
+        text = F.concat_ws(" ", F.lit("job run done"), spelt("user_id % 13"), v, w, spelt("user_id % 29"), F.lit("end"))
+        for kind, words in said.items():
+            text = F.when(F.col("event_type") == kind, words).otherwise(text)
+        content = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit(" "), text)
+        return e.select((F.col("event_id") % 2).cast("string").alias("archive_id"), F.format_string("srv/%d.log", F.col("event_id") % 8).alias("file_path"), F.expr("event_id div 8 + 1").alias("line_no"), content.alias("content"))
+
     def doc_lines(self) -> DataFrame:
         d = self.table("documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("pos", "content"))
         return d.select(F.lit("docs").alias("archive_id"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("file_path"), (F.col("pos") + 1).cast("long").alias("line_no"), "content")
@@ -127,6 +143,15 @@ SQL = {
     strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || ' [' || CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARN'
       WHEN 'purchase' THEN 'FATAL' ELSE 'INFO' END || '] trace_id=t-' || user_id::VARCHAR || ' ' || event_type || ' value=' || printf('%.2f', value) AS content
   FROM events)""",
+    "service_lines": """spelt AS (
+  SELECT *, translate(user_id::VARCHAR, '0123456789', 'abcdefghij') AS u, translate(CAST(floor(value) AS BIGINT)::VARCHAR, '0123456789', 'abcdefghij') AS v, translate((event_id // 8)::VARCHAR, '0123456789', 'abcdefghij') AS w,
+    translate((user_id % 13)::VARCHAR, '0123456789', 'abcdefghij') AS x, translate((user_id % 29)::VARCHAR, '0123456789', 'abcdefghij') AS y,
+    CASE WHEN event_id % 3 = 0 THEN user_id::VARCHAR ELSE translate((user_id % 7)::VARCHAR, '0123456789', 'abcdefghij') END AS third FROM events),
+service_lines AS (
+  SELECT CAST(event_id % 2 AS VARCHAR) AS archive_id, 'srv/' || (event_id % 8)::VARCHAR || '.log' AS file_path, event_id // 8 + 1 AS line_no,
+    strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || ' ' || CASE event_type WHEN 'click' THEN 'gateway routed request from ' || u || ' to ' || v || ' after wait' WHEN 'view' THEN 'cache shard ' || third || ' missed ' || v
+      WHEN 'error' THEN 'ERROR disk failed on ' || u || ' at ' || v || ' now' WHEN 'signup' THEN 'WARN user ' || third || ' joined ' || v || ' by mail'
+      ELSE 'job run done ' || x || ' ' || v || ' ' || w || ' ' || y || ' end' END AS content FROM spelt)""",
     "fault_lines": f"""fault_lines AS (
   SELECT 'faults' AS archive_id, 'var/log/' || (user_id % 10)::VARCHAR || '.log' AS file_path, event_id AS line_no,
     CASE WHEN event_id % 4 = 0 THEN {FAULTS}[event_id // 4 % {len(FAULTS)} + 1] ELSE 'request served' END || ' ' || user_id::VARCHAR AS content FROM events)""",
