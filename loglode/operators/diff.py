@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import line as L
 from ..schema import PreprocessRule
-from .templates import masked_patterns
+from .templates import masked_patterns, merge_templates
 
 
 def scoped_files(files: DataFrame, sub: str = "") -> DataFrame:
@@ -58,12 +58,16 @@ def summary(files: DataFrame, severities: DataFrame, fatal: DataFrame, fresh: Da
     return one.select("added", "removed", "events_a", "events_b", "new_fatal", "new_templates", F.lit(kind).alias("scope_type"), text.alias("summary_text"))
 
 
-def diff(lines_a: DataFrame, events_a: DataFrame, lines_b: DataFrame, events_b: DataFrame, sub_a: str = "", sub_b: str = "", rules: Sequence[PreprocessRule] = (), kind: str = "inter_archive", head: int | None = None) -> dict[str, DataFrame]:
-    """All parts of a comparison, each lazy; head looks for new templates in that many lines of each file only."""
+def diff(lines_a: DataFrame, events_a: DataFrame, lines_b: DataFrame, events_b: DataFrame, sub_a: str = "", sub_b: str = "", rules: Sequence[PreprocessRule] = (), kind: str = "inter_archive", head: int | None = None, merged: bool = False) -> dict[str, DataFrame]:
+    """All parts of a comparison; head looks for new templates in that many lines of each file only.
+
+    merged: templates are merged ones on both sides, else masked patterns; merging runs when this is called, all else is lazy.
+    """
     scope = lambda df, sub: df.where(L.in_scope(F.col("file_path"), sub))
     lines = [(scope(x, s) if head is None else scope(x, s).where(F.col("line_no") <= head)) for x, s in ((lines_a, sub_a), (lines_b, sub_b))]
     files = changed_files(scoped_files(lines_a, sub_a), scoped_files(lines_b, sub_b))
     ea, eb = scope(events_a, sub_a), scope(events_b, sub_b)
     severities, fatal = severity_by_side(ea, eb), new_fatal_events(ea, eb, sub_a, sub_b)
-    fresh = new_templates(masked_patterns(lines[0], rules), masked_patterns(lines[1], rules))
+    mined = [merge_templates(masked_patterns(x, rules)) if merged else masked_patterns(x, rules) for x in lines]
+    fresh = new_templates(*mined)
     return {"files": files, "severities": severities, "new_fatal": fatal, "new_templates": fresh, "summary": summary(files, severities, fatal, fresh, kind)}

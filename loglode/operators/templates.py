@@ -166,6 +166,30 @@ def merge_templates(masked: DataFrame, similarity: float = 0.55, depth: int = 4,
     return out.select(*by, F.col("template").alias("pattern"), "count", "level", "sample", F.col("first.sample_file").alias("sample_file"), F.col("first.sample_line").alias("sample_line"), "first_seen", "last_seen", "files")
 
 
+def match_templates(masked: DataFrame, known: DataFrame, similarity: float = 0.55, depth: int = 4) -> DataFrame:
+    """masked (pattern, count, ...) with `template`: the pattern of known, stored templates that agrees with it at most
+    positions, if at `similarity` of them or more (the smallest of equals by text), else null.
+
+    A pattern meets the templates of its leaf (token count and first tokens) that share one of its rarest tokens at the
+    same position, as many as it can lack and still agree; where its own <*> positions might do alone, all of its leaf.
+    """
+    rows = _with_leaf(masked, depth, False, ()).select("pattern", "tokens", F.xxhash64("leaf").alias("leaf")).withColumn("id", F.xxhash64("pattern"))
+    stored = _with_leaf(known.select("pattern").distinct(), depth, False, ()).select(F.col("pattern").alias("template"), F.col("tokens").alias("stored"), F.xxhash64("leaf").alias("leaf"))
+    fixed = lambda t, c: t.select("*", F.posexplode(c).alias("pos", "token")).where("token <> '<*>'").withColumn("item", F.xxhash64("leaf", "pos", "token"))
+    need = (F.ceil(F.size("tokens") * similarity - 1e-9) - F.size(F.filter("tokens", lambda x: x == "<*>"))).cast("int")
+    rows = rows.withColumn("need", need)
+    items = fixed(stored, "stored").select("item", "template", "stored")
+    often = items.groupBy("item").agg(F.count(F.lit(1)).alias("df"))
+    # Tokens that no template has come first and meet nothing: what is left of the prefix are the known tokens' rarest.
+    mine = fixed(rows.where("need > 0"), "tokens").join(often, "item").groupBy("id", "pattern").agg(F.first("tokens").alias("tokens"), F.first("need").alias("need"), F.array_sort(F.collect_list(F.struct("df", "item"))).alias("known"))
+    mine = mine.withColumn("first", F.size("known") - F.col("need") + 1).where("first > 0").select("pattern", "tokens", F.explode(F.slice("known", F.lit(1), F.col("first"))).alias("k"))
+    met = mine.select("pattern", "tokens", F.col("k.item").alias("item")).join(items, "item").select("pattern", "tokens", "template", "stored")
+    met = met.unionByName(rows.where("need <= 0").join(stored, "leaf").select("pattern", "tokens", "template", "stored"))
+    same = F.size(F.filter(F.zip_with("tokens", "stored", lambda x, y: x == y), lambda x: x))
+    best = met.withColumn("same", same).where(F.col("same") / F.size("tokens") >= similarity).groupBy("pattern").agg(F.min_by("template", F.struct(-F.col("same"), "template")).alias("template"))
+    return masked.join(best, "pattern", "left")
+
+
 def templates(lines: DataFrame, rules: Sequence[PreprocessRule] = (), head: int | None = None, similarity: float = 0.55, depth: int = 4, limit: int | None = None) -> DataFrame:
     """Templates of lines, most frequent first; `limit` keeps the top ones."""
     merged = merge_templates(masked_patterns(head_per_file(lines, head), rules), similarity, depth)

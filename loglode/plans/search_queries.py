@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions.default_rules import DEFAULT_RULES
@@ -167,6 +169,38 @@ def with_walk(body: str, *args, **kw) -> str:
     return with_views(body, "service_lines", more=templates_sql(*args, **kw)).replace("WITH spelt", "WITH RECURSIVE spelt", 1)
 
 
+def merged_sides(spark, d):
+    lines = Views(spark, d).service_lines()
+    return lines.where("archive_id = '0'"), lines.where("archive_id = '1'")
+
+
+def new_merged(spark, d):
+    a, b = merged_sides(spark, d)
+    none = D.scan_rules(a.where("false"), RULES_SMALL)
+    return X.diff(a, none, b, none, merged=True)["new_templates"].select("pattern", "count", "level")
+
+
+def matched(spark, d):
+    """Side b's patterns by the templates of side a that they belong to."""
+    a, b = merged_sides(spark, d)
+    out = T.match_templates(T.masked_patterns(b), T.merge_templates(T.masked_patterns(a)))
+    return out.groupBy(F.coalesce("template", F.lit("(new)")).alias("template")).agg(F.count(F.lit(1)).alias("patterns"), F.sum("count").alias("lines"))
+
+
+def two_walks(body: str) -> str:
+    """Templates of side a as templates_a, of side b as templates_b (patterns as patterns_b)."""
+    names = "masked patterns cut0 firsts cut walk final templates".split()
+    side = lambda k, n: re.sub(rf"\b({'|'.join(names)})\b", rf"\1_{n}", templates_sql(f"archive_id = '{k}'"))
+    return with_views(body, "service_lines", more=side(0, "a") + ", " + side(1, "b")).replace("WITH spelt", "WITH RECURSIVE spelt", 1)
+
+
+MATCHED_SQL = two_walks("""SELECT coalesce(template, '(new)') AS template, count(*) AS patterns, CAST(sum(count) AS BIGINT) AS lines
+FROM (SELECT b.pattern, any_value(b.count) AS count, arg_min(t.pattern, (-t.same, t.pattern)) FILTER (t.same >= 0.55 * len(b.tokens)) AS template
+  FROM cut_b b LEFT JOIN (SELECT c.pattern AS mine, l.pattern, list_sum(list_transform(list_zip(c.tokens, l.tokens), lambda z: CASE WHEN z[1] = z[2] THEN 1 ELSE 0 END)) AS same
+    FROM cut_b c JOIN (SELECT DISTINCT leaf, w.chosen, array_to_string(f.clusters[w.chosen], ' ') AS pattern, f.clusters[w.chosen] AS tokens FROM walk_a w JOIN final_a f USING (leaf) WHERE rn > 0) l ON c.leaf = l.leaf) t ON t.mine = b.pattern GROUP BY 1)
+GROUP BY 1""")
+
+
 def sides(spark, d):
     lines = Views(spark, d).event_lines()
     return lines.where("archive_id = '0'"), lines.where("archive_id = '1'")
@@ -247,6 +281,8 @@ QUERIES = {
     "d03_severity_by_side": (lambda s, d: diff_parts(s, d)["severities"], diagnosed("SELECT severity, count(*) FILTER (archive_id = '0') AS a, count(*) FILTER (archive_id = '1') AS b, count(*) FILTER (archive_id = '1') - count(*) FILTER (archive_id = '0') AS delta FROM found GROUP BY 1")),
     "d04_new_fatal": (lambda s, d: diff_parts(s, d)["new_fatal"].select("rule_name", "file_path", "line_no"), diagnosed("SELECT rule_name, file_path, line_no FROM fresh", NEW_FATAL)),
     "d05_new_templates": (new_templates, NEW_TEMPLATES_SQL),
+    "d05_merged_templates": (new_merged, two_walks("SELECT pattern, count, level FROM templates_b WHERE (level IN ('ERROR', 'FATAL') OR count >= 2) AND pattern NOT IN (SELECT pattern FROM templates_a) ORDER BY count DESC, encode(pattern) LIMIT 15")),
+    "d05_matched_templates": (matched, MATCHED_SQL),
     "d06_summary": (lambda s, d: diff_parts(s, d)["summary"].select("added", "removed", "events_a", "events_b", "new_fatal", "scope_type"), diagnosed("""SELECT (SELECT count(*) FROM (SELECT file_path FROM event_lines WHERE archive_id = '1' EXCEPT SELECT file_path FROM event_lines WHERE archive_id = '0')) AS added,
   (SELECT count(*) FROM (SELECT file_path FROM event_lines WHERE archive_id = '0' EXCEPT SELECT file_path FROM event_lines WHERE archive_id = '1')) AS removed,
   (SELECT count(*) FROM a) AS events_a, (SELECT count(*) FROM b) AS events_b, (SELECT count(*) FROM fresh) AS new_fatal, 'inter_archive' AS scope_type""", NEW_FATAL)),
