@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.default_rules import DEFAULT_RULES
 from ..operators import diagnose as D
 from ..operators import diff as X
+from ..operators import gram_index as G
 from ..operators import search as S
 from ..operators import templates as T
 from ..schema import SearchQuery
@@ -74,6 +75,31 @@ def pruned(spark, d):
     return S.prune_chunks(S.chunk_token_index(Views(spark, d).event_lines(), 100), "t-17 signup")
 
 
+GRAM_REGEX = SearchQuery(keyword=r"trace_id=t-(17|4\d) (signup|purch\w+) value=1\d*\.", regex=True)
+GRAM_WORD = SearchQuery(keyword="t-17 PURCH")
+
+
+def gram_index(spark, d, chunk_lines=20):
+    lines = Views(spark, d).event_lines()
+    return lines, G.chunk_gram_index(lines, chunk_lines)
+
+
+def gram_search(q):
+    def run(spark, d):
+        lines, index = gram_index(spark, d)
+        return G.search_by_grams(lines, index, q, 20).select(*PLACE)
+
+    return run
+
+
+def gram_test(plan) -> str:
+    """A plan as a test of a chunk's lines."""
+    if isinstance(plan, str):
+        return f"bool_or(contains(lower(content), '{plan}'))"
+    return "(" + f" {plan[0].upper()} ".join(map(gram_test, plan[1])) + ")"
+
+
+GRAM_CHUNKS = "SELECT archive_id, file_path, CAST((line_no - 1) // 20 AS INT) AS chunk, {} FROM event_lines GROUP BY 1, 2, 3"
 TOKEN_SQL = "unnest(list_distinct(list_filter(regexp_extract_all(lower(content), '[a-z0-9_-]+'), lambda t: length(t) BETWEEN 2 AND 64 AND NOT regexp_full_match(t, '[0-9]{5,}')))) AS token"
 
 # ---- diagnosis ----
@@ -259,6 +285,11 @@ QUERIES = {
     "q17_token_index": (lambda s, d: S.chunk_token_index(Views(s, d).event_lines(), 1000).groupBy("file_path", "chunk").agg(F.count(F.lit(1)).alias("n_tokens")), with_views(f"SELECT file_path, chunk, count(DISTINCT token) AS n_tokens FROM (SELECT file_path, CAST((line_no - 1) // 1000 AS INT) AS chunk, {TOKEN_SQL} FROM event_lines) GROUP BY 1, 2", "event_lines")),
     "q17_pruned_chunks": (pruned, with_views(f"SELECT file_path, chunk FROM (SELECT file_path, CAST((line_no - 1) // 100 AS INT) AS chunk, {TOKEN_SQL} FROM event_lines) WHERE token IN ('t-17', 'signup') GROUP BY 1, 2 HAVING count(DISTINCT token) = 2", "event_lines")),
     "q17_indexed_search": (indexed, with_views(r"SELECT archive_id, file_path, line_no FROM event_lines WHERE regexp_matches(content, '\bt-17\b')", "event_lines")),
+    "q17_gram_index": (lambda s, d: gram_index(s, d)[1].select("archive_id", "file_path", "chunk", F.size("grams").cast("long").alias("n_grams")), with_views("SELECT archive_id, file_path, chunk, count(DISTINCT substr(content, i, 3)) AS n_grams FROM (SELECT archive_id, file_path, CAST((line_no - 1) // 20 AS INT) AS chunk, lower(content) AS content, unnest(range(1, length(content) - 1)) AS i FROM event_lines) GROUP BY 1, 2, 3", "event_lines")),
+    "q17_gram_chunks": (lambda s, d: G.chunks_left(gram_index(s, d)[1], GRAM_REGEX), with_views(f"SELECT archive_id, file_path, chunk FROM ({GRAM_CHUNKS.format(gram_test(G.query_plan(GRAM_REGEX)) + ' AS pass')}) WHERE pass", "event_lines")),
+    "q17_gram_share": (lambda s, d: G.chunks_read(gram_index(s, d)[1], GRAM_WORD), with_views(f"SELECT count(*) AS chunks, count(*) FILTER (pass) AS read FROM ({GRAM_CHUNKS.format(gram_test(G.query_plan(GRAM_WORD)) + ' AS pass')})", "event_lines")),
+    "q17_gram_regex_search": (gram_search(GRAM_REGEX), simple_sql(f"regexp_matches(content, '(?i){GRAM_REGEX.keyword}')").replace(", content FROM", " FROM")),
+    "q17_gram_keyword_search": (gram_search(GRAM_WORD), simple_sql("contains(lower(content), 't-17 purch')").replace(", content FROM", " FROM")),
     "r01_r04_events": (events, diagnosed(f"SELECT {EVENT_COLUMNS} FROM found")),
     "r02_scopes": (scopes, with_views("SELECT DISTINCT archive_id, file_path, CASE WHEN file_path = 'app/node-3.log' THEN '0,1,2,3,4,5' ELSE '0,1,2,4,5' END AS allowed FROM event_lines", "event_lines")),
     "r03_guarded_events": (lambda s, d: events(s, d, True), diagnosed(f"SELECT {EVENT_COLUMNS} FROM found")),
