@@ -151,15 +151,14 @@ def _changes(moved: DataFrame, k: int, dims: int) -> tuple[np.ndarray, np.ndarra
             np.add.at(total, t["cluster"].to_numpy(), v)
             np.subtract.at(total, t["was"].fill_null(k).to_numpy(), v)
         at = np.flatnonzero(total[:k].any(axis=1))
-        yield pa.record_batch([pa.array(np.repeat(at, dims + 1)), pa.array(np.tile(np.arange(dims + 1), len(at))), pa.array(total[at].ravel())], names=["cluster", "d", "x"])
-
-    sums, counts = np.zeros((k, dims), np.int64), np.zeros(k, np.int64)
-    for x in moved.select("was", "cluster", "v").mapInArrow(run, "cluster long, d long, x long").groupBy("cluster", "d").agg(F.sum("x").alias("x")).collect():  # at most k * (dims + 1) rows
-        if x.d < dims:
-            sums[x.cluster, x.d] = x.x
-        else:
-            counts[x.cluster] = x.x
-    return sums, counts
+        yield pa.record_batch([pa.array(at), *(pa.array(x) for x in total[at].T)], names=["cluster", *names])
+
+    names = [f"x{d}" for d in range(dims + 1)]
+    parts = moved.select("was", "cluster", "v").mapInArrow(run, ", ".join(f"{n} long" for n in ["cluster", *names]))
+    out = np.zeros((k, dims + 1), np.int64)
+    for x in parts.groupBy("cluster").agg(*[F.sum(n).alias(n) for n in names]).collect():  # at most k rows
+        out[x.cluster] = [x[n] for n in names]
+    return out[:, :dims], out[:, dims]
 
 
 @dataclass
