@@ -1,6 +1,6 @@
 """Operator 11: MinHash near-duplicates with universal hash minima, bands, verified links, and alternating stars.
 
-The search is near_copies.py's: a document's set of five-word shingles is described by 96 minima, documents that share
+The search is near_copies.py's: a document's set of five-word shingles is described by 128 minima, documents that share
 a band of four are candidates, bytes of all minima rule out most of them, full sets confirm the rest, and
 components.py joins the links.  Copies with equal sets are one member of the search.
 

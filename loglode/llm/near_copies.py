@@ -3,9 +3,10 @@
 Candidates share a band of minima under universal hash functions (multiply, add, take the least).  With 24 bands of 4
 minima a pair at similarity 0.8 shares none with a chance of 3e-6 (at 0.85: 2e-8), and less above.  In a band's bucket
 every member is first compared with the member that has most company in all its buckets, the seed; what these links
-join is one component already, and only pairs across components are left.  Members of buckets that still hold several
-components, small or large, are dealt again by their rarest shared shingles (a prefix filter within segments of set
-sizes), which misses no pair at all: texts of the same boilerplate meet only where their own parts do.
+join is one component, and only pairs across components are left.
+Buckets of up to `whole` members compare all of those.  Members of larger buckets are dealt again by their rarest
+shared shingles (a prefix filter within segments of set sizes), which misses no pair at all: texts of the same
+boilerplate meet only where their own parts do.  Both ways compare every pair, so `whole` changes the cost alone.
 
 Of candidates, one byte of each minimum is compared first, inside the join that meets them: fewer equal bytes than a
 pair at the threshold has, but for a chance of 1e-9, rule it out.  What remains is verified by shingles, as 64-bit hashes, in Spark.
@@ -30,9 +31,9 @@ from pyspark.sql import functions as F
 from .common import delete, gram_hashes, mix, slices, word_hashes, written
 from .components import components
 
-BANDS, ROWS = 24, 4
-FACTORS = mix(np.arange(101, 101 + BANDS * ROWS, dtype=np.uint64)) | np.uint64(1)
-TERMS = mix(np.arange(301, 301 + BANDS * ROWS, dtype=np.uint64))
+BANDS, ROWS, MINIMA = 24, 4, 128  # bands are cut from the first 96 minima; all are compared
+FACTORS = mix(np.arange(101, 101 + MINIMA, dtype=np.uint64)) | np.uint64(1)
+TERMS = mix(np.arange(301, 301 + MINIMA, dtype=np.uint64))
 BAND = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 
 
@@ -57,7 +58,7 @@ def bands(h: np.ndarray) -> np.ndarray:
 
 def _bands(low: np.ndarray) -> np.ndarray:
     out = BAND.copy()
-    for column in low.reshape(BANDS, ROWS).T:
+    for column in low[: BANDS * ROWS].reshape(BANDS, ROWS).T:
         out = mix(out ^ column)
     return out
 
@@ -115,7 +116,7 @@ def _enough(shared: Column, n_a: Column, n_b: Column, threshold: float) -> Colum
 
 def _alike(a: str, b: str, threshold: float) -> Column:
     """Whether n and planes of the sides a and b (prefixes of the columns' names) allow for the threshold."""
-    count = BANDS * ROWS
+    count = MINIMA
     least = count * threshold - 6.5 * (count * threshold * (1 - threshold)) ** 0.5
     n_a, n_b, p_a, p_b = (F.col(f"{x}{c}") for c in ("n", "planes") for x in (a, b))
     differ = [functools.reduce(Column.bitwiseOR, [F.get(p_a, F.lit(2 * k + w)).bitwiseXOR(F.get(p_b, F.lit(2 * k + w))) for k in range(8)]) for w in (0, 1)]
@@ -184,28 +185,31 @@ def prefix_pairs(sets: DataFrame, hot: DataFrame, threshold: float, ratio: float
     return written(found.distinct(), "candidates")
 
 
-def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    return rows.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+def _mixed(m: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components of links, with their label."""
+    labels = written(components(links).withColumnRenamed("node", "key"), "labels")
+    x = m.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    several = x.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("band")
+    return written(x.join(several, "band", "left_semi"), "mixed")
 
 
-def near_copy_links(numbered: DataFrame, keys: DataFrame, threshold: float = 0.8) -> DataFrame:
+def near_copy_links(numbered: DataFrame, keys: DataFrame, threshold: float = 0.8, whole: int = 128) -> DataFrame:
     """Links (a, b) that connect the near copies among keys (key, doc_id, n, bands, planes)."""
+    ordered = lambda p: (F.least("key", f"{p}.key").alias("a"), F.greatest("key", f"{p}.key").alias("b"))
     members = keys.select("key", F.explode("bands").alias("band"))
     sizes = written(members.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
     m = written(members.join(sizes, "band"), "members")
-    weights = m.groupBy("key").agg(F.sum("size").alias("w"))
-    seeds = m.join(weights, "key").groupBy("band").agg(F.max(F.struct("w", "key")).alias("seed"))
-    pairs = m.join(seeds, "band").where("key <> seed.key").select(F.least("key", "seed.key").alias("a"), F.greatest("key", "seed.key").alias("b"))
+    seeds = m.join(m.groupBy("key").agg(F.sum("size").alias("w")), "key").groupBy("band").agg(F.max(F.struct("w", "key")).alias("seed"))
+    pairs = m.join(seeds, "band").where("key <> seed.key").select(*ordered("seed"))
     links = verified(likely(pairs, keys, threshold), numbered, keys, threshold)
-    labels = written(components(links).withColumnRenamed("node", "key"), "labels")
-    x = _labelled(m, labels)
-    mixed = x.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("band")
-    x = x.join(mixed, "band", "left_semi")
-    hot = written(x.select("key", "label").distinct().join(keys.select("key", "doc_id", "n", "planes"), "key"), "hot")
-    if hot.isEmpty():
-        return links
-    sets = written(shingle_sets(numbered.join(hot.select("doc_id"), "doc_id", "left_semi")), "shingles")
-    more = prefix_pairs(sets, hot.drop("doc_id"), threshold)
+    x = _mixed(m, links)
+    few = x.where(F.col("size") <= whole).select("band", "key", "label").join(keys.select("key", "n", "planes"), "key")
+    on = F.expr("p.band = q.band AND p.key < q.key AND p.label <> q.label") & _alike("p.", "q.", threshold)
+    more = few.alias("p").join(few.alias("q"), on).select(F.col("p.key").alias("a"), F.col("q.key").alias("b"))
+    hot = written(x.where(F.col("size") > whole).select("key", "label").distinct().join(keys.select("key", "doc_id", "n", "planes"), "key"), "hot")
+    if not hot.isEmpty():
+        sets = written(shingle_sets(numbered.join(hot.select("doc_id"), "doc_id", "left_semi")), "shingles")
+        more = more.unionByName(prefix_pairs(sets, hot.drop("doc_id"), threshold))
     return links.unionByName(verified(more, numbered, keys, threshold))
 
 
