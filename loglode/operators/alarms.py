@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import written
+from .running import running
+
 KEY = ["node_id", "alarm_type"]
 
 
@@ -20,26 +22,32 @@ def health_signals(heartbeats: DataFrame) -> DataFrame:
 
 def hysteresis(signals: DataFrame) -> DataFrame:
     """signals with state, the last signal that was not a hold."""
-    w = Window.partitionBy(*KEY).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    return signals.withColumn("state", F.last("signal", ignorenulls=True).over(w))
+    return running(signals, KEY, ["ts"], lasts={"state": "signal"})
 
 
-def debounce(reports: DataFrame, seconds: float = 30.0) -> DataFrame:
-    """Reports at least `seconds` after the last one sent for the same node and type.
+def debounce(reports: DataFrame, seconds: float = 30.0, parts: int | None = None) -> DataFrame:
+    """Reports at least `seconds` after the last one sent for the same node and type, in order of (ts, seq).
 
-    Which reports pass depends on those that passed before, so each key is walked in order.
+    Each report points to the first one that may be sent if it is; the sent ones are what the first report of a key
+    leads to.  Pointers are found by one run over reports and waiting times in order, and followed by doubling: each
+    round joins the reached reports with pointers twice as long, so a key of any size takes a logarithm of rounds.
+    Reports without a time are not sent.
     """
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "seq"])
-        sent, keep = None, []
-        for ts in rows["ts"]:
-            ok = sent is None or (ts - sent).total_seconds() >= seconds
-            sent = ts if ok else sent
-            keep.append(ok)
-        return rows[keep]
-
-    return reports.groupBy(*KEY).applyInPandas(walk, reports.schema)
+    at, wait = F.unix_micros("ts"), round(seconds * 1e6)
+    if wait <= 0:
+        return reports.where("ts IS NOT NULL")
+    rows = written(reports.where("ts IS NOT NULL").withColumn("_id", F.monotonically_increasing_id()), "reports")
+    # Backward in time: at an equal instant the report comes before the waiting time that it ends.
+    place = rows.select(*KEY, at.alias("us"), "seq", "_id")
+    ends = place.select(*KEY, (-F.col("us")).alias("o1"), F.lit(0).alias("o2"), (-F.col("seq")).alias("o3"), F.col("_id").alias("next"), F.lit(None).cast("long").alias("source"))
+    waits = place.select(*KEY, (-F.col("us") - wait).alias("o1"), F.lit(1).alias("o2"), F.lit(0).cast("long").alias("o3"), F.lit(None).cast("long").alias("next"), F.col("_id").alias("source"))
+    met = running(ends.unionByName(waits), KEY, ["o1", "o2", "o3"], lasts={"to": "next"}, parts=parts)
+    jump = written(met.where("source IS NOT NULL AND to IS NOT NULL").select(F.col("source").alias("a"), F.col("to").alias("b")), "jumps")
+    reached = written(place.groupBy(*KEY).agg(F.min_by("_id", F.struct("us", "seq", "_id")).alias("a")).select("a"), "reached")
+    while not jump.isEmpty():
+        reached = written(reached.unionByName(reached.join(jump, "a").select(F.col("b").alias("a"))).distinct(), "reached")
+        jump = written(jump.join(jump.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")), "jumps")
+    return rows.join(reached.withColumnRenamed("a", "_id"), "_id", "left_semi").select(*reports.columns)
 
 
 def aggregate_alarms(alarm_events: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import RetentionConfig
+from .running import running
 
 
 def list_archives(archives: DataFrame, user: str | None = None, tag: str = "", keyword: str = "") -> DataFrame:
@@ -72,8 +73,7 @@ def watermark_victims(archives: DataFrame, nodes: DataFrame, cfg: RetentionConfi
     over = nodes.where((F.col("status") == "online") & (F.col("disk_total_mb") > 0) & (F.col("disk_used_mb") / F.col("disk_total_mb") * 100 >= cfg.emergency_pct))
     rows = archives.where(~is_exempt(cfg)).join(F.broadcast(over.select("node_id", "disk_total_mb", "disk_used_mb")), "node_id")
     rows = rows.withColumn("size_mb", F.expr("size div 1048576"))
-    prior = F.coalesce(F.sum("size_mb").over(Window.partitionBy("node_id").orderBy("upload_time", "id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("prior_mb", prior)
+    rows = running(rows, ["node_id"], ["upload_time", "id"], sums={"prior_mb": "size_mb"})
     return rows.where((F.col("disk_used_mb") - F.col("prior_mb")) / F.col("disk_total_mb") * 100 > cfg.target_pct)
 
 

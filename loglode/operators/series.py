@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import line as L
 from ..schema import METRICS
+from .running import running
 
 KEYS = ["file_path", "series"]
 Limits = dict[str, tuple[float, float]]
@@ -82,13 +83,13 @@ def _names(path, pattern: str):
 
 
 def _with_idx(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("idx", F.row_number().over(Window.partitionBy(*KEYS).orderBy("line_no")) - 1)
+    return running(rows, KEYS, ["line_no"], counts=["idx"])
 
 
 def parse_iostat(lines: DataFrame, devices: int | None = None) -> DataFrame:
     """Device utilisation: a time line sets the time; a data line has 12 fields or more and ends with %util.
 
-    Only time and data lines enter the window; `devices` keeps that many devices of a file, the first by name.
+    Only time and data lines are run over; `devices` keeps that many devices of a file, the first by name.
     """
     text = F.trim("content")
     rows = lines.select("file_path", "line_no", text.alias("s"))
@@ -96,11 +97,11 @@ def parse_iostat(lines: DataFrame, devices: int | None = None) -> DataFrame:
     rows = rows.withColumn("t0", F.nullif(F.regexp_extract("s", time, 1), F.lit(""))).withColumn("f", F.split("s", r"\s+"))
     value = F.when(F.col("t0").isNull() & (F.size("f") >= 12) & ~F.col("s").startswith("Device") & ~F.col("s").startswith("avg-cpu"), F.element_at("f", -1).try_cast("double"))
     rows = rows.withColumn("value", value).where("t0 IS NOT NULL OR value IS NOT NULL")
-    before = Window.partitionBy("file_path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("t", F.last("t0", ignorenulls=True).over(before)).where("value IS NOT NULL").withColumn("series", F.get("f", F.lit(0)))
+    rows = running(rows.withColumn("series", F.get("f", F.lit(0))).drop("s", "f"), ["file_path"], ["line_no"], lasts={"t": "t0"}).where("value IS NOT NULL")
     if devices is not None:
-        rank = F.dense_rank().over(Window.partitionBy("file_path").orderBy("series"))
-        rows = rows.withColumn("rank", rank).where(F.col("rank") <= devices)
+        rank = F.row_number().over(Window.partitionBy("file_path").orderBy("series"))  # of a file's distinct devices
+        first = rows.select("file_path", "series").distinct().withColumn("rank", rank).where(F.col("rank") <= devices)
+        rows = rows.join(first, KEYS, "left_semi")
     return _with_idx(rows).select("file_path", "series", F.lit("%").alias("unit"), F.col("idx").cast("long"), F.coalesce("t", F.col("line_no").cast("string")).alias("t"), "value", "line_no")
 
 
@@ -110,7 +111,7 @@ def parse_vmstat(lines: DataFrame) -> DataFrame:
     number = lambda i: F.element_at("f", -i).try_cast("double")
     rows = lines.select("file_path", "line_no", f.alias("f")).where(F.size("f") >= 17)
     rows = rows.select("file_path", "line_no", number(5).alias("us"), number(4).alias("sy"), number(2).alias("wa")).dropna()
-    rows = rows.withColumn("idx", F.row_number().over(Window.partitionBy("file_path").orderBy("line_no")) - 1)
+    rows = running(rows, ["file_path"], ["line_no"], counts=["idx"])
     long = rows.select("file_path", "line_no", "idx", F.expr("stack(3, 'us', us, 'sy', sy, 'wa', wa) AS (series, value)"))
     return long.select("file_path", "series", F.lit("%").alias("unit"), F.col("idx").cast("long"), F.col("idx").cast("string").alias("t"), "value", "line_no")
 
