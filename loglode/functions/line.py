@@ -189,14 +189,19 @@ def match_file_path(pattern: str, path: Column) -> Column:
     return F.lower(path).rlike(regex)
 
 
+# How kernel uptime, ISO time and syslog time are written at the start of a log.
+UPTIME = r"^\[\s*(\d+(?:\.\d+)?)\]"
+ISO_TIME = r"(\d{4}[-/]\d{2}[-/]\d{2}[ T]\d{2}:\d{2}:\d{2}(?:\.\d+)?)"
+SYSLOG_TIME = r"^(?:<\d+>)?([A-Z][a-z]{2})\s+(\d+)\s+(\d{2}):(\d{2}):(\d{2})"
+
+
 def start_score(content: Column) -> Column:
     """Seconds that order the parts of a rotated log: kernel uptime, ISO time or syslog time; null where none is found."""
     c = F.trim(content)
-    uptime = _found(c, r"^\[\s*(\d+(?:\.\d+)?)\]", 1).cast("double")
-    iso = F.translate(_found(c, r"(\d{4}[-/]\d{2}[-/]\d{2}[ T]\d{2}:\d{2}:\d{2}(?:\.\d+)?)", 1), "/T", "- ").try_cast("timestamp")
-    syslog = r"^(?:<\d+>)?([A-Z][a-z]{2})\s+(\d+)\s+(\d{2}):(\d{2}):(\d{2})"
-    part = lambda i: _found(c, syslog, i).cast("int")
-    month = F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), F.regexp_extract(c, syslog, 1)), F.lit(0))
+    uptime = _found(c, UPTIME, 1).cast("double")
+    iso = F.translate(_found(c, ISO_TIME, 1), "/T", "- ").try_cast("timestamp")
+    part = lambda i: _found(c, SYSLOG_TIME, i).cast("int")
+    month = F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), F.regexp_extract(c, SYSLOG_TIME, 1)), F.lit(0))
     clock = month * 31 * 86400 + part(2) * 86400 + part(3) * 3600 + part(4) * 60 + part(5)
     return F.coalesce(uptime, F.unix_micros(iso) / 1e6, clock.cast("double"))
 

@@ -95,6 +95,7 @@ def test_large_file_hits(spark):
     assert [r.line_no for r in search.search_indexed(sparse, index, "disk_sector_corrupt").collect()] == [68_200]
 
 
+# Expected results that must be met.
 SCOPES = [
     ("", "ceph/ceph-osd.0.log", True), ("  ", "sys/dmesg.log", True), ("dmesg.log", "sys/dmesg.log", True), ("dmesg.log", "dmesg.log", True), ("dmesg.log", "var/log/dmesg.log", True),
     ("dmesg.log", "sys/ceph-osd.log", False), ("*.log", "ceph/ceph-osd.0.log", True), ("ceph-*.log", "ceph/ceph-osd.0.log", True), ("ceph-*.log", "ceph/ceph-mon.log", True), ("ceph-*.log", "sys/dmesg.log", False),
@@ -128,6 +129,7 @@ def test_diagnose_default_rules(spark):
     assert D.scan_rules(lines_of(spark, "a (b"), [Rule("x", "n", "s", "INFO", "A (B")]).count() == 1
 
 
+# Expected results that must be met.
 LEVELS = [("[ERR]", "ERROR"), ("[ERROR]", "ERROR"), ("[CRIT]", "FATAL"), ("[FATAL]", "FATAL"), ("[FTL]", "FATAL"), ("[WRN]", "WARN"), ("[WARNING]", "WARN"), ("[INF]", "INFO"), ("[DBG]", "DEBUG"), ("x", "INFO")]
 
 
@@ -164,6 +166,7 @@ def test_digit_runs(text):
     assert ours == out
 
 
+# Expected results that must be met.
 TEMPLATES = """2026-09-12 14:00:01.123 [ERROR] Failed to connect to 192.168.1.10:8080 timeout after 3000ms
 2026-09-12 14:00:02.456 [ERROR] Failed to connect to 192.168.1.11:8080 timeout after 3005ms
 2026-09-12 14:00:03.789 [ERROR] Failed to connect to 10.0.0.5:9000 timeout after 1500ms
