@@ -97,15 +97,15 @@ ends AS (
     max(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY conv_id) AS last_turn,
     min(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY conv_id) AS first_turn
   FROM turns),
-first_answer AS (SELECT conv_id, coalesce(text, '') AS answer FROM ends WHERE turn = first_turn AND role = 'assistant'),
-kept AS (SELECT e.*, f.answer FROM ends e LEFT JOIN first_answer f USING (conv_id) WHERE last_turn IS NULL OR turn <= last_turn),
+first_answer AS (SELECT conv_id, min(coalesce(text, '')) AS answer FROM ends WHERE turn = first_turn AND role = 'assistant' GROUP BY conv_id),
+kept AS (SELECT e.*, f.answer FROM ends e LEFT JOIN first_answer f ON f.conv_id IS NOT DISTINCT FROM e.conv_id WHERE last_turn IS NULL OR turn <= last_turn),
 sided AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS chosen,
     CASE WHEN role = 'assistant' AND turn = last_turn THEN CASE WHEN first_turn = last_turn THEN '' ELSE answer END
       ELSE coalesce(text, '') END AS rejected
   FROM kept),
 placed AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS pos FROM sided),
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, chosen) AS pos FROM sided),
 cut AS (
   SELECT *, coalesce(min(CASE WHEN chosen <> rejected THEN pos END) OVER (PARTITION BY conv_id),
     max(pos) OVER (PARTITION BY conv_id) + 1) AS split FROM placed),

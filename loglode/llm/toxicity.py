@@ -135,7 +135,10 @@ def fit_chain(docs: list[np.ndarray], folds: np.ndarray, labels: np.ndarray, fea
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict, max_labelled: int, features: int) -> bytes:
-    """What fit_chain returns, pickled; categories maps a name to a Column of labels that is 1, 0 or null."""
+    """What fit_chain returns, pickled; categories maps a name to a Column of labels that is 1, 0 or null.
+
+    Documents that share a doc_id and its labels count once, with the least of their feature lists.
+    """
     picked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *[c.cast("int").alias(f"y{i}") for i, c in enumerate(categories.values())])
     names = [f"y{i}" for i in range(len(categories))]
     # At most max_labelled rows of a few numbers each, so this side is bounded.
@@ -146,9 +149,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict, max_labelled: in
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             found = [sorted({f for w in words_of(x) for f in features_of_word(w)}) for x in t["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64())), t["fold"], *(t[n] for n in names)], ["found", "fold", *names])
+            yield pa.RecordBatch.from_arrays([t["doc_id"], pa.array(found, pa.list_(pa.int64())), t["fold"], *(t[n] for n in names)], ["doc_id", "found", "fold", *names])
 
-    schema = ", ".join(["found array<long>", "fold int", *(f"{n} int" for n in names)])
+    schema = ", ".join(["doc_id long", "found array<long>", "fold int", *(f"{n} int" for n in names)])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, folds, y = [], [], []
@@ -161,8 +164,11 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict, max_labelled: in
         model = fit_chain(found, np.array(folds, int), np.array(y, int).reshape(-1, len(names)), features)
         yield pa.record_batch([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
-    # Only the described sample, at most max_labelled rows, meets in this one task.
-    return rows.mapInArrow(describe, schema).repartition(1).mapInArrow(fit, "model binary").first()["model"]
+    # One row for each row of picked, however many documents share its doc_id: at most max_labelled meet in one task.
+    keys = ["doc_id", "fold", *names]
+    sample = rows.mapInArrow(describe, schema).groupBy(keys).agg(F.min("found").alias("found")).repartition(1).sortWithinPartitions(*keys)
+    row = sample.select("found", "fold", *names).mapInArrow(fit, "model binary").first()
+    return row["model"] if row else next(fit(iter(())))["model"][0].as_py()  # an empty sample may leave no task
 
 
 def score(docs: DataFrame, model: bytes, categories: list[str], carry: list[str] | None = None) -> DataFrame:

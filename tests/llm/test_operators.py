@@ -312,10 +312,29 @@ def test_toxicity_held_out(spark):
     held = [i for i in truth if i >= 400]
     assert sum(got[i].toxic == truth[i] for i in held) >= 0.99 * len(held)
     assert not got[900].toxic and not got[901].toxic
+    copies = toxicity.toxicity(frame(spark, rows + rows[:1] * 400 + rows[7:8]), table).collect()
+    assert len(copies) == len(rows) + 401 and all((x.toxic, x.p_toxic) == (got[x.doc_id].toxic, got[x.doc_id].p_toxic) for x in copies)
     none = toxicity.toxicity(frame(spark, rows), table.limit(0)).collect()
     assert len(none) == 603 and not any(x.toxic for x in none)
 
 
+def test_stale_answers_with_ties_and_nulls(spark, tmp_path):
+    a, u = "assistant", "user"
+    rows = [
+        ("t", 1, a, "second"), ("t", 1, a, "first"), ("t", 2, u, "why"), ("t", 3, a, "b"), ("t", 3, a, "a"), ("t", 4, u, "cut"),
+        ("n", None, a, "early"), ("n", None, u, None), ("n", 2, None, "x"), ("n", 2, a, None), ("o", 5, a, "only"), ("o", 5, a, "only"), ("s", 1, u, "no answer"),
+        (None, 1, a, "p"), (None, 1, u, "q"), (None, 2, a, "r"), (None, 2, a, "r"),
+    ]
+    conversations = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")
+    mine = chat_pairs.preference_pairs(chat_pairs.stale_answer_pairs(conversations))
+    db = duckdb.connect()
+    db.register("conversations", conversations.toArrow())
+    theirs = db.sql(ORACLES["op5_preference_format"])
+    assert sorted(map(repr, map(tuple, mine.select(*theirs.columns).collect()))) == sorted(map(repr, theirs.fetchall()))
+    tied = {r.pair_id: r for r in mine.collect()}["t"]
+    assert (tied.n_prompt_turns, tied.rejected.count("first"), tied.chosen.count("\n")) == (3, 2, 4)
+
+
 def test_preference_pairs(spark):
     turns = [("p", s, i, r, t) for s, last in (("chosen", "good"), ("rejected", "bad")) for i, (r, t) in enumerate([("system", None), ("user", "hi"), ("assistant", last)])]
     turns += [("q", "chosen", 0, "user", "a"), (None, "chosen", 0, None, "a"), (None, "rejected", 0, None, "a")]
