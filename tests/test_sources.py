@@ -76,6 +76,88 @@ def test_rotation(spark):
     assert got == [("other/plain.log", 1, "p"), *[("testlog/dmesg/dmesg", i, c) for i, c in enumerate("abc", 1)], *[("testlog/syslog/syslog", i, c) for i, c in enumerate("xyz", 1)]]
 
 
+def test_archives_in_pieces(spark, tmp_path):
+    """Pieces of any size give the rows of whole packages; odd names, an empty zip, a plain tar that is packed."""
+    r = random.Random(4)
+    entries = [(f"d{i % 3}/" + "n" * (140 if i % 5 == 0 else 4) + f"{i}.log", "".join(f"{i} {r.random()}\n" for _ in range(r.randrange(60))).encode()) for i in range(40)]
+    folder = tmp_path / "odd #1 %20 name"
+    folder.mkdir()
+    (folder / "a b.tar").write_bytes(tar(entries, "w"))
+    (folder / "packed.tar").write_bytes(tar(entries[:3], "w:gz"))
+    with zipfile.ZipFile(folder / "c.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for name, data in entries:
+            z.writestr(name, data)
+    zipfile.ZipFile(folder / "none.zip", "w").close()
+    whole = (folder / "c.zip").read_bytes()
+    (folder / "cut.zip").write_bytes(whole[: len(whole) // 2])
+    (folder / "cut.tar").write_bytes((folder / "a b.tar").read_bytes()[:20_000])
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path))
+    want = sorted(map(repr, archives.explode_archives(files).collect()))
+    assert sum("c.zip" in x for x in want) == sum(d.count(b"\n") for _, d in entries)
+    for size in (2_000, 1 << 26):
+        got = archives.read_archives(spark, str(tmp_path), piece_bytes=size)
+        assert sorted(map(repr, got.collect())) == want
+    pieces = [p for p in archives.plan_pieces(str(folder / "a b.tar"), 1, 1)]
+    assert len(pieces) == 41 and [p[3] for p in pieces[:-1]] == [p[2] for p in pieces[1:]]
+
+
+def test_package_of_over_2_gb(spark, tmp_path):
+    """A sparse tar with a member of 3 GB without a line end, and a zip behind 3 GB of other bytes."""
+    far = 3 << 30
+    with open(tmp_path / "big.tar", "wb") as f:
+        for name, size in (("core.bin", far), ("after.log", 6)):
+            info = tarfile.TarInfo(name)
+            info.size = size
+            f.write(info.tobuf())
+            f.seek(size if size == far else 0, io.SEEK_CUR)
+        f.write(b"a\nb\nc\n".ljust(512, b"\0") + bytes(1024))
+    z = io.BytesIO()
+    with zipfile.ZipFile(z, "w") as p:
+        p.writestr("in.log", "far\n")
+    with open(tmp_path / "far.zip", "wb") as f:
+        f.seek(far)
+        f.write(z.getvalue())
+    got = archives.read_archives(spark, str(tmp_path)).collect()
+    assert {(r.file_path, r.line_no, r.content) for r in got if not r.error} == {("after.log", 1, "a"), ("after.log", 2, "b"), ("after.log", 3, "c"), ("in.log", 1, "far")}
+    assert [(r.file_path, r.line_no) for r in got if r.error] == [("core.bin", None)]
+
+
+def test_forward_zip(monkeypatch):
+    """An inner zip read in one pass has the members that its directory names; cut or locked ones are faults."""
+    r = random.Random(5)
+    entries = [(f"x/{i}.log", b"".join(b"%d %d\n" % (i, r.randrange(1 << 40)) for _ in range(r.randrange(20_000)))) for i in range(6)] + [("empty.log", b""), ("é.log", b"PK\3\4 PK")]
+
+    class Pipe(io.BytesIO):  # no seeking: descriptors follow the members
+        def seekable(self):
+            return False
+
+        def tell(self):
+            raise OSError
+
+        seek = tell
+
+    for out in (io.BytesIO(), Pipe()):
+        with zipfile.ZipFile(out, "w") as z:
+            for i, (name, data) in enumerate(entries):
+                info = zipfile.ZipInfo(name)
+                info.compress_type = zipfile.ZIP_DEFLATED if i % 2 or isinstance(out, Pipe) else zipfile.ZIP_STORED
+                with z.open(info, "w", force_zip64=i == 2) as f:
+                    f.write(data)
+        data = out.getvalue()
+        assert [(p, f.read()) for p, f in archives.forward_zip(archives._Ahead(io.BytesIO(data)))] == entries
+        assert [p for p, _ in archives.forward_zip(archives._Ahead(io.BytesIO(data)))] == [p for p, _ in entries]  # bodies left unread
+        outer = tar([("in.zip", data), ("z.log", b"last")])
+        whole = [(p, d, f.read()) for p, d, f in archives.walk(archives.members("o.tar.gz", io.BytesIO(outer)), "", 1, 9)]
+        monkeypatch.setattr(archives, "HELD", 1000)
+        assert [(p, d, f.read()) for p, d, f in archives.walk(archives.members("o.tar.gz", io.BytesIO(outer)), "", 1, 9)] == whole
+        monkeypatch.undo()
+        cut = tar([("in.zip", data[: len(data) // 2]), ("z.log", b"last")])
+        monkeypatch.setattr(archives, "HELD", 1000)
+        rows = list(archives._rows("o", lambda: archives.members("o.tar.gz", io.BytesIO(cut)), 9))  # noqa: B023
+        monkeypatch.undo()
+        assert rows[-1][1:5] == ("z.log", 1, 1, "last") and any(x[5] and x[1].startswith("in") for x in rows)
+
+
 def test_paging_and_sub_archives(spark):
     lines = spark.range(1, 21).select(F.lit("a").alias("archive_id"), F.lit("f").alias("file_path"), F.col("id").alias("line_no"), F.lit("x").alias("content"))
     assert [(r.line_no, r.has_more) for r in text.read_lines(lines, "f", 1, 5).collect()][-1] == (5, True)
