@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import io
+import posixpath
+import tarfile
+import uuid
+import zipfile
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import line as L
 from ..schema import PreprocessRule
-from ..sources import catalog, text
+from ..scratch import shared_folder
+from ..sources import archives, catalog, text
 from .views import Views, with_views
 
 RULES = [PreprocessRule("mask", "t-[0-9]+", "<user>", True, 1), PreprocessRule("mask", "(", "x", True, 2), PreprocessRule("level_mapping", "value=9", "debug", True, 3), PreprocessRule("level_mapping", "purchase", " critical ", True, 4)]
@@ -170,7 +178,39 @@ def rotated(spark, d):
 
 ROTATED_SQL = with_views("""SELECT archive_id, regexp_replace(file_path, '^app/(.*)\\.log$', 'app/\\1/\\1') AS file_path, line_no, content FROM event_lines""", "event_lines")
 
+def write_package(folder: str):
+    """Writes lines of one file as a zip inside a tar.gz and gives its path; a task that runs again writes the same."""
+
+    def run(key, lines):
+        archive_id, file_path, part = key
+        inner, outer = io.BytesIO(), io.BytesIO()
+        with zipfile.ZipFile(inner, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr(zipfile.ZipInfo(file_path), "".join(f"{x}\n" for x in lines.sort_values("line_no")["content"]))
+        with tarfile.open(fileobj=outer, mode="w:gz") as t:
+            info = tarfile.TarInfo("logs.zip")
+            info.size = inner.tell()
+            t.addfile(info, io.BytesIO(inner.getvalue()))
+        name = f"{archive_id}-{posixpath.basename(file_path)}-{part}.tar.gz"
+        archives.put(f"{folder}/{name}", outer.getvalue())
+        return pd.DataFrame({"path": [name]})
+
+    return run
+
+
+def packed_archives(spark, d):
+    """Event lines as packages of 500 lines in the shared folder, read from there."""
+    folder = f"{shared_folder(spark).rstrip('/')}/packages-{uuid.uuid4().hex}"
+    e = Views(spark, d).event_lines().select("archive_id", "file_path", "line_no", "content", F.expr("(line_no - 1) div 500").alias("part"))
+    e.groupBy("archive_id", "file_path", "part").applyInPandas(write_package(folder), "path string").agg(F.count("path")).collect()
+    read = archives.read_archives(spark, folder)
+    return read.select(F.regexp_extract("archive_path", "[^/]*$", 0).alias("package"), "file_path", "depth", "line_no", "content", "error")
+
+
+PACKED_SQL = with_views("""SELECT archive_id || '-' || split_part(file_path, '/', 2) || '-' || ((line_no - 1) // 500)::VARCHAR || '.tar.gz' AS package, 'logs/' || file_path AS file_path, 2 AS depth,
+  row_number() OVER (PARTITION BY archive_id, file_path, (line_no - 1) // 500 ORDER BY line_no) AS line_no, content, CAST(NULL AS VARCHAR) AS error FROM event_lines""", "event_lines")
+
 QUERIES = {
+    "s04_read_archives": (packed_archives, PACKED_SQL),
     "s02_s05_formats": (formats_query, FORMATS_SQL),
     "s06_file_catalog": (lambda s, d: catalog.file_catalog(Views(s, d).doc_lines()).select("archive_id", "file_path", "line_count", "text_bytes"), with_views("SELECT archive_id, file_path, count(*) AS line_count, CAST(sum(strlen(content) + 1) AS BIGINT) AS text_bytes FROM doc_lines GROUP BY 1, 2", "doc_lines")),
     "s07_archive_totals": (lambda s, d: catalog.archive_totals(Views(s, d).files()), with_views("SELECT archive_id, count(*) AS file_count, CAST(sum(line_count) AS BIGINT) AS total_lines FROM files GROUP BY 1", "files")),

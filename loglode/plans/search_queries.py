@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from ..operators import gram_index as G
 from ..operators import search as S
 from ..operators import templates as T
 from ..schema import SearchQuery
+from ..scratch import shared_folder
+from ..sources import tables
 from .line_queries import LEVEL, MASKED, PRIORITY, STRIPPED, TEMPLATE_LEVEL, TRACE_ID, TS
 from .views import RULES_SMALL, Views, with_views
 
@@ -130,6 +133,16 @@ FROM (SELECT a.archive_id, count(rule_id) AS total, count(*) FILTER (severity =
   FROM (SELECT DISTINCT archive_id FROM event_lines) a LEFT JOIN found USING (archive_id) GROUP BY 1)""")
 
 
+def report_store(spark, d):
+    """Both archives' reports are stored, then archive 0's again with its fatal events alone; what the store holds then."""
+    e, r = D.diagnose(Views(spark, d).event_lines(), RULES_SMALL)
+    path = f"{shared_folder(spark).rstrip('/')}/reports-{uuid.uuid4().hex}"
+    tables.write_report(e, r, path)
+    tables.write_report(e.where("archive_id = '0' AND severity = 'FATAL'"), r.where("archive_id = '0'"), path)
+    events, reports = tables.current_reports(spark, path)
+    return events.join(reports.select("archive_id", "health_score"), "archive_id").select(*PLACE, "rule_id", "severity", "health_score")
+
+
 def scopes(spark, d):
     s = D.rule_scopes(Views(spark, d).event_lines(), RULES_SMALL)
     return s.select("archive_id", "file_path", F.array_join("allowed", ",").alias("allowed"))
@@ -296,6 +309,9 @@ QUERIES = {
     "r05_capped_events": (lambda s, d: D.cap_events(events(s, d), 50).select(*PLACE, "rule_id"), diagnosed("SELECT archive_id, file_path, line_no, rule_id FROM found QUALIFY row_number() OVER (PARTITION BY archive_id ORDER BY file_path, line_no, rule_id) <= 50")),
     "r06_severities": (lambda s, d: D.severity_summary(events(s, d)), diagnosed("SELECT archive_id, severity, count(*) AS n FROM found GROUP BY 1, 2")),
     "r06_storages": (lambda s, d: D.storage_summary(events(s, d)), diagnosed("SELECT archive_id, storage_type, count(*) AS n FROM found GROUP BY 1, 2")),
+    "s12_report_store": (report_store, diagnosed(f"""SELECT f.archive_id, file_path, line_no, rule_id, severity, health_score FROM found f JOIN scored USING (archive_id)
+WHERE archive_id <> '0' OR severity = 'FATAL'""", more="""scored AS (SELECT archive_id, CAST(greatest(0, 100 - 25 * count(*) FILTER (severity = 'FATAL') - 10 * count(*) FILTER (severity = 'CRITICAL') - 3 * count(*) FILTER (severity = 'WARNING')) AS INT) AS health_score
+  FROM found GROUP BY 1)""")),
     "r07_r08_r10_report": (lambda s, d: D.diagnose(Views(s, d).event_lines(), RULES_SMALL)[1].drop("severity_summary"), REPORT_SQL),
     "r09_default_rules": (default_rules, DEFAULT_RULES_SQL),
     "t01_head": (lambda s, d: T.head_per_file(Views(s, d).doc_lines(), 3), with_views("SELECT * FROM doc_lines WHERE line_no <= 3", "doc_lines")),

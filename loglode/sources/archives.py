@@ -15,6 +15,7 @@ import posixpath
 import re
 import struct
 import tarfile
+import uuid
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
@@ -302,6 +303,16 @@ def _open(path: str) -> io.BufferedReader:
     return io.BufferedReader(_Raw(fs.open_input_file(at)), 1 << 20)
 
 
+def put(path: str, content: bytes) -> None:
+    """Write a file under another name and move it into place, so that a reader never meets half of it."""
+    fs, at = _store(path)
+    fs.create_dir(posixpath.dirname(at))
+    aside = f"{posixpath.dirname(at)}/.{uuid.uuid4().hex}.part"
+    with fs.open_output_stream(aside) as out:
+        out.write(content)
+    fs.move(aside, at)
+
+
 def _stretch(f, first: int, last: int) -> io.BufferedReader:
     """Bytes first to last (-1: the end) of a file."""
 

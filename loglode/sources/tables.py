@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,12 +33,55 @@ def load_knowledge(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, "kind string, name string, step int, patterns array<string>")
 
 
-def write_report(events: DataFrame, reports: DataFrame, path: str) -> None:
-    """Events go to the cold table, reports without events to the hot one; a run replaces its own archives only."""
+MANIFEST = "archive_id string, run string, seq bigint"
+
+
+def _manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The run that holds each archive now; a store that nobody has written to has none."""
+    try:
+        rows = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], MANIFEST)
+    return rows.groupBy("archive_id").agg(F.max(F.struct("seq", "run")).alias("last")).select("archive_id", "last.run", "last.seq")
+
+
+def write_report(events: DataFrame, reports: DataFrame, path: str) -> str:
+    """Events and reports of a run, which replace those of its own archives at one instant; gives the run's name.
+
+    Both tables go to a folder of the run, then one file joins the manifest, which Spark's commit renames into place:
+    a run that fails before leaves what readers see as it was, and no reader meets new events beside an old report.
+    An archive with a report and no events has none afterwards.  Of two runs at once the later entry counts, at equal
+    numbers the greater name.
+    """
+    spark = events.sparkSession
+    run = uuid.uuid4().hex
     for df, name in ((events, "events"), (reports, "reports")):
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("archive_id").parquet(f"{path}/{name}")
+        df.sortWithinPartitions("archive_id").write.parquet(f"{path}/runs/{run}/{name}")
+    read = [spark.read.schema(df.schema).parquet(f"{path}/runs/{run}/{name}") for df, name in ((events, "events"), (reports, "reports"))]
+    seq = (_manifest(spark, path).agg(F.max("seq")).first()[0] or 0) + 1
+    mine = read[0].select("archive_id").union(read[1].select("archive_id")).distinct()
+    mine.select("archive_id", F.lit(run).alias("run"), F.lit(seq).cast("bigint").alias("seq")).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    return run
 
 
 def read_report(spark: SparkSession, path: str, archive_id: str) -> tuple[DataFrame, DataFrame]:
+    """(events, reports) of one archive, both of the same run; an archive that was never written is a KeyError."""
+    row = _manifest(spark, path).where(F.col("archive_id") == archive_id).first()
+    if row is None:
+        raise KeyError(archive_id)
     mine = F.col("archive_id") == archive_id
-    return spark.read.parquet(f"{path}/events").where(mine), spark.read.parquet(f"{path}/reports").where(mine)
+    return tuple(spark.read.parquet(f"{path}/runs/{row['run']}/{name}").where(mine) for name in ("events", "reports"))
+
+
+def current_reports(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(events, reports) of all archives, each of its last run."""
+    now = _manifest(spark, path).select("archive_id", "run")
+    runs = [r["run"] for r in now.select("run").distinct().collect()]  # a name a run that still counts
+    if not runs:
+        raise KeyError("the store is empty")
+    name = F.regexp_extract("_metadata.file_path", "/runs/([0-9a-f]{32})/", 1)
+    both = ("events", "reports")
+    tables = [spark.read.parquet(*[f"{path}/runs/{r}/{kind}" for r in runs]).withColumn("run", name) for kind in both]
+    return tuple(t.join(now, ["archive_id", "run"], "left_semi").drop("run") for t in tables)

@@ -9,6 +9,7 @@ import tarfile
 import time
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from loglode.operators import alarms
@@ -181,6 +182,17 @@ def test_tables(spark, tmp_path):
     events, reports = tables.read_report(spark, str(tmp_path / "out"), "a")
     assert [x.id for x in events.collect()] == ["new"] and reports.count() == 1
     assert tables.read_report(spark, str(tmp_path / "out"), "b")[0].first().id == "e2"
+    assert sorted(x.id for x in tables.current_reports(spark, str(tmp_path / "out"))[0].collect()) == ["e2", "new"]
+    bad = r.where("archive_id = 'b'").withColumn("health_score", F.raise_error(F.lit("lost")).cast("int"))
+    with pytest.raises(Exception, match="lost"):  # events are written, the report is not
+        tables.write_report(e.where("archive_id = 'b'").withColumn("id", F.lit("half")), bad, str(tmp_path / "out"))
+    events, reports = tables.read_report(spark, str(tmp_path / "out"), "b")
+    assert [x.id for x in events.collect()] == ["e2"] and reports.first().health_score == 80
+    tables.write_report(e.limit(0), r.where("archive_id = 'b'"), str(tmp_path / "out"))
+    events, reports = tables.read_report(spark, str(tmp_path / "out"), "b")
+    assert events.count() == 0 and reports.count() == 1
+    with pytest.raises(KeyError):
+        tables.read_report(spark, str(tmp_path / "out"), "c")
 
 
 def drained(spark, df, name, mode):
