@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import line as L
 from ..schema import SearchQuery
+from ..scratch import written
 
 
 def keyword_filter(content: Column, q: SearchQuery) -> Column:
@@ -102,8 +103,9 @@ def facets(hits: DataFrame) -> DataFrame:
 
 
 def traces(hits: DataFrame, limit: int = 20) -> DataFrame:
-    """The first distinct trace ids in hit order."""
-    found = hits.select(L.extract_trace_id(F.col("content")).alias("trace_id"), "file_path", "line_no").where("trace_id IS NOT NULL")
+    """The first distinct trace ids in hit order; hits may bring their ids in a column _trace_id."""
+    trace = F.col("_trace_id") if "_trace_id" in hits.columns else L.extract_trace_id(F.col("content"))
+    found = hits.select(trace.alias("trace_id"), "file_path", "line_no").where("trace_id IS NOT NULL")
     first = found.groupBy("trace_id").agg(F.min(F.struct("file_path", "line_no")).alias("first"))
     return first.orderBy("first").limit(limit).select("trace_id", "first.file_path", "first.line_no")
 
@@ -172,8 +174,15 @@ class SearchResult:
     traces: DataFrame
 
 
-def search(lines: DataFrame, q: SearchQuery) -> SearchResult:
-    """All parts of an answer, each lazy; persist `lines` or the hits where several parts are read."""
+def search(lines: DataFrame, q: SearchQuery, once: bool = False) -> SearchResult:
+    """All parts of an answer, each lazy.
+
+    once: the hits are written to the shared folder first, so that the lines are filtered in one reading and every part
+    but the context reads its few columns of that table (levels, times and trace ids are found once, too); worth it
+    where several parts are read.  The context of a page's hits is looked up among the lines either way.
+    """
     found = matching(lines, q)
-    shown = with_context(lines, page(found, q.page, q.page_size), q.context)
+    if once:
+        found = written(found.withColumn("_trace_id", L.extract_trace_id(F.col("content"))), "hits")
+    shown = with_context(lines, page(found.drop("_trace_id"), q.page, q.page_size), q.context)
     return SearchResult(shown, file_summaries(found), histogram(found), facets(found), traces(found))

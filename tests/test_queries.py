@@ -45,6 +45,20 @@ def test_search_filter_is_narrow_and_context_is_an_equi_join(spark, sf_dir):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
+def test_search_reads_the_lines_once(spark, sf_dir):
+    lines = Views(spark, sf_dir).event_lines()
+    q = SearchQuery(keyword="value=1", level="ERROR", context=1, page_size=5)
+    lazy, once = search.search(lines, q), search.search(lines, q, once=True)
+    rows = lambda df: sorted(map(repr, df.collect()))
+    for part in ("hits", "file_summaries", "histogram", "facets", "traces"):
+        assert rows(getattr(once, part)) == rows(getattr(lazy, part)) != []
+        read = getattr(once, part).inputFiles()
+        assert any("/hits-" in f for f in read) and (part == "hits" or not any("events" in f for f in read))
+    assert "content" not in "".join(x for x in plan_of(once.traces).split("\n") if "ReadSchema" in x)
+    nothing = search.search(lines, SearchQuery(keyword="no such word"), once=True)
+    assert nothing.hits.count() == nothing.histogram.count() == nothing.traces.count() == 0
+
+
 def test_entry(spark):
     import __spark_entry__
 
