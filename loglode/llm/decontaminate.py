@@ -9,7 +9,8 @@ nothing apart, and every item that shares enough shingle hashes with the domain
 verified by exact containment of word shingles.
 
 Documents are scanned where they lie, in one pass without a shuffle for each block of items; a block (of `block`
-items or `block_bytes` bytes of text, about) is all that ever reaches the driver or is sent to executors.
+items or `block_bytes` bytes of text, about) is all that is on the driver or sent to executors at a time: of several
+blocks each is answered into a table before the next one is fetched.
 
 Words are runs of word characters in lower case.  An item of fewer than `shingle` words is one shingle of all its
 words; one without words, or null, matches nothing.  Null and empty documents match nothing.  Rows that share a doc_id
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, gram_hashes, memory, mix, slices
+from .common import Memo, gram_hashes, memory, mix, slices, written
 
 WORD = re.compile(r"\w+")
 SCHEMA = "doc_id long, item_id long, n_shingles long, n_shared long, containment double"
@@ -157,6 +158,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, thresh
     for i in range(blocks):
         some = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i).collect()]
         found = rows.mapInArrow(_scan(some, shingle, threshold, miss), SCHEMA)
+        if blocks > 1:  # answered now, so that the driver lets go of this block before it fetches the next
+            found = written(found, "contaminated")
         out = found if out is None else out.unionByName(found)
     return out
 
