@@ -140,11 +140,15 @@ def chunk_of(chunk_lines: int) -> Column:
     return F.floor((F.col("line_no") - 1) / chunk_lines).cast("int")
 
 
+def grams_in(text: Column) -> Column:
+    """The distinct grams of a text, in time linear in its length (a look-ahead meets overlapping ones)."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{Q}}}))"), F.lit(1)))
+
+
 def chunk_gram_index(lines: DataFrame, chunk_lines: int = 15_000) -> DataFrame:
     """(archive_id, file_path, chunk, grams).  Distinct grams combine before the shuffle; a row is bounded by its chunk."""
     text = F.translate("content", string.ascii_uppercase, string.ascii_lowercase)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - Q + 1), lambda i: F.substring(text, i, F.lit(Q))))
-    rows = lines.select("archive_id", "file_path", chunk_of(chunk_lines).alias("chunk"), F.when(F.length(text) >= Q, grams).otherwise(F.array().cast("array<string>")).alias("g"))
+    rows = lines.select("archive_id", "file_path", chunk_of(chunk_lines).alias("chunk"), grams_in(text).alias("g"))
     each = rows.select("archive_id", "file_path", "chunk", F.explode_outer("g").alias("gram")).distinct()
     return each.groupBy("archive_id", "file_path", "chunk").agg(F.array_sort(F.collect_list("gram")).alias("grams"))
 

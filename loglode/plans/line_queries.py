@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import line as L
 from ..schema import PreprocessRule
 from ..scratch import shared_folder
-from ..sources import archives, catalog, text
+from ..sources import archives, catalog, line_store, text
 from .views import Views, with_views
 
 RULES = [PreprocessRule("mask", "t-[0-9]+", "<user>", True, 1), PreprocessRule("mask", "(", "x", True, 2), PreprocessRule("level_mapping", "value=9", "debug", True, 3), PreprocessRule("level_mapping", "purchase", " critical ", True, 4)]
@@ -209,6 +209,15 @@ def packed_archives(spark, d):
 PACKED_SQL = with_views("""SELECT archive_id || '-' || split_part(file_path, '/', 2) || '-' || ((line_no - 1) // 500)::VARCHAR || '.tar.gz' AS package, 'logs/' || file_path AS file_path, 2 AS depth,
   row_number() OVER (PARTITION BY archive_id, file_path, (line_no - 1) // 500 ORDER BY line_no) AS line_no, content, CAST(NULL AS VARCHAR) AS error FROM event_lines""", "event_lines")
 
+def line_store_ends(spark, d):
+    """All document lines go into a line store; how many lines each file has there, and its last one."""
+    path = f"{shared_folder(spark).rstrip('/')}/lines-{uuid.uuid4().hex}"
+    line_store.write_lines(Views(spark, d).doc_lines(), path)
+    key = ["archive_id", "file_path"]
+    ends = line_store.stored_lines(spark, path).groupBy(*key).agg(F.count(F.lit(1)).alias("n_lines"), F.max_by("content", F.struct("line_no", "content")).alias("last_line"))
+    return line_store.stored_counts(spark, path).join(ends, key)
+
+
 QUERIES = {
     "s04_read_archives": (packed_archives, PACKED_SQL),
     "s02_s05_formats": (formats_query, FORMATS_SQL),
@@ -218,6 +227,10 @@ QUERIES = {
 FROM (SELECT split_part(file_path, '/', 2) AS name, split_part(file_path, '/', 3) AS next, split_part(file_path, '/', 3) <> '' AS deep, size FROM files WHERE starts_with(file_path, 'node-1/')) GROUP BY 1""", "files")),
     "s09_sub_archives": (lambda s, d: catalog.detect_sub_archives(Views(s, d).files()), with_views("SELECT split_part(file_path, '/', 1) AS name, split_part(file_path, '/', 1) AS path, count(*) AS total_files, CAST(sum(size) AS BIGINT) AS total_size, true AS has_nested FROM files GROUP BY 1, 2", "files")),
     "s10_consolidate_rotated": (rotated, ROTATED_SQL),
+    "s11_line_store": (
+        line_store_ends,
+        with_views("SELECT archive_id, file_path, max(line_no) AS total_lines, count(*) AS n_lines, (max(struct_pack(n := line_no, c := content))).c AS last_line FROM doc_lines GROUP BY 1, 2", "doc_lines"),
+    ),
     "s11_read_lines": (lambda s, d: text.read_lines(Views(s, d).event_lines(), "app/node-3.log", 20, 50), with_views("""SELECT line_no, content, (SELECT max(line_no) FROM event_lines WHERE file_path = 'app/node-3.log') >= 70 AS has_more, (SELECT max(line_no) FROM event_lines WHERE file_path = 'app/node-3.log') AS total_lines
 FROM event_lines WHERE file_path = 'app/node-3.log' AND line_no BETWEEN 20 AND 69""", "event_lines")),
     "s14_filter_tree": (lambda s, d: catalog.filter_tree(Views(s, d).files(), "F/PART-1"), with_views("""SELECT DISTINCT path, is_directory FROM (

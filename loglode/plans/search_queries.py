@@ -11,6 +11,7 @@ from ..functions.default_rules import DEFAULT_RULES
 from ..operators import diagnose as D
 from ..operators import diff as X
 from ..operators import gram_index as G
+from ..operators import rule_index
 from ..operators import search as S
 from ..operators import templates as T
 from ..schema import SearchQuery
@@ -127,6 +128,31 @@ def diagnosed(sql: str, more: str = "") -> str:
     return with_views(sql, "event_lines", more=FOUND + (", " + more if more else ""))
 
 
+def rule_table(spark, d):
+    """Rules of every benchmark sentence: literals at even places, regexes with free blanks at odd ones."""
+    items = Views(spark, d).table("benchmark").select("item_id", F.posexplode(F.split("text", "[.?!\n]")).alias("at", "said"))
+    said, odd = F.trim("said"), F.col("at") % 2 == 1
+    pattern = F.when(odd, F.regexp_replace(F.regexp_replace(said, "[^A-Za-z ]", "."), " +", " +")).otherwise(said)
+    none = F.lit("")
+    return items.where(F.length(said) >= 8).select(
+        F.format_string("b%d-%d", "item_id", "at").alias("id"), F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("name"), F.lit("Generic").alias("storage_type"), F.lit("INFO").alias("severity"), pattern.alias("pattern"),
+        odd.alias("is_regex"), none.alias("file_path_pattern"), none.alias("description"), none.alias("suggestion"), F.lit(True).alias("enabled"),
+    )
+
+
+def many_rules(spark, d):
+    return rule_index.scan_rule_table(Views(spark, d).doc_lines(), rule_table(spark, d)).select("archive_id", "file_path", "line_no", "rule_id", "rule_name")
+
+
+MANY_RULES_SQL = with_views(
+    r"""SELECT archive_id, file_path, line_no, 'b' || item_id::VARCHAR || '-' || (i - 1)::VARCHAR AS rule_id, 'item ' || item_id::VARCHAR AS rule_name
+FROM doc_lines JOIN said ON CASE WHEN i % 2 = 0 THEN regexp_matches(content, regexp_replace(regexp_replace(s, '[^A-Za-z ]', '.', 'g'), ' +', ' +', 'g')) ELSE contains(lower(content), lower(s)) END""",
+    "doc_lines",
+    more=r"""said AS (SELECT item_id, i, trim(s) AS s FROM (SELECT item_id, generate_subscripts(p, 1) AS i, unnest(p) AS s FROM (SELECT item_id, string_split_regex(text, '[.?!
+]') AS p FROM benchmark)) WHERE length(trim(s)) >= 8)""",
+)
+
+
 REPORT_SQL = diagnosed("""SELECT archive_id, 'completed' AS status, total AS total_events, fatal, critical, warning, CAST(greatest(0, 100 - 25 * fatal - 10 * critical - 3 * warning) AS INT) AS health_score,
   CASE WHEN total = 0 THEN 'No known fault was found.' ELSE printf('Found %d events: %d fatal, %d critical, %d warnings.', total, fatal, critical, warning) END AS summary_text
 FROM (SELECT a.archive_id, count(rule_id) AS total, count(*) FILTER (severity = 'FATAL') AS fatal, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'WARNING') AS warning
@@ -313,6 +339,7 @@ QUERIES = {
 WHERE archive_id <> '0' OR severity = 'FATAL'""", more="""scored AS (SELECT archive_id, CAST(greatest(0, 100 - 25 * count(*) FILTER (severity = 'FATAL') - 10 * count(*) FILTER (severity = 'CRITICAL') - 3 * count(*) FILTER (severity = 'WARNING')) AS INT) AS health_score
   FROM found GROUP BY 1)""")),
     "r07_r08_r10_report": (lambda s, d: D.diagnose(Views(s, d).event_lines(), RULES_SMALL)[1].drop("severity_summary"), REPORT_SQL),
+    "r03_rule_table": (many_rules, MANY_RULES_SQL),
     "r09_default_rules": (default_rules, DEFAULT_RULES_SQL),
     "t01_head": (lambda s, d: T.head_per_file(Views(s, d).doc_lines(), 3), with_views("SELECT * FROM doc_lines WHERE line_no <= 3", "doc_lines")),
     "t02_masked_patterns": (masked, with_views("SELECT pattern, count, priority, level, sample, first_seen, last_seen, n_files FROM patterns", "event_lines", more=MASKED_AGG)),

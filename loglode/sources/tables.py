@@ -47,6 +47,12 @@ def _manifest(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("archive_id").agg(F.max(F.struct("seq", "run")).alias("last")).select("archive_id", "last.run", "last.seq")
 
 
+def enter_run(spark: SparkSession, path: str, run: str, archives: DataFrame) -> None:
+    """One more manifest file, which Spark's commit renames into place: from now on the run holds these archives."""
+    seq = (_manifest(spark, path).agg(F.max("seq")).first()[0] or 0) + 1
+    archives.distinct().select("archive_id", F.lit(run).alias("run"), F.lit(seq).cast("bigint").alias("seq")).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+
+
 def write_report(events: DataFrame, reports: DataFrame, path: str) -> str:
     """Events and reports of a run, which replace those of its own archives at one instant; gives the run's name.
 
@@ -60,9 +66,7 @@ def write_report(events: DataFrame, reports: DataFrame, path: str) -> str:
     for df, name in ((events, "events"), (reports, "reports")):
         df.sortWithinPartitions("archive_id").write.parquet(f"{path}/runs/{run}/{name}")
     read = [spark.read.schema(df.schema).parquet(f"{path}/runs/{run}/{name}") for df, name in ((events, "events"), (reports, "reports"))]
-    seq = (_manifest(spark, path).agg(F.max("seq")).first()[0] or 0) + 1
-    mine = read[0].select("archive_id").union(read[1].select("archive_id")).distinct()
-    mine.select("archive_id", F.lit(run).alias("run"), F.lit(seq).cast("bigint").alias("seq")).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    enter_run(spark, path, run, read[0].select("archive_id").union(read[1].select("archive_id")))
     return run
 
 
