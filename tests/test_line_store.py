@@ -22,7 +22,7 @@ def scanned(df):
         node = todo.pop()
         if node.nodeName().startswith("Scan"):
             out += node.metrics().apply("numOutputRows").value()
-        todo += [node.executedPlan()] if node.nodeName() == "AdaptiveSparkPlan" else []
+        todo += [node.executedPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.plan()] if node.nodeName().endswith("QueryStage") else []
         children = node.children()
         todo += [children.apply(i) for i in range(children.size())]
     return out
