@@ -97,3 +97,76 @@ def offline_stream(heartbeats: DataFrame, seconds: float = 12.0) -> DataFrame:
 
     schema = "node_id string, alarm_type string, action string, last_seen timestamp"
     return heartbeats.groupBy("node_id").applyInPandasWithState(walk, schema, "seen long, away boolean", "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def _micros(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, dict]]:
+    for b in batches:
+        for row in b[b["ts"].notna()].to_dict("records"):
+            yield int(row["ts"].value // 1000), row
+
+
+def _wake(state: GroupState, instants: list[int]) -> None:
+    """Come back once the watermark has passed the first of these instants (microseconds)."""
+    if instants:
+        state.setTimeoutTimestamp(max(min(instants) // 1000, state.getCurrentWatermarkMs()))
+
+
+def hysteresis_by_event_time(signals: DataFrame, watermark: str = WATERMARK) -> DataFrame:
+    """Append mode: operators.alarms.hysteresis of a signal stream, whatever order and speed rows come in.
+
+    A row waits in its key's state until the watermark has passed it, so rows go out in order of (ts, signal), holds
+    first at equal times, and a replay gives what the table gives for all rows before the watermark.  State is the held
+    signal and the rows of about one watermark delay (of one batch, where a batch spans more).  Rows behind the
+    watermark are dropped by Spark; rows without a time have no place and are left out.
+    """
+
+    def walk(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, at, said = state.get if state.exists else (None, [], [])
+        rows = list(zip(at, said))
+        if not state.hasTimedOut:
+            rows += [(us, r["signal"] if isinstance(r["signal"], str) else None) for us, r in _micros(batches)]
+        now = state.getCurrentWatermarkMs() * 1000
+        out, later = [], [r for r in rows if r[0] >= now]
+        for us, signal in sorted((r for r in rows if r[0] < now), key=lambda r: (r[0], r[1] or "")):
+            held = signal or held
+            out.append((key[0], pd.Timestamp(us * 1000), key[1], signal, held))
+        state.update((held, [us for us, _ in later], [x for _, x in later]))
+        _wake(state, [us for us, _ in later])
+        yield pd.DataFrame(out, columns=["node_id", "ts", "alarm_type", "signal", "state"])
+
+    grouped = signals.withWatermark("ts", watermark).groupBy("node_id", "alarm_type")
+    schema, kept = "node_id string, ts timestamp, alarm_type string, signal string, state string", "held string, at array<bigint>, said array<string>"
+    return grouped.applyInPandasWithState(walk, schema, kept, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def offline_by_event_time(heartbeats: DataFrame, seconds: float = 12.0, watermark: str = WATERMARK) -> DataFrame:
+    """Append mode: operators.alarms.offline_events of a heartbeat stream, by the heartbeats' own times.
+
+    (node_id, alarm_type, action, ts): a report `seconds` after the last heartbeat once the watermark has passed that
+    instant, and a resolve at the heartbeat that ends a silence.  Heartbeats wait for the watermark as in
+    hysteresis_by_event_time, so a replay at any speed gives the batch result of all heartbeats before the watermark W,
+    with W as its `now`.  The watermark is the whole stream's: a silent node is reported because others go on.
+    """
+    wait = round(seconds * 1e6)
+
+    def walk(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, away, at = state.get if state.exists else (None, False, [])
+        rows = list(at) + ([] if state.hasTimedOut else [us for us, _ in _micros(batches)])
+        now = state.getCurrentWatermarkMs() * 1000
+        out, later = [], [us for us in rows if us >= now]
+        for us in [*sorted(us for us in rows if us < now), None]:
+            until = now if us is None else us
+            if seen is not None and not away and until - seen > wait:
+                away = True
+                out.append(("report", seen + wait))
+            if us is not None:
+                if away:
+                    out.append(("resolve", us))
+                seen, away = us, False
+        state.update((seen, away, later))
+        _wake(state, later + ([seen + wait] if seen is not None and not away else []))
+        yield pd.DataFrame([(key[0], "NODE_OFFLINE", action, pd.Timestamp(us * 1000)) for action, us in out], columns=["node_id", "alarm_type", "action", "ts"])
+
+    grouped = heartbeats.withWatermark("ts", watermark).groupBy("node_id")
+    schema = "node_id string, alarm_type string, action string, ts timestamp"
+    return grouped.applyInPandasWithState(walk, schema, "seen bigint, away boolean, at array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
