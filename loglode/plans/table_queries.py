@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import alarms as A
@@ -9,6 +12,8 @@ from ..operators import capacity as O
 from ..operators import evidence as K
 from ..operators import series as C
 from ..schema import RetentionConfig
+from ..scratch import shared_folder
+from ..streaming import alarms as stream
 from .line_queries import MASKED, STRIPPED
 from .search_queries import WEIGHT, diagnosed, events
 from .views import Views, with_views
@@ -159,6 +164,53 @@ def gaps(spark, d):
     return A.offline_gaps(Views(spark, d).node_heartbeats(), "2024-02-01", GAP_S)
 
 
+class Replay(Views):
+    """The views over streams of the tables' files."""
+
+    def table(self, name: str) -> DataFrame:
+        path = f"{self.dir}/{name}.parquet"
+        df = self.spark.readStream.schema(self.spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path + "*")  # a file source takes a single file by a pattern only
+        return df.withColumns({c: F.col(c).cast("timestamp") for c, t in df.dtypes if t == "timestamp_ntz"})
+
+
+def replayed(spark, rows: DataFrame) -> DataFrame:
+    """What a stream has put out once all there is was read."""
+    path = f"{shared_folder(spark).rstrip('/')}/replay-{uuid.uuid4().hex}"
+    q = rows.writeStream.format("parquet").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{path}/checkpoint").start(f"{path}/rows")
+    q.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{path}/rows")
+
+
+def hold_replay(spark, d):
+    out = stream.hysteresis_by_event_time(A.health_signals(Replay(spark, d).node_heartbeats()))
+    return replayed(spark, out).select("node_id", F.unix_micros("ts").alias("us"), "alarm_type", "signal", "state")
+
+
+def offline_replay(spark, d):
+    out = stream.offline_by_event_time(Replay(spark, d).node_heartbeats(), GAP_S)
+    return replayed(spark, out).select("node_id", "alarm_type", "action", F.unix_micros("ts").alias("us"))
+
+
+# What streams have put out when their input ends: all before the watermark, one minute behind the latest millisecond.
+WATERMARK_SQL = "mark AS (SELECT (epoch_us(max(ts)) // 1000 - 60000) * 1000 AS us FROM events)"
+HOLD_REPLAY_SQL = with_views(
+    """SELECT node_id, epoch_us(ts) AS us, alarm_type, signal, last_value(signal IGNORE NULLS) OVER (PARTITION BY node_id, alarm_type ORDER BY ts, signal NULLS FIRST ROWS UNBOUNDED PRECEDING) AS state FROM (
+  SELECT node_id, ts, 'DISK_FULL' AS alarm_type, CASE WHEN disk_free_mb <= 0 THEN NULL WHEN disk_free_mb < 1024 THEN 'report' WHEN disk_free_mb > 2048 THEN 'resolve' END AS signal FROM node_heartbeats
+  UNION ALL SELECT node_id, ts, 'HIGH_MEMORY', CASE WHEN mem_used_mb / mem_total_mb > 0.92 THEN 'report' WHEN mem_used_mb / mem_total_mb < 0.80 THEN 'resolve' END FROM node_heartbeats)
+WHERE epoch_us(ts) < (SELECT us FROM mark)""",
+    "heartbeats",
+    more=WATERMARK_SQL,
+)
+OFFLINE_REPLAY_SQL = with_views(
+    f"""SELECT node_id, 'NODE_OFFLINE' AS alarm_type, action, us FROM (
+  SELECT node_id, 'report' AS action, at + {int(GAP_S)} * 1000000 AS us FROM silences UNION ALL SELECT node_id, 'resolve', back FROM silences WHERE back IS NOT NULL)""",
+    "heartbeats",
+    more=WATERMARK_SQL
+    + f""", silences AS (SELECT * FROM (SELECT node_id, epoch_us(ts) AS at, lead(epoch_us(ts)) OVER (PARTITION BY node_id ORDER BY ts) AS back FROM node_heartbeats WHERE epoch_us(ts) < (SELECT us FROM mark))
+  WHERE coalesce(back, (SELECT us FROM mark)) - at > {GAP_S} * 1e6)""",
+)
+
+
 def after_actions(spark, d):
     """Every open alarm on DISK_FULL acknowledged, on HIGH_MEMORY resolved, others deleted; resolved ones cleared."""
     e = Views(spark, d).alarm_events()
@@ -254,6 +306,8 @@ WHERE (disk_used_mb - prior_mb) / disk_total_mb * 100 > 75""", "archives")),
     "a01_health_signals": (signals, SIGNALS_SQL),
     "a02_debounce": (lambda s, d: A.debounce(Views(s, d).alarm_events().where("action = 'report'"), 86_400).select("node_id", "alarm_type", "seq"), DEBOUNCE_SQL),
     "a03_alarms": (lambda s, d: micros(alarms(s, d)).select("node_id", "alarm_type", "episode", "severity", "title", "message", "status", "count", "first_us", "last_us", "resolved_us"), with_views("SELECT * FROM alarms", "alarm_events", more=FROM_EVENTS)),
+    "a01_hold_replay": (hold_replay, HOLD_REPLAY_SQL),
+    "a04_offline_replay": (offline_replay, OFFLINE_REPLAY_SQL),
     "a04_offline_gaps": (lambda s, d: gaps(s, d).select("node_id", F.unix_micros("ts").alias("us"), F.unix_micros("back_at").alias("back_us")), with_views("SELECT node_id, epoch_us(ts) AS us, epoch_us(back_at) AS back_us FROM gaps", "heartbeats", more=GAPS)),
     "a05_offline_alarms": (lambda s, d: micros(A.aggregate_alarms(A.offline_events(gaps(s, d), GAP_S))).select("node_id", "episode", "status", "count", "first_us", "resolved_us"), with_views("SELECT node_id, episode, status, count, first_us, resolved_us FROM alarms", "heartbeats", more=GAPS + ", " + EPISODES.format(source="offline"))),
     "a06_actions": (after_actions, with_views("SELECT node_id, alarm_type, status, count FROM alarms WHERE status <> 'resolved'", "alarm_events", more="acted AS (SELECT * FROM alarm_events UNION ALL SELECT node_id, alarm_type, '', '', '', CASE alarm_type WHEN 'DISK_FULL' THEN 'ack' WHEN 'HIGH_MEMORY' THEN 'resolve' ELSE 'delete' END, max(ts), max(seq) + 1 FROM alarm_events GROUP BY 1, 2), " + EPISODES.format(source="acted"))),

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.alarms import health_signals
@@ -99,10 +100,9 @@ def offline_stream(heartbeats: DataFrame, seconds: float = 12.0) -> DataFrame:
     return heartbeats.groupBy("node_id").applyInPandasWithState(walk, schema, "seen long, away boolean", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def _micros(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, dict]]:
-    for b in batches:
-        for row in b[b["ts"].notna()].to_dict("records"):
-            yield int(row["ts"].value // 1000), row
+def _timed(rows: DataFrame, watermark: str, *columns: str) -> DataFrame:
+    """Rows with their time as `us`, microseconds as the watermark counts them whatever the session's time zone."""
+    return rows.withWatermark("ts", watermark).where("ts IS NOT NULL").select(*columns, "ts", F.unix_micros("ts").alias("us"))
 
 
 def _wake(state: GroupState, instants: list[int]) -> None:
@@ -124,19 +124,20 @@ def hysteresis_by_event_time(signals: DataFrame, watermark: str = WATERMARK) ->
         held, at, said = state.get if state.exists else (None, [], [])
         rows = list(zip(at, said))
         if not state.hasTimedOut:
-            rows += [(us, r["signal"] if isinstance(r["signal"], str) else None) for us, r in _micros(batches)]
+            rows += [(int(us), x if isinstance(x, str) else None) for b in batches for us, x in zip(b["us"], b["signal"])]
         now = state.getCurrentWatermarkMs() * 1000
         out, later = [], [r for r in rows if r[0] >= now]
         for us, signal in sorted((r for r in rows if r[0] < now), key=lambda r: (r[0], r[1] or "")):
             held = signal or held
-            out.append((key[0], pd.Timestamp(us * 1000), key[1], signal, held))
+            out.append((*key, us, signal, held))
         state.update((held, [us for us, _ in later], [x for _, x in later]))
         _wake(state, [us for us, _ in later])
-        yield pd.DataFrame(out, columns=["node_id", "ts", "alarm_type", "signal", "state"])
+        yield pd.DataFrame(out, columns=["node_id", "alarm_type", "us", "signal", "state"])
 
-    grouped = signals.withWatermark("ts", watermark).groupBy("node_id", "alarm_type")
-    schema, kept = "node_id string, ts timestamp, alarm_type string, signal string, state string", "held string, at array<bigint>, said array<string>"
-    return grouped.applyInPandasWithState(walk, schema, kept, "append", GroupStateTimeout.EventTimeTimeout)
+    grouped = _timed(signals, watermark, "node_id", "alarm_type", "signal").groupBy("node_id", "alarm_type")
+    schema, kept = "node_id string, alarm_type string, us bigint, signal string, state string", "held string, at array<bigint>, said array<string>"
+    out = grouped.applyInPandasWithState(walk, schema, kept, "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select("node_id", F.timestamp_micros("us").alias("ts"), "alarm_type", "signal", "state")
 
 
 def offline_by_event_time(heartbeats: DataFrame, seconds: float = 12.0, watermark: str = WATERMARK) -> DataFrame:
@@ -151,7 +152,7 @@ def offline_by_event_time(heartbeats: DataFrame, seconds: float = 12.0, watermar
 
     def walk(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen, away, at = state.get if state.exists else (None, False, [])
-        rows = list(at) + ([] if state.hasTimedOut else [us for us, _ in _micros(batches)])
+        rows = list(at) + ([] if state.hasTimedOut else [int(us) for b in batches for us in b["us"]])
         now = state.getCurrentWatermarkMs() * 1000
         out, later = [], [us for us in rows if us >= now]
         for us in [*sorted(us for us in rows if us < now), None]:
@@ -165,8 +166,8 @@ def offline_by_event_time(heartbeats: DataFrame, seconds: float = 12.0, watermar
                 seen, away = us, False
         state.update((seen, away, later))
         _wake(state, later + ([seen + wait] if seen is not None and not away else []))
-        yield pd.DataFrame([(key[0], "NODE_OFFLINE", action, pd.Timestamp(us * 1000)) for action, us in out], columns=["node_id", "alarm_type", "action", "ts"])
+        yield pd.DataFrame([(key[0], action, us) for action, us in out], columns=["node_id", "action", "us"])
 
-    grouped = heartbeats.withWatermark("ts", watermark).groupBy("node_id")
-    schema = "node_id string, alarm_type string, action string, ts timestamp"
-    return grouped.applyInPandasWithState(walk, schema, "seen bigint, away boolean, at array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+    grouped = _timed(heartbeats, watermark, "node_id").groupBy("node_id")
+    out = grouped.applyInPandasWithState(walk, "node_id string, action string, us bigint", "seen bigint, away boolean, at array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select("node_id", F.lit("NODE_OFFLINE").alias("alarm_type"), "action", F.timestamp_micros("us").alias("ts"))

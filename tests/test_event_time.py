@@ -55,11 +55,18 @@ def beats():
 
 def offline(spark, rows, until):
     table = spark.createDataFrame([r for r in rows if r[1] < until], BEATS)
-    return sorted(map(repr, A.offline_events(A.offline_gaps(table, until.strftime("%Y-%m-%d %H:%M:%S"))).select("node_id", "alarm_type", "action", "ts").collect()))
+    return sorted(map(repr, A.offline_events(A.offline_gaps(table, until.strftime("%Y-%m-%d %H:%M:%S+00:00"))).select("node_id", "alarm_type", "action", "ts").collect()))
+
+
+@pytest.fixture(params=["UTC", "America/New_York"])
+def zone(spark, request):
+    spark.conf.set("spark.sql.session.timeZone", request.param)
+    yield request.param
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
 @pytest.mark.parametrize("batches", [1, 5])
-def test_offline_replay_at_any_speed(spark, tmp_path, beats, batches):
+def test_offline_replay_at_any_speed(spark, tmp_path, beats, batches, zone):
     want = offline(spark, beats, at(640))
     assert len(want) > 20 and any("gone" in r for r in want)
     assert replay(spark, beats, BEATS, batches, S.offline_by_event_time, tmp_path) == want
