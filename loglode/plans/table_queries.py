@@ -203,11 +203,11 @@ WHERE epoch_us(ts) < (SELECT us FROM mark)""",
 )
 OFFLINE_REPLAY_SQL = with_views(
     f"""SELECT node_id, 'NODE_OFFLINE' AS alarm_type, action, us FROM (
-  SELECT node_id, 'report' AS action, at + {int(GAP_S)} * 1000000 AS us FROM silences UNION ALL SELECT node_id, 'resolve', back FROM silences WHERE back IS NOT NULL)""",
+  SELECT node_id, 'report' AS action, seen_us + {int(GAP_S)} * 1000000::BIGINT AS us FROM silences UNION ALL SELECT node_id, 'resolve', back FROM silences WHERE back IS NOT NULL)""",
     "heartbeats",
     more=WATERMARK_SQL
-    + f""", silences AS (SELECT * FROM (SELECT node_id, epoch_us(ts) AS at, lead(epoch_us(ts)) OVER (PARTITION BY node_id ORDER BY ts) AS back FROM node_heartbeats WHERE epoch_us(ts) < (SELECT us FROM mark))
-  WHERE coalesce(back, (SELECT us FROM mark)) - at > {GAP_S} * 1e6)""",
+    + f""", silences AS (SELECT * FROM (SELECT node_id, epoch_us(ts) AS seen_us, lead(epoch_us(ts)) OVER (PARTITION BY node_id ORDER BY ts) AS back FROM node_heartbeats WHERE epoch_us(ts) < (SELECT us FROM mark))
+  WHERE coalesce(back, (SELECT us FROM mark)) - seen_us > {GAP_S} * 1e6)""",
 )
 
 
