@@ -11,11 +11,15 @@ from __future__ import annotations
 
 import re
 import string
+from collections.abc import Iterator
 from re import _constants as K
 from re import _parser
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..schema import SearchQuery
 from .search import matching
@@ -146,11 +150,36 @@ def grams_in(text: Column) -> Column:
 
 
 def chunk_gram_index(lines: DataFrame, chunk_lines: int = 15_000) -> DataFrame:
-    """(archive_id, file_path, chunk, grams).  Distinct grams combine before the shuffle; a row is bounded by its chunk."""
-    text = F.translate("content", string.ascii_uppercase, string.ascii_lowercase)
-    rows = lines.select("archive_id", "file_path", chunk_of(chunk_lines).alias("chunk"), grams_in(text).alias("g"))
-    each = rows.select("archive_id", "file_path", "chunk", F.explode_outer("g").alias("gram")).distinct()
-    return each.groupBy("archive_id", "file_path", "chunk").agg(F.array_sort(F.collect_list("gram")).alias("grams"))
+    """(archive_id, file_path, chunk, grams).
+
+    Lines are dealt and sorted by chunk as they are, and a task walks its chunks one after another with one set of
+    grams: no row for each gram is shuffled or aggregated, and what a task holds is one chunk's grams and one batch.
+    """
+    key = ["archive_id", "file_path", "chunk"]
+    text = F.make_valid_utf8(F.translate("content", string.ascii_uppercase, string.ascii_lowercase))
+    rows = lines.select("archive_id", "file_path", chunk_of(chunk_lines).alias("chunk"), text.alias("text"))
+    schema = T.StructType([*rows.select(*key).schema.fields, T.StructField("grams", T.ArrayType(T.StringType()))])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = to_arrow_schema(schema)
+        at, grams, done, held = None, set(), [], 0
+        for b in batches:
+            for *place, t in zip(*(c.to_pylist() for c in b.columns)):
+                if place != at:
+                    if at is not None:
+                        done.append((*at, sorted(grams)))
+                        held += len(grams)
+                        if held > 200_000:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), types)], schema=types)
+                            done, held = [], 0
+                    at, grams = place, set()
+                if t:
+                    grams.update([t[i : i + Q] for i in range(len(t) - Q + 1)])
+        if at is not None:
+            done.append((*at, sorted(grams)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), types)], schema=types)
+
+    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(cut, schema)
 
 
 def passes(plan: Plan, has=lambda gram: F.array_contains("grams", gram)) -> Column:

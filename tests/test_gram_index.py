@@ -78,3 +78,16 @@ def test_pruned_search_equals_the_plain_one(spark):
     assert G.chunks_read(index, asked[4]).first()[:] == (total, total)
     assert G.chunks_read(index.where("false"), asked[0]).first()[:] == (0, 0)
     index.unpersist()
+
+
+def test_index_is_brute_force_without_a_row_for_each_gram(spark):
+    texts = ["Disk 7 FAILED", None, "", "ab", "É😀😀x", "disk 7 failed", "a\rbc"] * 9
+    rows = [("x", f"f{i % 2}.log", i // 2 + 1, t) for i, t in enumerate(texts)] + [("y", "only-null.log", 1, None)]
+    index = G.chunk_gram_index(spark.createDataFrame(rows, "archive_id string, file_path string, line_no long, content string"), 10)
+    want = {}
+    for a, f, n, t in rows:
+        low = (t or "").translate(G.FOLD)
+        want.setdefault((a, f, (n - 1) // 10), set()).update(low[i : i + 3] for i in range(len(low) - 2))
+    assert {tuple(r)[:3]: r.grams for r in index.collect()} == {k: sorted(g) for k, g in want.items()}
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan  # as rows, the grams of 6 GB were more than a task's memory
