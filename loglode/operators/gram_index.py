@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 import string
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from re import _constants as K
 from re import _parser
 
@@ -25,6 +25,7 @@ from ..schema import SearchQuery
 from .search import matching
 
 Q = 3
+COMMON = frozenset(" etaoinsrhl")  # characters that most lines have
 MANY = 32  # strings that one part of a regex may stand for
 Plan = object  # True, a gram, or ("and" | "or", parts)
 FOLD = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -43,9 +44,38 @@ def both(parts, kind: str = "and") -> Plan:
     return True if not parts else parts[0] if len(parts) == 1 else (kind, tuple(parts))
 
 
+def texts_of(texts: set[str]) -> Plan:
+    """What a line asks for that holds one of texts, as whole strings; those shorter than a gram ask for nothing."""
+    return both((t if len(t) >= Q else True for t in sorted(texts)), "or")
+
+
+def in_grams(plan: Plan) -> Plan:
+    """A plan of strings as a plan of their grams."""
+    if isinstance(plan, str):
+        return both(plan[i : i + Q] for i in range(len(plan) - Q + 1))
+    return plan if plan is True else both(map(in_grams, plan[1]), plan[0])
+
+
 def grams_of(texts: set[str]) -> Plan:
     """What a line asks for that holds one of texts."""
-    return both((both(t[i : i + Q] for i in range(len(t) - Q + 1)) for t in sorted(texts)), "or")
+    return in_grams(texts_of(texts))
+
+
+def cover_of(plan: Plan, weights: Mapping[str, int] | None = None) -> list[str]:
+    """Strings of which every line that the plan lets through has one, the cheapest such set; none if nothing is asked for.
+
+    weights says how many lines have a string; without it, those of few and common characters count as frequent.
+    """
+    weight = (lambda g: weights.get(g, 0)) if weights is not None else (lambda g: 4.0 ** (sum(c in COMMON for c in g) - 3 * len(g)))
+    if plan is True:
+        return []
+    if isinstance(plan, str):
+        return [plan]
+    kind, parts = plan
+    ways = [cover_of(p, weights) for p in parts]
+    if kind == "or":
+        return sorted({g for w in ways for g in w}) if all(ways) else []
+    return min((w for w in ways if w), key=lambda w: (sum(map(weight, w)), len(w), w), default=[])
 
 
 class _Part:
@@ -54,11 +84,11 @@ class _Part:
 
     def __init__(self, exact: set[str] | None = None, plan: Plan = True, head: set[str] | None = None, tail: set[str] | None = None):
         self.exact = exact if exact is None or len(exact) <= MANY else None
-        self.plan = plan if self.exact is not None or exact is None else grams_of(exact)
+        self.plan = plan if self.exact is not None or exact is None else texts_of(exact)
         self.head, self.tail = head or {""}, tail or {""}
 
     def asked(self) -> Plan:
-        return grams_of(self.exact) if self.exact is not None else self.plan
+        return texts_of(self.exact) if self.exact is not None else self.plan
 
 
 def _product(a: set[str], b: set[str]) -> set[str] | None:
@@ -71,18 +101,18 @@ def _joined(parts: list[_Part]) -> _Part:
     for p in parts:
         grown = _product(run, p.exact if p.exact is not None else p.head)
         if grown is None:
-            asked.append(grams_of(run))
+            asked.append(texts_of(run))
             head = run if head is None and whole else head
             whole, run = False, p.exact if p.exact is not None else p.head
         else:
             run = grown
         if p.exact is None:
-            asked += [grams_of(run), p.plan]
+            asked += [texts_of(run), p.plan]
             head = run if head is None and whole else head
             whole, run = False, p.tail
     if whole:
         return _Part(exact=run)
-    return _Part(plan=both([*asked, grams_of(run)]), head=head, tail=run)
+    return _Part(plan=both([*asked, texts_of(run)]), head=head, tail=run)
 
 
 def _read(tree) -> _Part:
@@ -124,7 +154,12 @@ def _read(tree) -> _Part:
 
 
 def regex_plan(pattern: str) -> Plan:
-    """What every line asks for in which the pattern is found."""
+    """The grams that every line asks for in which the pattern is found."""
+    return in_grams(text_plan(pattern))
+
+
+def text_plan(pattern: str) -> Plan:
+    """The same in strings as long as they are certain."""
     if re.search(r"\\[vQEhHRXGzbBAZ]\{|\\[vQE]|&&|\[[^\]]*\[|\\[pP]|\[\^?\]", pattern):  # read differently by the two
         return True
     try:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 import string
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,9 +20,8 @@ from ..functions import line as L
 from ..schema import Rule
 from ..scratch import written
 from .diagnose import scan_rules
-from .gram_index import FOLD, Plan, grams_in, grams_of, regex_plan
+from .gram_index import FOLD, Plan, cover_of, grams_in, grams_of, regex_plan
 
-COMMON = frozenset(" etaoinsrhl")  # characters that most lines have
 KEYED = "id string, name string, storage_type string, severity string, pattern string, is_regex boolean, file_path_pattern string, suggestion string, scope string, cover array<string>, needs array<string>"
 
 
@@ -37,23 +36,6 @@ def _asked(pattern: str, is_regex: bool) -> tuple[bool, Plan]:
     return False, grams_of({pattern.translate(FOLD)})
 
 
-def cover_of(plan: Plan, weights: Mapping[str, int] | None = None) -> list[str]:
-    """Grams of which every line that the plan lets through has one, the cheapest such set; none if nothing is asked for.
-
-    weights says how many lines have a gram; without it, grams of rare characters count as rare.
-    """
-    weight = (lambda g: weights.get(g, 0)) if weights is not None else (lambda g: 4 ** sum(c in COMMON for c in g))
-    if plan is True:
-        return []
-    if isinstance(plan, str):
-        return [plan]
-    kind, parts = plan
-    ways = [cover_of(p, weights) for p in parts]
-    if kind == "or":
-        return sorted({g for w in ways for g in w}) if all(ways) else []
-    return min((w for w in ways if w), key=lambda w: (sum(map(weight, w)), len(w), w), default=[])
-
-
 def needs_of(plan: Plan) -> set[str]:
     """Grams that every line has which the plan lets through."""
     if plan is True:
