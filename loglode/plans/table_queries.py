@@ -252,7 +252,7 @@ def document(spark, d):
     from ..operators.diagnose import diagnose
     from .views import RULES_SMALL
 
-    found, report = diagnose(Views(spark, d).event_lines(), RULES_SMALL)
+    found, report = diagnose(Views(spark, d).event_lines(), RULES_SMALL, once=True)
     marked = K.suppress_noise(found, NOISE)
     ok = marked.where("ignored_by IS NULL")
     return K.evidence_document(report, marked, K.match_glossary(ok, GLOSSARY, report), K.project_workflow(ok, FLOWS))

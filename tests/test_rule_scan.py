@@ -25,3 +25,12 @@ def test_events_are_those_of_each_rule_alone(spark):
 
 def test_a_rule_certain_of_nothing_keeps_every_line(spark):
     assert D.certain_strings([*DEFAULT_RULES, Rule("any", "any", "Generic", "INFO", "[a-z]+")]) == []
+
+
+def test_events_written_once_are_not_scanned_again(spark):
+    lines = spark.createDataFrame([("x", "a.log", i, t) for i, t in enumerate(["osd.7 marked down", "ok", "split-brain"])], LINES)
+    events, report = D.diagnose(lines, DEFAULT_RULES, once=True)
+    plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in (events, report)]
+    assert not any("RLIKE" in p and "marked down" in p for p in plans)
+    want = D.diagnose(lines, DEFAULT_RULES)
+    assert rows(events) == rows(want[0]) and rows(report.drop("severity_summary")) == rows(want[1].drop("severity_summary"))
