@@ -70,10 +70,8 @@ def template_level(content: Column) -> Column:
     """Level by the first level word after the leading timestamp."""
     word = F.upper(F.regexp_extract(strip_timestamp(content), f"(?i){LEFT}({LEVEL_WORDS}){RIGHT}", 1))
     pairs = [("WARN", ["WARN", "WARNING", "WRN"]), ("ERROR", ["ERROR", "ERR"]), ("FATAL", ["FATAL", "FTL", "CRIT", "CRITICAL"]), ("DEBUG", ["DEBUG", "DBG"]), ("TRACE", ["TRACE", "TRC"])]
-    out = F.lit("INFO")
-    for level, words in pairs:
-        out = F.when(word.isin(words), level).otherwise(out)
-    return out
+    known = F.create_map(*[F.lit(x) for level, words in pairs for w in words for x in (w, level)])
+    return F.coalesce(F.try_element_at(known, word), F.lit("INFO"))  # one look-up: in a chain of tests each would run the regex anew
 
 
 def level_priority(level: Column) -> Column:
