@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -28,15 +28,13 @@ def masked_patterns(lines: DataFrame, rules: Sequence[PreprocessRule] = (), by:
     Counts and extremes combine before the shuffle; only distinct patterns reach anything else.
     """
     p = lines.where(F.trim("content") != "").withColumn("p", L.preprocess(F.col("content"), rules))
-    place = F.struct("file_path", "line_no")
-    top = F.max(L.level_priority(F.col("p.level")))
-    grouped = p.groupBy(*by, F.col("p.cleaned").alias("pattern")).agg(
-        F.count(F.lit(1)).alias("count"), top.alias("priority"), F.max_by("p.level", F.struct(L.level_priority(F.col("p.level")), "p.level")).alias("level"),
-        F.min(place).alias("first"), F.min_by("content", place).alias("sample"),
-        F.min_by("p.ts", place).alias("first_seen"), F.max_by("p.ts", place).alias("last_seen"), F.max(place).alias("last"),
-        F.array_sort(F.collect_set("file_path")).alias("files"),
+    rows = p.select(*by, F.col("p.cleaned").alias("pattern"), L.level_priority(F.col("p.level")).alias("priority"), F.col("p.level").alias("level"), "file_path", "line_no", F.col("content").alias("sample"), F.col("p.ts").alias("ts"))
+    # One struct a place: its other fields come along, so each line is compared once for all of them.
+    grouped = rows.groupBy(*by, "pattern").agg(
+        F.count(F.lit(1)).alias("count"), F.max(F.struct("priority", "level")).alias("top"), F.min(F.struct("file_path", "line_no", "sample", "ts")).alias("first"),
+        F.max(F.struct("file_path", "line_no", "ts")).alias("last"), F.array_sort(F.collect_set("file_path")).alias("files"),
     )
-    return grouped.select(*by, "pattern", "count", "level", "priority", "sample", F.col("first.file_path").alias("sample_file"), F.col("first.line_no").alias("sample_line"), "first_seen", "last_seen", F.col("last.file_path").alias("last_file"), F.col("last.line_no").alias("last_line"), "files")
+    return grouped.select(*by, "pattern", "count", "top.level", "top.priority", "first.sample", F.col("first.file_path").alias("sample_file"), F.col("first.line_no").alias("sample_line"), F.col("first.ts").alias("first_seen"), F.col("last.ts").alias("last_seen"), F.col("last.file_path").alias("last_file"), F.col("last.line_no").alias("last_line"), "files")
 
 
 def _leaf_token(token):
@@ -85,8 +83,8 @@ def leaf_parts(rows: DataFrame, similarity: float = 0.55, pair_limit: int = 64)
     return rows.select("id").join(labels, "id", "left").select("id", F.coalesce("part", "id").alias("part"))
 
 
-def greedy_clusters(tokens: Sequence[Sequence[str]], similarity: float) -> tuple[list[int], list[list[str]]]:
-    """The cluster of each pattern (equally long lists, in order), and the clusters' templates.
+def greedy_steps(tokens: Sequence[Sequence[str]], similarity: float) -> Iterator[tuple[int, list[str]]]:
+    """The cluster of each pattern (equally long lists, in order), and that cluster's template after it has joined.
 
     A pattern joins the cluster whose template agrees with it at most positions (the first of equals), if that is
     `similarity` of them or more; positions that differ become <*>.  Clusters that can agree so far are found by the
@@ -94,12 +92,15 @@ def greedy_clusters(tokens: Sequence[Sequence[str]], similarity: float) -> tuple
     """
     size = len(tokens[0])
     need = next(k for k in range(size + 2) if k / size >= similarity or k > size)
-    codes: dict[str, int] = {"<*>": 0}
+    codes, names = {"<*>": 0}, ["<*>"]
     known = np.zeros((16, size), np.int32)  # a row of token codes for each cluster
     places: dict[tuple[int, int], list[int]] = {}
-    out, n = [], 0
+    n = 0
     for pattern in tokens:
-        mine = np.array([codes.setdefault(x, len(codes)) for x in pattern], np.int32)
+        for x in pattern:
+            if codes.setdefault(x, len(names)) == len(names):
+                names.append(x)
+        mine = np.array([codes[x] for x in pattern], np.int32)
         own = [(i, c) for i, c in enumerate(mine.tolist()) if c]
         least = need - (size - len(own))
         some = None
@@ -118,9 +119,111 @@ def greedy_clusters(tokens: Sequence[Sequence[str]], similarity: float) -> tuple
             known[at] = mine
             for k in own:
                 places.setdefault(k, []).append(at)
+        yield at, [names[c] for c in known[at].tolist()]
+
+
+def greedy_clusters(tokens: Sequence[Sequence[str]], similarity: float) -> tuple[list[int], list[list[str]]]:
+    """The cluster of each pattern, and the clusters' templates."""
+    out, found = [], {}
+    for at, template in greedy_steps(tokens, similarity):
         out.append(at)
-    names = list(codes)
-    return out, [[names[c] for c in row] for row in known[:n].tolist()]
+        found[at] = template
+    return out, [found[c] for c in range(len(found))]
+
+
+def _coded(patterns: pd.Series, templates: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Token codes of patterns and of templates, <*> as 0."""
+    rows = patterns.tolist() + templates.tolist()
+    flat = np.array(["<*>", *(x for r in rows for x in r)], object)
+    codes = pd.factorize(flat)[0][1:].astype(np.int32).reshape(len(rows), -1)
+    return codes[: len(patterns)], codes[len(patterns) :]
+
+
+def _turns(p: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """The patterns of one leaf whose turn opens or changes a cluster, with the cluster's number and its tokens from then on."""
+    p = p.sort_values(["sample_file", "sample_line", "pattern"]).reset_index(drop=True)
+    at, tokens, cluster = [], [], []
+    known: list[list[str]] = []
+    for i, (c, found) in enumerate(greedy_steps(p["tokens"].tolist(), similarity)):
+        if c == len(known) or known[c] != found:
+            known[c : c + 1] = [found]
+            at.append(i), tokens.append(found), cluster.append(c)
+    out = p.loc[at, ["leaf", "id", "sample_file", "sample_line", "pattern"]]
+    return out.assign(cluster=np.array(cluster, np.int64), found=tokens)
+
+
+def _held(p: pd.DataFrame, turns: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """(id, cluster, kept) of some patterns of a leaf, given its turns: the cluster each joins at its own time, and whether
+    it does so without changing anything, which is what the turns say of it."""
+    place = ["sample_file", "sample_line", "pattern"]
+    if p.empty or turns.empty:
+        return pd.DataFrame({"id": p["id"], "cluster": np.full(len(p), -1), "kept": np.zeros(len(p), bool)})
+    turns = turns.sort_values(place).reset_index(drop=True)
+    mine, theirs = _coded(p["tokens"], turns["found"])
+    size = mine.shape[1]
+    need = next(k for k in range(size + 2) if k / size >= similarity or k > size)
+    both = pd.concat([turns[place].assign(turn=range(len(turns))), p[place].assign(turn=-1)], ignore_index=True)
+    both["at"] = [*([-1] * len(turns)), *range(len(p))]
+    both = both.sort_values(place, kind="stable")
+    seen = np.maximum.accumulate(both["turn"].to_numpy())
+    own = both["at"].to_numpy() >= 0
+    after = np.empty(len(p), np.int64)  # the last turn before a pattern, or its own
+    after[both["at"].to_numpy()[own]] = seen[own]
+    turn_of = dict(zip(turns["id"].tolist(), range(len(turns))))
+    cluster, kept = np.full(len(p), -1), np.zeros(len(p), bool)
+    known = np.zeros((0, size), np.int32)
+    number = turns["cluster"].to_numpy()
+    order = np.argsort(after, kind="stable")
+    starts = np.searchsorted(after[order], np.arange(len(turns) + 1))
+    for k in range(len(turns)):
+        known = np.vstack([known, theirs[k : k + 1]]) if number[k] == len(known) else known
+        known[number[k]] = theirs[k]
+        step = max(1, 20_000_000 // known.size)
+        for a in range(starts[k], starts[k + 1], step):
+            some = order[a : min(a + step, starts[k + 1])]
+            same = (mine[some][:, None, :] == known[None]).sum(axis=2)
+            best = same.argmax(axis=1)
+            fits = ((known[best] == mine[some]) | (known[best] == 0)).all(axis=1)
+            cluster[some], kept[some] = best, (same.max(axis=1) >= need) & fits
+    for i, x in enumerate(p["id"].tolist()):
+        if x in turn_of:
+            cluster[i], kept[i] = number[turn_of[x]], True
+    return pd.DataFrame({"id": p["id"].to_numpy(), "cluster": cluster, "kept": kept})
+
+
+def _walked_apart(rows: DataFrame, similarity: float, rows_per_shard: int, leaf_limit: int) -> tuple[DataFrame | None, DataFrame]:
+    """(id, first_id, template) of leaves that few patterns change, and the leaves (leaf) that are left.
+
+    Shards of a leaf are walked alone; the patterns that change something there are walked together, which gives turns.
+    Then every pattern is held against the clusters as the turns say they were at its time.  One that would change
+    something joins those walked together, and all is done again until there is none.  The first such pattern in order is
+    always one of the true walk, so what is left without one is the walk over the whole leaf, pattern by pattern.
+    """
+    sizes = rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.first("tokens").alias("x"))
+    shard = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / rows_per_shard)).alias("shard")
+    dealt = written(rows.join(F.broadcast(sizes.select("leaf", "n")), "leaf").select(*rows.columns, "n", shard), "dealt")
+    turn = "leaf string, id long, sample_file string, sample_line long, pattern string, cluster long, found array<string>"
+    alone = written(dealt.groupBy("leaf", "shard").applyInPandas(lambda p: _turns(p, similarity), turn), "turns").select("leaf", "id")
+    few = alone.groupBy("leaf").agg(F.count(F.lit(1)).alias("turns")).join(sizes, "leaf").where(F.col("turns") <= F.greatest(F.lit(leaf_limit), 16 * F.ceil(F.col("n") / rows_per_shard))).where(F.col("turns") < F.col("n") / 2)
+    few = written(few.select("leaf"), "leaves")
+    rest = sizes.select("leaf").join(few, "leaf", "left_anti")
+    if few.isEmpty():
+        return None, rest
+    dealt = dealt.join(few, "leaf", "left_semi")
+    chunks = dealt.select("leaf", "shard").distinct()
+    asked = alone.join(few, "leaf", "left_semi").select("id")
+    while True:
+        turns = written(dealt.join(asked, "id", "left_semi").groupBy("leaf").applyInPandas(lambda p: _turns(p, similarity), turn), "turns")
+        sent = written(turns.join(chunks, "leaf"), "sent")
+        held = dealt.groupBy("leaf", "shard").cogroup(sent.groupBy("leaf", "shard")).applyInPandas(lambda p, q: _held(p, q, similarity), "id long, cluster long, kept boolean")
+        held = written(held, "held")
+        odd = held.where("NOT kept").select("id")
+        if odd.isEmpty():
+            break
+        asked = written(asked.unionByName(odd).distinct(), "asked")
+    place = F.struct("sample_file", "sample_line", "pattern")
+    clusters = turns.groupBy("leaf", "cluster").agg(F.min_by("id", place).alias("first_id"), F.array_join(F.max_by("found", place), " ").alias("template"))
+    return dealt.select("id", "leaf").join(held, "id").join(clusters, ["leaf", "cluster"]).select("id", "first_id", "template"), rest
 
 
 def merge_templates(masked: DataFrame, similarity: float = 0.55, depth: int = 4, wildcard_fallback: bool = False, by: Sequence[str] = (), leaf_limit: int = 10_000, rows_per_shard: int = 10_000) -> DataFrame:
@@ -128,20 +231,29 @@ def merge_templates(masked: DataFrame, similarity: float = 0.55, depth: int = 4,
 
     Patterns come in order of their first place; one joins the most similar cluster of its leaf if at least
     `similarity` of the positions agree, and differing positions become <*>.  Leaves of more than `leaf_limit` patterns
-    are split into parts that cannot influence each other (leaf_parts), so the clusters are those of one walk over the
-    leaf, whatever the limit.  Only tokens and places go through Python; counts, levels and files are joined back and
+    are walked in shards where few patterns change a cluster (_walked_apart), else split into parts that cannot influence
+    each other (leaf_parts), so the clusters are those of one walk over the leaf, whatever the limit.  Only tokens and places go through Python; counts, levels and files are joined back and
     aggregated by Spark.  wildcard_fallback sends a pattern whose last leaf token is alone in its leaf to the leaf that
     has <*> there, when there is one.
     """
+    masked = written(masked, "masked") if wildcard_fallback else masked
     t = written(_with_leaf(masked, depth, wildcard_fallback, by).withColumn("id", F.monotonically_increasing_id()), "patterns")
     group = F.concat_ws("\x02", *[F.coalesce(F.col(c).cast("string"), F.lit("\x03")) for c in by], "leaf")
     rows = t.select("id", group.alias("leaf"), "tokens", "pattern", "sample_file", "sample_line")
     big = rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > leaf_limit).select("leaf")
+    apart = None
     if big.isEmpty():
         rows = rows.withColumn("part", F.lit(0).cast("long"))
     else:
-        parts = leaf_parts(rows.join(big, "leaf", "left_semi"), similarity)
-        rows = rows.join(parts, "id", "left").withColumn("part", F.coalesce("part", F.lit(0).cast("long")))
+        big = written(big, "big")
+        apart, rest = _walked_apart(rows.join(big, "leaf", "left_semi"), similarity, rows_per_shard, leaf_limit)
+        rest = written(rest, "rest")
+        small = rows.join(big, "leaf", "left_anti").withColumn("part", F.lit(0).cast("long"))
+        if rest.isEmpty():
+            rows = small
+        else:
+            large = rows.join(rest, "leaf", "left_semi")
+            rows = small.unionByName(large.join(leaf_parts(large, similarity), "id"))
 
     def walk(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["leaf", "part", "sample_file", "sample_line", "pattern"])
@@ -157,6 +269,7 @@ def merge_templates(masked: DataFrame, similarity: float = 0.55, depth: int = 4,
     shards = -(-t.count() // rows_per_shard)  # small parts share a task
     shard = F.pmod(F.xxhash64("leaf", "part"), F.lit(max(1, shards)))
     walked = rows.groupBy(shard.alias("shard")).applyInPandas(walk, "id long, first_id long, template string")
+    walked = walked if apart is None else walked.unionByName(apart)
     place, last = F.struct("sample_file", "sample_line", "pattern"), F.struct("last_file", "last_line")
     out = t.join(walked, "id").groupBy(*by, "first_id").agg(
         F.min("template").alias("template"), F.sum("count").alias("count"), F.min_by("level", F.struct(-F.col("priority"), place)).alias("level"),
@@ -173,6 +286,7 @@ def match_templates(masked: DataFrame, known: DataFrame, similarity: float = 0.5
     A pattern meets the templates of its leaf (token count and first tokens) that share one of its rarest tokens at the
     same position, as many as it can lack and still agree; where its own <*> positions might do alone, all of its leaf.
     """
+    masked = written(masked, "masked")
     rows = _with_leaf(masked, depth, False, ()).select("pattern", "tokens", F.xxhash64("leaf").alias("leaf")).withColumn("id", F.xxhash64("pattern"))
     stored = _with_leaf(known.select("pattern").distinct(), depth, False, ()).select(F.col("pattern").alias("template"), F.col("tokens").alias("stored"), F.xxhash64("leaf").alias("leaf"))
     fixed = lambda t, c: t.select("*", F.posexplode(c).alias("pos", "token")).where("token <> '<*>'").withColumn("item", F.xxhash64("leaf", "pos", "token"))
