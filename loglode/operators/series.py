@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import line as L
 from ..schema import METRICS
+from ..scratch import written
 from .running import running
 
 KEYS = ["file_path", "series"]
@@ -89,20 +90,23 @@ def _with_idx(rows: DataFrame) -> DataFrame:
 def parse_iostat(lines: DataFrame, devices: int | None = None) -> DataFrame:
     """Device utilisation: a time line sets the time; a data line has 12 fields or more and ends with %util.
 
-    Only time and data lines are run over; `devices` keeps that many devices of a file, the first by name.
+    Only time and data lines are run over, parsed once and dealt once for times and places; `devices` keeps that many
+    devices of a file, the first by name.
     """
     text = F.trim("content")
     rows = lines.select("file_path", "line_no", text.alias("s"))
     time = r"^(?:Time:\s+)?(\d{2}:\d{2}:\d{2}|\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2})"
     rows = rows.withColumn("t0", F.nullif(F.regexp_extract("s", time, 1), F.lit(""))).withColumn("f", F.split("s", r"\s+"))
     value = F.when(F.col("t0").isNull() & (F.size("f") >= 12) & ~F.col("s").startswith("Device") & ~F.col("s").startswith("avg-cpu"), F.element_at("f", -1).try_cast("double"))
-    rows = rows.withColumn("value", value).where("t0 IS NOT NULL OR value IS NOT NULL")
-    rows = running(rows.withColumn("series", F.get("f", F.lit(0))).drop("s", "f"), ["file_path"], ["line_no"], lasts={"t": "t0"}).where("value IS NOT NULL")
+    rows = written(rows.select("file_path", "line_no", "t0", value.alias("value"), F.get("f", F.lit(0)).alias("series")), "parsed")
+    data = F.col("value").isNotNull()
+    rows = rows.where("t0 IS NOT NULL OR value IS NOT NULL").select("file_path", "line_no", "t0", "value", F.when(data, F.col("series")).alias("series"), data.cast("long").alias("one"))
+    rows = running(rows, ["file_path"], ["line_no"], sums={"idx": "one"}, lasts={"t": "t0"}, within=["series"]).where("value IS NOT NULL")
     if devices is not None:
         rank = F.row_number().over(Window.partitionBy("file_path").orderBy("series"))  # of a file's distinct devices
         first = rows.select("file_path", "series").distinct().withColumn("rank", rank).where(F.col("rank") <= devices)
         rows = rows.join(first, KEYS, "left_semi")
-    return _with_idx(rows).select("file_path", "series", F.lit("%").alias("unit"), F.col("idx").cast("long"), F.coalesce("t", F.col("line_no").cast("string")).alias("t"), "value", "line_no")
+    return rows.select("file_path", "series", F.lit("%").alias("unit"), F.col("idx").cast("long"), F.coalesce("t", F.col("line_no").cast("string")).alias("t"), "value", "line_no")
 
 
 def parse_vmstat(lines: DataFrame) -> DataFrame:
@@ -139,6 +143,8 @@ def slice_window(metrics: DataFrame, start: str = "", end: str = "") -> DataFram
 
     A bound that no point meets is ignored; if the bounds cross, nothing is cut.
     """
+    if not start and not end:
+        return metrics.where("file_path IS NOT NULL AND idx >= 0")
     ends = metrics.groupBy("file_path").agg(
         (F.min(F.when(F.col("t") >= start, F.col("idx"))) if start else F.lit(None).cast("long")).alias("a"),
         (F.max(F.when(F.col("t") <= end, F.col("idx"))) if end else F.lit(None).cast("long")).alias("b"),
@@ -228,10 +234,17 @@ def chart_summary(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def chart(lines: DataFrame, registry: ParserRegistry, start: str = "", end: str = "", target: int = 1500) -> tuple[DataFrame, DataFrame]:
     """(series, anomalies): slice, then detect, then downsample; files with anomalies by their parser's limits have
-    these only."""
-    m = slice_window(registry.parse(lines), start, end)
-    own = registry.own_anomalies(m)
-    a = own.unionByName(detect_anomalies(m).join(own.select("file_path").distinct(), "file_path", "left_anti"))
+    these only.
+
+    Points are written once and read from there, and only files without such anomalies are searched for others.
+    """
+    m = written(slice_window(registry.parse(lines), start, end), "points")
+    if not registry.limits:
+        a = detect_anomalies(m)
+    else:
+        own = written(registry.own_anomalies(m), "own")
+        rest = written(m.join(own.select("file_path").distinct(), "file_path", "left_anti"), "rest")
+        a = own.unionByName(detect_anomalies(rest))
     return downsample_minmax(m, a, target), a
 
 

@@ -253,6 +253,24 @@ def test_charts_mark_a_parsers_own_limits(spark):
     assert ("free.log", "value", 1, "CRITICAL") in got
 
 
+def test_a_chart_parses_its_lines_once(spark):
+    rows = [(f"iostat-{k}.log", i, f"{'sdb' if i % 3 else 'sda'} 1 2 3 4 5 6 7 8 9 10 {i if k else 0}" if i % 5 else f"Time: 10:00:{i}") for k in (0, 1) for i in range(11, 99)]
+    spark.createDataFrame(rows, "file_path string, line_no long, content string").createOrReplaceTempView("reports")
+    registry, read = series.ParserRegistry(), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    registry.register("iostat", r"iostat.*\.log$", series.parse_iostat, limits=series.IOSTAT_LIMITS)
+    lines = spark.table("reports").mapInPandas(counted, "file_path string, line_no long, content string")
+    points, marked = series.chart(lines, registry)
+    assert sorted((r.file_path, r.series, r.value) for r in marked.collect()) == sorted(("iostat-1.log", "sdb" if i % 3 else "sda", float(i)) for i in range(85, 99) if i % 5)
+    assert points.count() == sum(i % 5 > 0 for _, i, _ in rows)
+    assert read.value == len(rows)
+
+
 def test_anomaly_lines_by_time(spark):
     lines = spark.createDataFrame([("f", 1, "at 12:10:00:05 x"), ("f", 2, "2026-01-01 10:00:05 y"), ("f", 3, "again 10:00:05"), ("g", 1, "10:00:05"), ("f", 4, "sample 17")], "file_path string, line_no long, content string")
     found = spark.createDataFrame([("f", "a", "10:00:05"), ("f", "b", "2026-01-01 10:00:05"), ("f", "c", "17"), ("f", "d", "11:11:11")], "file_path string, series string, t string").withColumn("line_no", F.lit(None).cast("long"))

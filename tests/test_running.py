@@ -28,6 +28,20 @@ def test_equals_a_loop(spark, parts):
     assert running(df.where("false"), ["k"], ["o"], counts=["n"]).collect() == []
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_counts_and_sums_within_a_key(spark, parts):
+    r = random.Random(parts)
+    rows = [(r.choice(["f", "f", "g", None]), r.choice(["a", "b", None]), k, r.choice([None, 0, 1]), r.choice([None, None, f"v{k}"])) for k in range(500)]
+    df = spark.createDataFrame(rows, "k string, d string, o long, x long, s string").repartition(5)
+    got = running(df, ["k"], ["o"], counts=["n"], sums={"total": "x"}, lasts={"last": "s"}, parts=parts, within=["d"])
+    n, total, last, want = {}, {}, {}, []
+    for k, d, o, x, s in rows:
+        last[k] = s if s is not None else last.get(k)
+        want.append((k, d, o, x, s, n.get((k, d), 0), total.get((k, d), 0), last[k]))
+        n[k, d], total[k, d] = n.get((k, d), 0) + 1, total.get((k, d), 0) + (x or 0)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("parts", [None, 6])
 def test_debounce_equals_a_walk(spark, parts):
     r, t0 = random.Random(3), datetime(2026, 1, 1)
