@@ -67,3 +67,37 @@ def test_covers_are_sound_and_cheap():
     assert R.cover_of(regex_plan("a.c")) == [] and R.cover_of(regex_plan("error|.")) == []
     assert R.cover_of(regex_plan("osd down"), {"osd": 1, "sd ": 9, "d d": 9, " do": 9, "dow": 9, "own": 9}) == ["osd"]
     assert R.needs_of(regex_plan("osd(1|2)x")) <= {"osd"} | R._all_grams(regex_plan("osd(1|2)x"))
+
+
+def test_rules_meet_few_of_the_lines_that_share_their_rarest_letters(spark):
+    sentence = "the thing that was heard in the entrance of the theatre then"
+    words = sentence.split()
+    rnd = random.Random(2)
+    texts = [" ".join(rnd.choice(words) for _ in range(60)) for _ in range(300)] + [sentence.upper(), "x" * 70 + sentence]
+    lines = lines_of(spark, texts)
+    rules = [Rule("a", "sentence", "Generic", "INFO", sentence, is_regex=False), Rule("b", "blanks", "Generic", "INFO", sentence.replace(" ", " +"))]
+    keyed = R.rule_keys(table(spark, rules)).collect()
+    assert [len(r["keys"]) for r in keyed] == [1, 1]
+    met = R.with_keys(R._texts(lines), {n: b for n, b in R.bit_tables(R.rule_keys(table(spark, rules[:1])).selectExpr("keys[0] AS key", "sizes[0] AS size")).items()})
+    assert met.count() < 30  # all 302 lines have each gram of three letters
+    assert rows(R.scan_rule_table(lines, table(spark, rules))) == rows(scan_rules(lines, rules))
+
+
+def test_grams_at_the_edges_of_lines_and_pieces():
+    texts = ["abc", "", None, "xABCDEFGHIJKLMNOP", "ab", "cdefghijklmnop", "größe", "gr" + "ö" * 40 + "ße"]
+    wanted = ["abc", "abcdefghijklmnop", "größe", "öß", "öööööööö"]
+    tables = {}
+    for t in wanted:
+        size, grams = R.grams_of_string(t)
+        bits = tables.setdefault(size, R.np.zeros(1 << R.BITS, bool))
+        for k in grams:
+            bits[(k % (1 << 64)) >> 64 - R.BITS] = True
+    keys = {t: set(R.grams_of_string(t)[1]) for t in wanted}
+    for piece in (1, 7, 1 << 18):
+        got = {}
+        for row, key in zip(*(x.tolist() for x in R.keys_in(R.pa.array(["zz", *texts])[1:], tables, piece))):
+            got.setdefault(row, []).append(key)
+        assert all(sorted(set(v)) == v for v in got.values())
+        has = lambda i, t: keys[t] <= set(got.get(i, []))
+        assert [has(i, t) for i, t in [(0, "abc"), (3, "abcdefghijklmnop"), (6, "größe"), (7, "öß"), (7, "öööööööö")]] == [True] * 5
+        assert set(got) == {0, 3, 6, 7}
