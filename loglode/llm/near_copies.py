@@ -219,7 +219,7 @@ def near_copy_components(docs: DataFrame, threshold: float = 0.8, kept: DataFram
 
     kept: with it, docs is a table whose doc_ids are all different, and only those in kept (column row) count.
     """
-    numbered = docs if kept is not None else written(docs.select(F.monotonically_increasing_id().alias("doc_id"), F.col("doc_id").cast("long").alias("own"), "text"), "numbered")
+    numbered = docs if kept is not None else written(docs.select(F.monotonically_increasing_id().alias("doc_id"), F.col("doc_id").cast("long").alias("own"), "text"), "numbered", "zstd")
     labelled = _labelled_rows(numbered, threshold, kept)
     if kept is None:
         labelled = labelled.join(numbered.select("doc_id", "own"), "doc_id").select(F.col("own").alias("doc_id"), "n_shingles", "label")
@@ -230,6 +230,8 @@ def _labelled_rows(numbered: DataFrame, threshold: float, kept: DataFrame | None
     rows = minima(numbered)
     rows = written(rows.join(kept, rows["doc_id"] == kept["row"], "left_semi") if kept is not None else rows, "minima")
     keys = written(rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "bands", "planes")]), "keys")
+    whole, rows = rows, written(rows.select("doc_id", "key", "n"), "rows")
+    delete(whole)  # keys has the bands and planes
     labels = components(near_copy_links(numbered, keys, threshold)).withColumnRenamed("node", "key")
     return rows.select("doc_id", "key", F.col("n").alias("n_shingles")).join(labels, "key", "left").select("doc_id", "n_shingles", F.coalesce("label", "key").alias("label"))
 

@@ -81,3 +81,17 @@ def test_pair_at_the_threshold_shares_a_band():
         a, b = near_copies.shingle_hashes([" ".join(base), " ".join(base[10:] + [f"v{r.randrange(10**6)}" for _ in range(10)])])
         missed += not set(near_copies.bands(a).tolist()) & set(near_copies.bands(b).tolist())
     assert missed == 0
+
+
+def test_scratch_tables_hold_texts_and_minima_once(spark):
+    import glob
+
+    from loglode.llm.common import recorded_scratch
+
+    docs = spark.createDataFrame([(i, f"some words of a text that is number {i // 2} and no other") for i in range(40)], "doc_id long, text string")
+    with recorded_scratch() as named:
+        got = near_copies.near_copy_components(docs)
+    assert {(r.doc_id, r.component_id) for r in got.collect()} == {(i, i // 2 * 2) for i in range(40)}
+    files = lambda name: [f for p in named if f"/{name}-" in p for f in glob.glob(p.removeprefix("file://") + "/*.parquet")]
+    assert files("numbered") and all(f.endswith(".zstd.parquet") for f in files("numbered"))
+    assert files("keys") and not files("minima")
