@@ -73,17 +73,30 @@ def predict(w: np.ndarray, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
 
 
+def frequencies(docs: list[np.ndarray], labels: np.ndarray, step: int = 500) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The features in order, in how many docs each is, and in how many of each category; `step` docs at a time, so that
+    memory follows the number of features and not that of all occurrences."""
+    which = np.empty(0, docs[0].dtype)
+    for a in range(0, len(docs), step):
+        which = np.union1d(which, np.concatenate(docs[a : a + step]))
+    every, with_label = np.zeros(len(which), np.int64), np.zeros((labels.shape[1], len(which)))
+    for a in range(0, len(docs), step):
+        some = docs[a : a + step]
+        number = np.searchsorted(which, np.concatenate(some))
+        every += np.bincount(number, minlength=len(which))
+        for y, total in zip(labels[a : a + step].T.astype(float), with_label):
+            total += np.bincount(number, np.repeat(y, [len(d) for d in some]), minlength=len(which))
+    return which, every, with_label
+
+
 def choose_features(docs: list[np.ndarray], labels: np.ndarray, features: int) -> dict[int, int]:
     """The features whose document frequencies differ most between classes, over all categories."""
     n = len(docs)
-    which, number = np.unique(np.concatenate(docs), return_inverse=True)
-    owner = np.repeat(np.arange(n), [len(d) for d in docs])
-    every = np.bincount(number, minlength=len(which))
+    which, every, with_label = frequencies(docs, labels)
     best = np.zeros(len(which))
-    for y in labels.T.astype(float):
+    for y, a in zip(labels.T.astype(float), with_label):
         n1 = max(1.0, y.sum())
         n0 = max(1.0, n - n1)
-        a = np.bincount(number, y[owner], minlength=len(which))
         share = every / n
         z = np.abs(a / n1 - (every - a) / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n1 + 1 / n0))
         best = np.maximum(best, z)
@@ -147,9 +160,11 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict, max_labelled: in
     rows = rows.join(F.broadcast(picked), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            found = [sorted({f for w in words_of(x) for f in features_of_word(w)}) for x in t["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([t["doc_id"], pa.array(found, pa.list_(pa.int64())), t["fold"], *(t[n] for n in names)], ["doc_id", "found", "fold", *names])
+        for batch in batches:
+            for a, b in slices(batch["text"]):
+                t = batch.slice(a, b - a)
+                found = [sorted({f for w in words_of(x) for f in features_of_word(w)}) for x in t["text"].to_pylist()]
+                yield pa.RecordBatch.from_arrays([t["doc_id"], pa.array(found, pa.list_(pa.int64())), t["fold"], *(t[n] for n in names)], ["doc_id", "found", "fold", *names])
 
     schema = ", ".join(["doc_id long", "found array<long>", "fold int", *(f"{n} int" for n in names)])
 

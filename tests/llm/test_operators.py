@@ -5,6 +5,7 @@ import json
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -14,7 +15,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from loglode.llm import chat_pairs, decontaminate, license_scan, packing, quality_rules, simhash, substring_dedup, suffix_dedup, token_files, tokens, toxicity
+from loglode.llm import chat_pairs, common, decontaminate, license_scan, packing, quality_rules, repeats, simhash, substring_dedup, suffix_dedup, token_files, tokens, toxicity
 from loglode.llm.registry import ORACLES, QUERIES
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
@@ -290,6 +291,39 @@ def test_token_files(spark, tmp_path):
     assert token_files.read_token_files(empty).count() == 0
 
 
+def peak_mb(make):
+    tracemalloc.start()
+    out = make()
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return out, peak
+
+
+def test_workers_hold_little(monkeypatch):
+    r = np.random.default_rng(3)
+    docs = [np.unique(r.integers(0, 20_000, 900)).astype(np.uint32) for _ in range(3_000)]
+    labels = r.integers(0, 2, (3_000, 2))
+    chosen, peak = peak_mb(lambda: toxicity.choose_features(docs, labels, 50))
+    every = Counter(f for d in docs for f in d.tolist())
+    best = {f: 0.0 for f, n in every.items() if n >= 3}
+    for y in labels.T:
+        some, n1 = Counter(f for d, k in zip(docs, y) if k for f in d.tolist()), int(y.sum())
+        for f in best:
+            n, share = every[f], every[f] / 3_000
+            z = abs(some[f] / n1 - (n - some[f]) / (3_000 - n1)) / math.sqrt(share * (1 - share) * (1 / n1 + 1 / (3_000 - n1)))
+            best[f] = max(best[f], z)
+    assert list(chosen) == sorted(best, key=lambda f: (-best[f], f))[:50]
+    assert peak < 40  # 2.6 million occurrences at once took 8 bytes each several times over
+    text = bytes(r.integers(97, 123, 6 << 20).astype(np.uint8))
+    unit = repeats.Unit(False, 400, 320)
+    hashes = unit.hashes([text])
+    n, peak = peak_mb(lambda: sum(int(x[2].sum()) for x in repeats.runs(unit, hashes, content=True)))
+    assert n == len(text) - 399 and peak < 40
+    given = []
+    monkeypatch.setattr(common, "release", lambda: given.append(1))
+    assert len(list(common.slices(pa.array(["x" * 600_000] * 5)))) == len(given) == 5
+
+
 def test_toxicity_held_out(spark):
     r = random.Random(9)
     bad = ["vile", "rotten", "foulness", "foulest"]
